@@ -24,6 +24,7 @@ def open_folder(path: str):
 def put_file(path: str, write) -> int:
     """Writes under a temporary name and renames, so a retried task never leaves half a file."""
     system, target = open_folder(path)
+    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
     temporary = f"{target}.{uuid.uuid4().hex}.tmp"
     with system.open_output_stream(temporary) as sink:
         write(sink)
@@ -40,8 +41,6 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
     rows = df.selectExpr(f"`{name}` AS name", f"CAST(`{content}` AS BINARY) AS content")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = open_folder(folder)
-        system.create_dir(base, recursive=True)
         for batch in batches:
             names, sizes = [], []
             for row in batch.to_pylist():

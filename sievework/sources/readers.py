@@ -91,7 +91,7 @@ def scan_scores(spark: SparkSession, path: str, resume: bool = False) -> DataFra
 def ids_of(df: DataFrame, text: str) -> DataFrame:
     """Distinct ids of text cells that list them between white space."""
     return (
-        df.select(F.explode(F.split(F.col(text), r"(?U)\s+")).alias("id"))
+        df.select(F.explode(F.split(F.col(text), r"(?U)[\s\x1C-\x1F]+")).alias("id"))
         .filter("id <> ''")
         .distinct()
     )

@@ -55,8 +55,6 @@ def write_shards(df: DataFrame, folder: str, rows_per_group: int = S.ROWS_PER_GR
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
         file, schema, written = key[0].as_py(), shard_schema(), 0
-        system, base = open_folder(folder)
-        system.create_dir(base, recursive=True)
 
         def fill(sink) -> None:
             nonlocal written
@@ -117,6 +115,38 @@ def write_sidecars(df: DataFrame, folder: str, stem: str, columns: list[str]) ->
     return write_files(rows, folder, "name", "content")
 
 
+def write_sidecar_lines(df: DataFrame, path: str, day: str, columns: list[str]) -> None:
+    """The same records as JSON lines, one folder per day: for large sets, in few files."""
+    lines = df.select(F.col(day).alias("day"), sidecar_json(columns).alias("value"))
+    lines.write.mode("overwrite").partitionBy("day").text(path)
+
+
+def footer_of(manifest: DataFrame, folder: str) -> DataFrame:
+    """(shard, row_groups, rows, features): what the footer of each written shard says."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"shard": [], "row_groups": [], "rows": [], "features": []}
+            for name in batch.column("shard").to_pylist():
+                system, base = open_folder(folder)
+                with system.open_input_file(f"{base}/{name}") as source:
+                    meta = pq.ParquetFile(source).metadata
+                out["shard"].append(name)
+                out["row_groups"].append(meta.num_row_groups)
+                out["rows"].append(meta.num_rows)
+                described = json.loads(meta.metadata.get(S.FEATURES_KEY, b"{}"))
+                out["features"].append(len(described.get("info", {}).get("features", {})))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out["shard"], pa.string())]
+                + [pa.array(out[k], pa.int64()) for k in ("row_groups", "rows", "features")],
+                ["shard", "row_groups", "rows", "features"],
+            )
+
+    return manifest.select("shard").mapInArrow(
+        read, "shard string, row_groups bigint, rows bigint, features bigint"
+    )
+
+
 def append_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("append").parquet(path)
 
