@@ -233,7 +233,7 @@ def front_matter(text: Column, list_fields: tuple[str, ...] = ("refs",)) -> Colu
 def quote(text: Column) -> Column:
     """JSON string literal."""
     wrapped = F.to_json(F.struct(text.alias("v")))
-    return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.when(text.isNotNull(), F.substr(wrapped, F.lit(6), F.length(wrapped) - 6))
 
 
 def front_matter_write(fields: dict[str, Column]) -> Column:

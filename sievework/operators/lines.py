@@ -169,7 +169,9 @@ def route_sections(
         *keys,
         "section_id",
         (F.col("start_line") + F.col("first") - 1).cast("bigint").alias("first_line"),
-        (F.col("start_line") + F.least("last", "line_count") - 1).cast("bigint").alias("last_line"),
+        (
+            F.col("start_line") + F.greatest(F.least("last", "line_count"), F.col("first") - 1) - 1
+        ).cast("bigint").alias("last_line"),
         _file_path().alias("target"),
         F.lit("split").alias("kind"),
         F.lit(0).alias("chunk_rank"),

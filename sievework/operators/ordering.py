@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievework.session import freeze
 
-_MID = "__mid"
-_PART = "__part"
-_BASE = "__base"
+_MID = "__range_id"
+_PART = "__range_part"
+_BASE = "__rows_before"
 # monotonically_increasing_id(): partition number above bit 33, row index below.
 _INDEX_BITS = 33
 
@@ -74,12 +74,12 @@ def positions_within(
     size: str | None = None,
 ) -> DataFrame:
     """Adds the 0-based position inside each key, and the key's row count as `size` if named."""
-    placed = ordered_positions(df, [*keys, *order], "__pos")
+    placed = ordered_positions(df, [*keys, *order], "__place")
     spans = placed.groupBy(*keys).agg(
-        F.min("__pos").alias("__start"), F.count("*").alias(size or "__size")
+        F.min("__place").alias("__key_start"), F.count("*").alias(size or "__size")
     )
-    out = attach(placed, spans, keys).withColumn(name, F.col("__pos") - F.col("__start"))
-    return out.drop("__pos", "__start", *([] if size else ["__size"]))
+    out = attach(placed, spans, keys).withColumn(name, F.col("__place") - F.col("__key_start"))
+    return out.drop("__place", "__key_start", *([] if size else ["__size"]))
 
 
 def running_sum(

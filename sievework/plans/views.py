@@ -211,7 +211,7 @@ task0 AS (
 task AS (
   SELECT 'order-' || slug_key AS slug, status, area,
     'Order "' || o_custkey || '": ' || o_orderpriority AS title,
-    CASE WHEN o_totalprice > 450000 THEN '2026-02-30' WHEN o_totalprice > 200000 THEN day END AS due,
+    CASE WHEN o_totalprice > 450000 THEN '2026-02-30' WHEN o_totalprice > 200000 AND o_custkey % 5 > 0 THEN day END AS due,
     day AS updated,
     CASE WHEN o_custkey % 2 = 0 THEN 'owner' ELSE 'agent' END AS owner,
     'total ' || CAST(floor(o_totalprice) AS BIGINT) AS brief,
@@ -247,7 +247,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('Order "'), F.col("o_custkey"), F.lit('": '), priority).alias("title"),
         status.alias("status"),
         area.alias("area"),
-        F.when(price > 450000, "2026-02-30").when(price > 200000, day).alias("due"),
+        F.when(price > 450000, "2026-02-30").when((price > 200000) & (F.col("o_custkey") % 5 > 0), day).alias("due"),
         day.alias("updated"),
         F.when(F.col("o_custkey") % 2 == 0, "owner").otherwise("agent").alias("owner"),
         F.concat(F.lit("total "), F.floor(price).cast("bigint")).alias("brief"),

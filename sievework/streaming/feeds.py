@@ -10,10 +10,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 
 def record_stream(
-    spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
+    spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None,
+    pattern: str = "*.parquet",
 ) -> DataFrame:
-    """Stream over the Parquet files of a folder, or those that match a pattern."""
-    reader = spark.readStream.schema(schema)
+    """Stream over the Parquet files of a folder whose names match the pattern."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
