@@ -10,37 +10,53 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from sievework.functions.binding import let
-from sievework.functions.text import lines_of, runs_of, trim_line
+from sievework.functions.text import WHITE_SPACE, lines_of, runs_of, trim_line
 
-_WS = r"[\s\x0B\p{Z}\x{FEFF}]"
-_ITEM = rf"(?d)^{_WS}+-{_WS}?(.*)$"
-_PAIR = rf"(?d)^([A-Za-z_][\w-]*):(?:{_WS}(.*))?$"
-_JSON_STRING = r'^"(?:[^"\\\x00-\x1F]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"$'
+_KEY = r"^[A-Za-z_][\w-]*$"
+_LINE_ENDS = r"[\r\x{2028}\x{2029}]"
+_PLAIN = r'[^"\\\x00-\x1F]*+'
+_JSON_STRING = rf'^"{_PLAIN}(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}){_PLAIN})*+"$'
 # One list element up to its comma; a comma inside quotes does not count.
 _ELEMENT = r"""\G((?:"(?:\\.|[^"\\])*(?:"|$)|'[^']*(?:'|$)|[^,"'])*),"""
 _CUT = "\x01"
 
 
-def parse_scalar(raw: Column) -> Column:
-    """Struct (value, error) of one scalar."""
-    return let(trim_line(raw), _scalar)
-
-
-def _scalar(v: Column) -> Column:
-    quoted, single = v.startswith('"'), v.startswith("'")
-    bad_single = single & (~v.endswith("'") | (F.length(v) < 2))
-    bad_quoted = quoted & ~v.rlike(_JSON_STRING)
-    decoded = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "v string")["v"]
-    value = (
-        F.when(v.isin("", "null", "~") | bad_single | bad_quoted, F.lit(None).cast("string"))
-        .when(quoted, decoded)
-        .when(single, F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'")))
-        .otherwise(v)
+def parse_scalar(v: Column) -> Column:
+    """Struct (value, error) of one trimmed scalar."""
+    kind = (
+        F.when(v.isin("", "null", "~"), "null")
+        .when(v.startswith('"'), F.when(v.rlike(_JSON_STRING), "json").otherwise("bad json"))
+        .when(
+            v.startswith("'"),
+            F.when(v.endswith("'") & (F.length(v) > 1), "single").otherwise("bad single"),
+        )
+        .otherwise("plain")
     )
-    error = F.when(bad_single, F.concat(F.lit("unterminated single-quoted value: "), v)).when(
-        bad_quoted, F.concat(F.lit("bad double-quoted value: "), v)
+    inner = F.substr(v, F.lit(2), F.length(v) - 2)
+    decoded = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "v string")["v"]
+    return let(
+        kind,
+        lambda k: F.struct(
+            F.when(k == "plain", v)
+            .when(k == "json", F.when(F.contains(v, F.lit("\\")), decoded).otherwise(inner))
+            .when(k == "single", F.replace(inner, F.lit("''"), F.lit("'")))
+            .alias("value"),
+            F.when(k == "bad json", F.concat(F.lit("bad double-quoted value: "), v))
+            .when(k == "bad single", F.concat(F.lit("unterminated single-quoted value: "), v))
+            .alias("error"),
+        ),
     )
-    return F.struct(value.alias("value"), error.alias("error"))
+
+
+def _is_item(line: Column) -> Column:
+    """White space, a dash, and no other line end."""
+    left = F.ltrim(line, F.lit(WHITE_SPACE))
+    return left.startswith("-") & ~line.startswith("-") & ~line.rlike(_LINE_ENDS)
+
+
+def _item_text(line: Column) -> Column:
+    left = F.ltrim(line, F.lit(WHITE_SPACE))
+    return trim_line(F.substr(left, F.lit(2)))
 
 
 def split_inline_list(inner: Column) -> Column:
@@ -64,48 +80,65 @@ def _unparsed(x: Column) -> Column:
 def _head(run: Column) -> Column:
     """A head line with the list items right below it -> key, shape and scalars to parse."""
     head = F.element_at(run, 1)
-    line = head["line"]
-    is_pair = line.rlike(_PAIR)
-    return let(
-        F.when(is_pair, trim_line(F.regexp_extract(line, _PAIR, 2))),
-        lambda value: F.struct(
+    colon = F.instr(head["line"], ":")
+
+    def shaped(p: Column) -> Column:
+        value = p["value"]
+        return F.struct(
             head.alias("head"),
             F.slice(run, F.lit(2), F.size(run)).alias("below"),
-            F.when(is_pair, F.regexp_extract(line, _PAIR, 1)).alias("key"),
-            F.when(~is_pair, "bad")
+            F.when(value.isNotNull(), p["key"]).alias("key"),
+            F.when(value.isNull(), "bad")
             .when(value == "", "block")
-            .when(value.startswith("[") & value.endswith("]"), "inline")
-            .when(value.startswith("["), "open")
+            .when(value.startswith("["), F.when(value.endswith("]"), "inline").otherwise("open"))
             .otherwise("scalar")
             .alias("shape"),
             value.alias("value"),
+        )
+
+    def split_pair(p: Column) -> Column:
+        rest = p["rest"]
+        spaced = (rest == "") | F.contains(F.lit(WHITE_SPACE), F.substr(rest, F.lit(1), F.lit(1)))
+        is_pair = (p["colon"] > 0) & p["key"].rlike(_KEY) & spaced & ~rest.rlike(_LINE_ENDS)
+        return let(
+            F.struct(p["key"].alias("key"), F.when(is_pair, trim_line(rest)).alias("value")), shaped
+        )
+
+    return let(
+        F.struct(
+            colon.alias("colon"),
+            F.substring_index(head["line"], ":", 1).alias("key"),
+            F.substr(head["line"], colon + 1).alias("rest"),
         ),
+        split_pair,
     )
 
 
 def _parsed(h: Column) -> Column:
     """Adds `found`: (n, value, error) of the scalar or of each list item."""
     value = h["value"]
-    raw = (
+
+    def found(n: Column, raw: Column) -> Column:
+        return F.struct(n.alias("n"), parse_scalar(raw).alias("p"))
+
+    values = (
         F.when(
             h["shape"] == "block",
             F.transform(
-                h["below"],
-                lambda i: F.struct(i["n"].alias("n"), F.regexp_extract(i["line"], _ITEM, 1).alias("raw")),
+                h["below"], lambda i: let(_item_text(i["line"]), lambda raw: found(i["n"], raw))
             ),
         )
         .when(
             h["shape"] == "inline",
             F.transform(
                 split_inline_list(F.substr(value, F.lit(2), F.length(value) - 2)),
-                lambda x: F.struct(h["head"]["n"].alias("n"), x.alias("raw")),
+                lambda x: let(trim_line(x), lambda raw: found(h["head"]["n"], raw)),
             ),
         )
-        .when(h["shape"] == "scalar", F.array(F.struct(h["head"]["n"].alias("n"), value.alias("raw"))))
-        .otherwise(F.array().cast("array<struct<n:int,raw:string>>"))
+        .when(h["shape"] == "scalar", F.array(found(h["head"]["n"], value)))
+        .otherwise(F.array().cast("array<struct<n:int,p:struct<value:string,error:string>>>"))
     )
-    found = F.transform(raw, lambda i: F.struct(i["n"].alias("n"), parse_scalar(i["raw"]).alias("p")))
-    return F.struct(h.alias("h"), found.alias("found"))
+    return F.struct(h.alias("h"), values.alias("found"))
 
 
 def _entry(e: Column) -> Column:
@@ -144,19 +177,25 @@ def _entry(e: Column) -> Column:
 
 def _fields(entries: Column, list_fields: tuple[str, ...]) -> Column:
     """Entries -> (keys, scalars, lists, errors); the last value of a repeated key wins."""
-    setting = F.filter(entries, lambda e: e["sets"])
-    again = F.filter(
-        entries,
-        lambda e: e["key"].isNotNull()
-        & F.exists(entries, lambda o: o["sets"] & (o["key"] == e["key"]) & (o["n"] < e["n"])),
-    )
-    doubled = F.transform(
-        again,
-        lambda e: _message(e["n"], 0, F.concat(F.lit('duplicate key "'), e["key"], F.lit('"'))),
+    def before(e: Column, o: Column) -> Column:
+        return o["sets"] & (o["key"] == e["key"]) & (o["n"] < e["n"])
+
+    keys = F.filter(F.transform(entries, lambda e: e["key"]), lambda k: k.isNotNull())
+    # Repeated keys are rare; only then are the entries compared with each other.
+    unique = let(keys, lambda k: F.size(F.array_distinct(k)) == F.size(k))
+    none = F.array().cast("array<struct<n:int,r:int,m:string>>")
+    doubled = F.when(unique, none).otherwise(
+        F.transform(
+            F.filter(
+                entries,
+                lambda e: e["key"].isNotNull() & F.exists(entries, lambda o: before(e, o)),
+            ),
+            lambda e: _message(e["n"], 0, F.concat(F.lit('duplicate key "'), e["key"], F.lit('"'))),
+        )
     )
-    final = F.filter(
-        setting,
-        lambda e: ~F.exists(entries, lambda o: o["sets"] & (o["key"] == e["key"]) & (o["n"] > e["n"])),
+    setting = F.filter(entries, lambda e: e["sets"])
+    final = F.when(unique, setting).otherwise(
+        F.filter(setting, lambda e: ~F.exists(setting, lambda o: before(o, e)))
     )
     messages = F.transform(
         F.array_sort(F.concat(F.flatten(F.transform(entries, lambda e: e["errors"])), doubled)),
@@ -209,7 +248,7 @@ def front_matter(text: Column, list_fields: tuple[str, ...] = ("refs",)) -> Colu
         )
         header = F.filter(numbered, lambda x: trim_line(x["line"]) != "")
         heads = let(
-            header, lambda rows: runs_of(rows, lambda x: ~x["line"].rlike(_ITEM), "at", "run")
+            header, lambda rows: runs_of(rows, lambda x: ~_is_item(x["line"]), "at", "run")
         )
         entries = F.transform(
             F.transform(F.transform(heads, lambda r: _head(r["run"])), _parsed), _entry

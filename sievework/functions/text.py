@@ -8,12 +8,15 @@ from pyspark.sql import Column, functions as F
 
 from sievework.functions.binding import let
 
-# White space a line trim removes: all Unicode separators, controls \t..\r and the BOM.
-_SPACE = r"[\s\x0B\p{Z}\x{FEFF}]"
+# The characters a line trim removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def trim_line(line: Column) -> Column:
-    return F.regexp_replace(line, rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(line, F.lit(WHITE_SPACE))
 
 
 def lines_of(text: Column, drop_last_empty: bool = False) -> Column:
