@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from sievework.functions.binding import let
-from sievework.functions.text import WHITE_SPACE, lines_of, runs_of, trim_line
+from sievework.functions.text import WHITE_SPACE, runs_of, trim_line
 
 _KEY = r"^[A-Za-z_][\w-]*$"
-_LINE_ENDS = r"[\r\x{2028}\x{2029}]"
+# Line ends other than the newline: a pair or an item holds none.
+_LINE_ENDS = ("\r", "\u2028", "\u2029")
 _PLAIN = r'[^"\\\x00-\x1F]*+'
 _JSON_STRING = rf'^"{_PLAIN}(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}){_PLAIN})*+"$'
 # One list element up to its comma; a comma inside quotes does not count.
@@ -48,15 +49,16 @@ def parse_scalar(v: Column) -> Column:
     )
 
 
-def _is_item(line: Column) -> Column:
-    """White space, a dash, and no other line end."""
-    left = F.ltrim(line, F.lit(WHITE_SPACE))
-    return left.startswith("-") & ~line.startswith("-") & ~line.rlike(_LINE_ENDS)
+def _one_line(text: Column) -> Column:
+    out = F.lit(True)
+    for end in _LINE_ENDS:
+        out = out & ~F.contains(text, F.lit(end))
+    return out
 
 
-def _item_text(line: Column) -> Column:
-    left = F.ltrim(line, F.lit(WHITE_SPACE))
-    return trim_line(F.substr(left, F.lit(2)))
+def _is_item(x: Column) -> Column:
+    """White space, a dash, and no other line end; `left` is the line without leading space."""
+    return x["left"].startswith("-") & (x["left"] != x["line"]) & _one_line(x["line"])
 
 
 def split_inline_list(inner: Column) -> Column:
@@ -99,7 +101,7 @@ def _head(run: Column) -> Column:
     def split_pair(p: Column) -> Column:
         rest = p["rest"]
         spaced = (rest == "") | F.contains(F.lit(WHITE_SPACE), F.substr(rest, F.lit(1), F.lit(1)))
-        is_pair = (p["colon"] > 0) & p["key"].rlike(_KEY) & spaced & ~rest.rlike(_LINE_ENDS)
+        is_pair = (p["colon"] > 0) & p["key"].rlike(_KEY) & spaced & _one_line(rest)
         return let(
             F.struct(p["key"].alias("key"), F.when(is_pair, trim_line(rest)).alias("value")), shaped
         )
@@ -125,7 +127,7 @@ def _parsed(h: Column) -> Column:
         F.when(
             h["shape"] == "block",
             F.transform(
-                h["below"], lambda i: let(_item_text(i["line"]), lambda raw: found(i["n"], raw))
+                h["below"], lambda i: let(trim_line(F.substr(i["left"], F.lit(2))), lambda raw: found(i["n"], raw))
             ),
         )
         .when(
@@ -232,28 +234,21 @@ def front_matter(text: Column, list_fields: tuple[str, ...] = ("refs",)) -> Colu
     missing = F.array(F.lit('missing front matter (text must start with a "---" line)'))
     unterminated = F.array(F.lit('unterminated front matter (no closing "---" line)'))
 
-    def parse(lines: Column) -> Column:
-        opens = F.element_at(lines, 1) == "---"
-        rest = F.slice(lines, F.lit(2), F.size(lines))
-        return let(
-            F.struct(opens.alias("opens"), rest.alias("rest"), F.array_position(rest, "---").cast("int").alias("close")),
-            block,
-        )
+    opens = text.startswith("---\n") | (text == "---")
+    # Place of the newline before the closing line, at least 4; the body is never cut into lines.
+    close = F.locate("\n---\n", F.concat(text, F.lit("\n")), 4)
 
-    def block(b: Column) -> Column:
-        closed = b["opens"] & (b["close"] > 0)
+    def block(at: Column) -> Column:
+        closed = opens & (at > 0)
         numbered = F.transform(
-            F.slice(b["rest"], F.lit(1), F.greatest(b["close"] - 1, F.lit(0))),
-            lambda line, i: F.struct((i + 2).alias("n"), line.alias("line")),
-        )
-        header = F.filter(numbered, lambda x: trim_line(x["line"]) != "")
-        heads = let(
-            header, lambda rows: runs_of(rows, lambda x: ~_is_item(x["line"]), "at", "run")
-        )
-        entries = F.transform(
-            F.transform(F.transform(heads, lambda r: _head(r["run"])), _parsed), _entry
+            F.split(F.when(closed & (at > 4), F.substr(text, F.lit(5), at - 5)).otherwise(""), "\n", -1),
+            lambda line, i: F.struct(
+                (i + 2).alias("n"), line.alias("line"), F.ltrim(line, F.lit(WHITE_SPACE)).alias("left")
+            ),
         )
-        body = F.array_join(F.slice(b["rest"], b["close"] + 1, F.size(b["rest"])), "\n")
+        header = F.filter(numbered, lambda x: x["left"] != "")
+        heads = let(header, lambda rows: runs_of(rows, lambda x: ~_is_item(x), "at", "run"))
+        entries = F.transform(heads, lambda r: let(let(_head(r["run"]), _parsed), _entry))
         return let(
             let(entries, lambda e: _fields(e, list_fields)),
             lambda f: F.struct(
@@ -261,12 +256,12 @@ def front_matter(text: Column, list_fields: tuple[str, ...] = ("refs",)) -> Colu
                 F.when(closed, f["keys"]).alias("keys"),
                 F.when(closed, f["scalars"]).alias("scalars"),
                 F.when(closed, f["lists"]).alias("lists"),
-                F.when(closed, body).otherwise(text).alias("body"),
-                F.when(~b["opens"], missing).when(~closed, unterminated).otherwise(f["errors"]).alias("errors"),
+                F.when(closed, F.substr(text, at + 5)).otherwise(text).alias("body"),
+                F.when(~opens, missing).when(~closed, unterminated).otherwise(f["errors"]).alias("errors"),
             ),
         )
 
-    return let(lines_of(text), parse)
+    return let(close, block)
 
 
 def quote(text: Column) -> Column:

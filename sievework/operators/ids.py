@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievework import schema as S
-from sievework.operators.ordering import attach, ordered_positions, running_sum
+from sievework.operators.ordering import attach, ordered_positions, running_sums
 
 
 def dense_prompt_id(rows: DataFrame, subject: str = "prompt_subject") -> DataFrame:
@@ -94,8 +94,11 @@ def run_cap(
     if subject is not None and per_subject is not None:
         rank = F.row_number().over(Window.partitionBy(subject).orderBy(order))
         rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= per_subject).drop("__rank")
-    if max_bytes is not None:
-        rows = running_sum(rows, [order], F.col(size), "running_bytes").filter(
-            F.col("running_bytes") <= max_bytes
-        )
-    return rows.orderBy(order).limit(max_rows) if max_rows is not None else rows
+    if max_rows is None and max_bytes is None:
+        return rows
+    summed = running_sums(
+        rows, [order], {"running_rows": F.lit(1).cast("bigint"), "running_bytes": F.col(size).cast("bigint")}
+    )
+    if max_rows is not None:
+        summed = summed.filter(F.col("running_rows") <= max_rows)
+    return summed.filter(F.col("running_bytes") <= max_bytes) if max_bytes is not None else summed

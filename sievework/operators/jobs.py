@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sievework import schema as S
 from sievework.functions import draws, names, recipe
-from sievework.operators.ordering import positions_within
+from sievework.operators.ordering import positions_within, small
+from sievework.session import freeze
 
 
 def index_source(spark: SparkSession, n: int | None = None, rows_per_second: int = 1) -> DataFrame:
@@ -20,9 +21,12 @@ def index_source(spark: SparkSession, n: int | None = None, rows_per_second: int
 
 
 def prompt_bank(subjects: DataFrame) -> DataFrame:
-    """(category, subject, position, size) of a table of subjects; positions are in subject order."""
+    """(category, subject, position, size) of a table of subjects; positions are in subject order.
+
+    Written once: draws look it up again and again.
+    """
     bank = subjects.select("category", "subject").distinct()
-    return positions_within(bank, ["category"], ["subject"], "position", size="size")
+    return freeze(positions_within(bank, ["category"], ["subject"], "position", size="size"))
 
 
 def bank_sizes(bank: DataFrame) -> DataFrame:
@@ -46,12 +50,11 @@ def weighted_draw(
     drawn = F.lit(category) if category is not None else draws.weighted_choice(
         draws.uniform(seed, F.col("index"), "c"), weights
     )
-    sizes = bank_sizes(bank)
-    rows = indexes.withColumn("category", drawn).join(sizes, "category")
+    rows = indexes.withColumn("category", drawn).join(small(bank_sizes(bank)), "category")
     at = F.floor(draws.uniform(seed, F.col("index"), "s") * F.col("size"))
     return (
         rows.withColumn("position", at)
-        .join(bank.select("category", "position", "subject"), ["category", "position"])
+        .join(small(bank.select("category", "position", "subject")), ["category", "position"])
         .drop("position", "size")
     )
 

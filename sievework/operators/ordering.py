@@ -29,21 +29,22 @@ def _ordered(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     )
 
 
-def _before(per_part: DataFrame, amount: str) -> DataFrame:
-    """Sum of `amount` over earlier partitions; input is one row per partition."""
+def _before(per_part: DataFrame, amounts: Sequence[str]) -> DataFrame:
+    """Sums of `amounts` over earlier partitions; input is one row per partition."""
     earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    return per_part.select(_PART, F.coalesce(F.sum(amount).over(earlier), F.lit(0)).alias(_BASE))
+    sums = [F.coalesce(F.sum(a).over(earlier), F.lit(0)).alias(_BASE + a) for a in amounts]
+    return per_part.select(_PART, *sums)
 
 
 def ordered_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos") -> DataFrame:
     """Adds the 0-based position in `order`, which must leave no ties."""
     rows = _ordered(df, order)
-    base = _before(rows.groupBy(_PART).agg(F.count("*").alias("__n")), "__n")
+    base = _before(rows.groupBy(_PART).agg(F.count("*").alias("__n")), ["__n"])
     index = F.col(_MID).bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
     return (
         rows.join(F.broadcast(base), _PART)
-        .withColumn(name, F.col(_BASE) + index)
-        .drop(_MID, _PART, _BASE)
+        .withColumn(name, F.col(_BASE + "__n") + index)
+        .drop(_MID, _PART, _BASE + "__n")
     )
 
 
@@ -82,16 +83,28 @@ def positions_within(
     return out.drop("__place", "__key_start", *([] if size else ["__size"]))
 
 
-def running_sum(
-    df: DataFrame, order: Sequence[Column | str], amount: Column, name: str = "running"
+def running_sums(
+    df: DataFrame, order: Sequence[Column | str], amounts: dict[str, Column]
 ) -> DataFrame:
-    """Adds the inclusive running sum of `amount` in `order`, which must leave no ties."""
-    rows = _ordered(df.withColumn("__amount", amount), order)
-    base = _before(rows.groupBy(_PART).agg(F.sum("__amount").alias("__n")), "__n")
+    """Adds the inclusive running sum of each amount in `order`, which must leave no ties."""
+    rows = _ordered(df.withColumns(amounts), order)
+    base = _before(rows.groupBy(_PART).agg(*[F.sum(a).alias(a) for a in amounts]), list(amounts))
     inside = Window.partitionBy(_PART).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.withColumn("__local", F.sum("__amount").over(inside))
+        rows.withColumns({a: F.sum(a).over(inside) for a in amounts})
         .join(F.broadcast(base), _PART)
-        .withColumn(name, F.col(_BASE) + F.col("__local"))
-        .drop(_MID, _PART, _BASE, "__amount", "__local")
+        .withColumns({a: F.col(_BASE + a) + F.col(a) for a in amounts})
+        .drop(_MID, _PART, *[_BASE + a for a in amounts])
     )
+
+
+# Rows up to which a lookup table is sent to every task.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast hint if the table is counted to have at most `limit` rows, else the table as is.
+
+    Streams need it: their plans are fixed before sizes are known. Give it a written table.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

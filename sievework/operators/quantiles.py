@@ -71,5 +71,6 @@ def exact_quantiles(
     for name, p in probs.items():
         target = (F.col("__n") - 1) * F.lit(float(p))
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        out.append((low + (high - low) * (target - F.floor(target))).alias(name))
+        between = low + (high - low) * (target - F.floor(target))
+        out.append(F.when(low == high, low).otherwise(between).alias(name))
     return found.select(*keys, *out)

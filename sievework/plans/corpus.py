@@ -20,7 +20,7 @@ from sievework.plans.views import (
     task_texts,
     tasks,
 )
-from sievework.session import work_path
+from sievework.session import freeze, work_path
 from sievework.sources import files, readers, writers
 
 # --- Text trees and lines --------------------------------------------------------------------------
@@ -332,6 +332,11 @@ def _fields(spark, sf) -> DataFrame:
     return rc.record_fields(_records(spark, sf))
 
 
+def _parsed_once(spark, sf) -> DataFrame:
+    """The record fields, parsed and written once for queries that read them several times."""
+    return freeze(_fields(spark, sf))
+
+
 @query(
     "front_matter",
     f"""WITH {TASK} SELECT path, slug, title, status, area, due, updated, owner, brief, refs_text, test, body,
@@ -416,7 +421,7 @@ def duplicate_keys(spark, sf):
       OR contains(lower(brief), 'order 1') OR contains(coalesce(lower(test), ''), 'order 1') OR contains(coalesce(lower(refs_text), ''), 'order 1')""",
 )
 def record_query(spark, sf):
-    fields = _fields(spark, sf)
+    fields = _parsed_once(spark, sf)
     searches = {
         "open, filtered": rc.record_query(
             fields, area="data, docs,", owner="agent", due_before="1998-06-30", grep="CUST-1"
@@ -463,7 +468,7 @@ def status_counts(spark, sf):
     UNION ALL SELECT 0, 0, '> ' || count(*) FILTER (status <> 'done') || ' open records · ' || count(*) FILTER (status = 'done') || ' done' FROM task""",
 )
 def grouped_report(spark, sf):
-    return _longs(rc.grouped_report(_fields(spark, sf), RULES))
+    return _longs(rc.grouped_report(_parsed_once(spark, sf).drop("body"), RULES))
 
 
 @query(
@@ -472,7 +477,7 @@ def grouped_report(spark, sf):
     FROM task""",
 )
 def record_manifest(spark, sf):
-    rows = rc.record_manifest(_fields(spark, sf))
+    rows = rc.record_manifest(_parsed_once(spark, sf))
     return rows.withColumn("refs_text", F.array_join("refs", ";")).drop("refs")
 
 
