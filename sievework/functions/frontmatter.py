@@ -12,9 +12,11 @@ from pyspark.sql import Column, functions as F
 from sievework.functions.binding import let
 from sievework.functions.text import WHITE_SPACE, runs_of, trim_line
 
-_KEY = r"^[A-Za-z_][\w-]*$"
-# Line ends other than the newline: a pair or an item holds none.
-_LINE_ENDS = ("\r", "\u2028", "\u2029")
+# White space within a line, and what may follow it: anything but a line end.
+_WS = r"[\t\x0B\f\r\p{Z}\x{FEFF}]"
+_REST = r"[^\n\r\x{2028}\x{2029}]*"
+# One match per header line: key, value | list item | anything else.
+_LINE = rf"(?md)^(?:([A-Za-z_][\w-]*):(?:{_WS}({_REST}))?|({_WS}+-{_REST})|([^\n]*))$"
 _PLAIN = r'[^"\\\x00-\x1F]*+'
 _JSON_STRING = rf'^"{_PLAIN}(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}){_PLAIN})*+"$'
 # One list element up to its comma; a comma inside quotes does not count.
@@ -49,18 +51,6 @@ def parse_scalar(v: Column) -> Column:
     )
 
 
-def _one_line(text: Column) -> Column:
-    out = F.lit(True)
-    for end in _LINE_ENDS:
-        out = out & ~F.contains(text, F.lit(end))
-    return out
-
-
-def _is_item(x: Column) -> Column:
-    """White space, a dash, and no other line end; `left` is the line without leading space."""
-    return x["left"].startswith("-") & (x["left"] != x["line"]) & _one_line(x["line"])
-
-
 def split_inline_list(inner: Column) -> Column:
     """Raw elements of an inline list without its brackets."""
     return let(
@@ -75,152 +65,159 @@ def _message(n: Column, rank: int, text: Column) -> Column:
     return F.struct(n.alias("n"), F.lit(rank).alias("r"), text.alias("m"))
 
 
-def _unparsed(x: Column) -> Column:
-    return _message(x["n"], 1, F.concat(F.lit('cannot parse "'), x["line"], F.lit('"')))
+def _unparsed(row: Column) -> Column:
+    return _message(row["n"], 1, F.concat(F.lit('cannot parse "'), row["line"], F.lit('"')))
 
 
-def _head(run: Column) -> Column:
-    """A head line with the list items right below it -> key, shape and scalars to parse."""
-    head = F.element_at(run, 1)
-    colon = F.instr(head["line"], ":")
-
-    def shaped(p: Column) -> Column:
-        value = p["value"]
-        return F.struct(
-            head.alias("head"),
-            F.slice(run, F.lit(2), F.size(run)).alias("below"),
-            F.when(value.isNotNull(), p["key"]).alias("key"),
-            F.when(value.isNull(), "bad")
-            .when(value == "", "block")
-            .when(value.startswith("["), F.when(value.endswith("]"), "inline").otherwise("open"))
-            .otherwise("scalar")
-            .alias("shape"),
-            value.alias("value"),
-        )
+def _entry_struct(head, sets, is_list, value, items, errors) -> Column:
+    return F.struct(
+        head["n"].alias("n"),
+        head["key"].alias("key"),
+        sets.alias("sets"),
+        is_list.alias("is_list"),
+        value.alias("value"),
+        items.alias("items"),
+        errors.alias("errors"),
+    )
 
-    def split_pair(p: Column) -> Column:
-        rest = p["rest"]
-        spaced = (rest == "") | F.contains(F.lit(WHITE_SPACE), F.substr(rest, F.lit(1), F.lit(1)))
-        is_pair = (p["colon"] > 0) & p["key"].rlike(_KEY) & spaced & _one_line(rest)
-        return let(
-            F.struct(p["key"].alias("key"), F.when(is_pair, trim_line(rest)).alias("value")), shaped
-        )
 
+def _scalar_entry(head: Column, below: Column) -> Column:
+    """A pair with a plain or quoted value. Items below it belong to nothing."""
+    stray = F.transform(below, _unparsed)
     return let(
-        F.struct(
-            colon.alias("colon"),
-            F.substring_index(head["line"], ":", 1).alias("key"),
-            F.substr(head["line"], colon + 1).alias("rest"),
+        parse_scalar(head["value"]),
+        lambda p: _entry_struct(
+            head,
+            p["error"].isNull(),
+            F.lit(False),
+            p["value"],
+            F.lit(None).cast("array<string>"),
+            F.when(p["error"].isNull(), stray).otherwise(
+                F.concat(F.array(_message(head["n"], 1, p["error"])), stray)
+            ),
         ),
-        split_pair,
     )
 
 
-def _parsed(h: Column) -> Column:
-    """Adds `found`: (n, value, error) of the scalar or of each list item."""
-    value = h["value"]
+def _list_entry(head: Column, below: Column, block: Column) -> Column:
+    """A block list takes the items below it; an inline list has them in its value."""
+    value = head["value"]
 
     def found(n: Column, raw: Column) -> Column:
         return F.struct(n.alias("n"), parse_scalar(raw).alias("p"))
 
-    values = (
-        F.when(
-            h["shape"] == "block",
-            F.transform(
-                h["below"], lambda i: let(trim_line(F.substr(i["left"], F.lit(2))), lambda raw: found(i["n"], raw))
-            ),
+    raw = F.when(
+        block, F.transform(below, lambda i: F.struct(i["n"].alias("n"), i["value"].alias("raw")))
+    ).otherwise(
+        F.transform(
+            split_inline_list(F.substr(value, F.lit(2), F.length(value) - 2)),
+            lambda x: F.struct(head["n"].alias("n"), trim_line(x).alias("raw")),
         )
-        .when(
-            h["shape"] == "inline",
-            F.transform(
-                split_inline_list(F.substr(value, F.lit(2), F.length(value) - 2)),
-                lambda x: let(trim_line(x), lambda raw: found(h["head"]["n"], raw)),
+    )
+
+    def entry(parsed: Column) -> Column:
+        wrong = F.transform(
+            F.filter(parsed, lambda i: i["p"]["error"].isNotNull()),
+            lambda i: _message(i["n"], 1, i["p"]["error"]),
+        )
+        good = F.transform(
+            F.filter(parsed, lambda i: i["p"]["error"].isNull()), lambda i: i["p"]["value"]
+        )
+        # A bad block item is left out; a bad inline item spoils its list, and the first one counts.
+        return let(
+            wrong,
+            lambda w: _entry_struct(
+                head,
+                block | (F.size(w) == 0),
+                F.lit(True),
+                F.lit(None).cast("string"),
+                good,
+                F.when(block, w).otherwise(F.concat(F.slice(w, 1, 1), F.transform(below, _unparsed))),
             ),
         )
-        .when(h["shape"] == "scalar", F.array(found(h["head"]["n"], value)))
-        .otherwise(F.array().cast("array<struct<n:int,p:struct<value:string,error:string>>>"))
-    )
-    return F.struct(h.alias("h"), values.alias("found"))
 
+    return let(F.transform(raw, lambda i: found(i["n"], i["raw"])), entry)
 
-def _entry(e: Column) -> Column:
-    h, found = e["h"], e["found"]
-    shape = h["shape"]
-    wrong = F.transform(
-        F.filter(found, lambda i: i["p"]["error"].isNotNull()), lambda i: _message(i["n"], 1, i["p"]["error"])
-    )
-    opened = _message(
-        h["head"]["n"], 1, F.concat(F.lit('unterminated inline list for "'), h["key"], F.lit('"'))
-    )
-    # Items under a line that takes none cannot be parsed. Of an inline list the first error counts.
-    stray = F.when(shape == "block", F.array().cast("array<struct<n:int,r:int,m:string>>")).otherwise(
-        F.transform(h["below"], _unparsed)
-    )
-    own = (
-        F.when(shape == "bad", F.array(_unparsed(h["head"])))
-        .when(shape == "open", F.array(opened))
-        .when(shape == "block", wrong)
-        .otherwise(F.slice(wrong, 1, 1))
+
+def _bad_entry(head: Column, below: Column) -> Column:
+    """A line that is no pair, or an inline list without its end."""
+    message = F.when(head["kind"] != "pair", _unparsed(head)).otherwise(
+        _message(head["n"], 1, F.concat(F.lit('unterminated inline list for "'), head["key"], F.lit('"')))
     )
-    # A pair whose value cannot be read sets no key; a bad block item is only left out.
-    sets = shape.isin("block") | (shape.isin("inline", "scalar") & (F.size(wrong) == 0))
-    good = F.transform(
-        F.filter(found, lambda i: i["p"]["error"].isNull()), lambda i: i["p"]["value"]
-    )
-    return F.struct(
-        h["head"]["n"].alias("n"),
-        h["key"].alias("key"),
-        sets.alias("sets"),
-        shape.isin("block", "inline").alias("is_list"),
-        good.alias("items"),
-        F.concat(own, stray).alias("errors"),
+    return _entry_struct(
+        head,
+        F.lit(False),
+        F.lit(False),
+        F.lit(None).cast("string"),
+        F.lit(None).cast("array<string>"),
+        F.concat(F.array(message), F.transform(below, _unparsed)),
     )
 
 
+def _entry(run: Column) -> Column:
+    """A head line and the list items right below it."""
+
+    def of(head: Column) -> Column:
+        below = F.slice(run, F.lit(2), F.size(run))
+        value = head["value"]
+        return (
+            F.when(head["kind"] != "pair", _bad_entry(head, below))
+            .when(value == "", _list_entry(head, below, F.lit(True)))
+            .when(~value.startswith("["), _scalar_entry(head, below))
+            .when(value.endswith("]"), _list_entry(head, below, F.lit(False)))
+            .otherwise(_bad_entry(head, below))
+        )
+
+    return let(F.element_at(run, 1), of)
+
+
 def _fields(entries: Column, list_fields: tuple[str, ...]) -> Column:
     """Entries -> (keys, scalars, lists, errors); the last value of a repeated key wins."""
+
     def before(e: Column, o: Column) -> Column:
         return o["sets"] & (o["key"] == e["key"]) & (o["n"] < e["n"])
 
-    keys = F.filter(F.transform(entries, lambda e: e["key"]), lambda k: k.isNotNull())
     # Repeated keys are rare; only then are the entries compared with each other.
-    unique = let(keys, lambda k: F.size(F.array_distinct(k)) == F.size(k))
-    none = F.array().cast("array<struct<n:int,r:int,m:string>>")
-    doubled = F.when(unique, none).otherwise(
-        F.transform(
-            F.filter(
-                entries,
-                lambda e: e["key"].isNotNull() & F.exists(entries, lambda o: before(e, o)),
-            ),
-            lambda e: _message(e["n"], 0, F.concat(F.lit('duplicate key "'), e["key"], F.lit('"'))),
-        )
+    unique = let(
+        F.filter(F.transform(entries, lambda e: e["key"]), lambda k: k != ""),
+        lambda k: F.size(F.array_distinct(k)) == F.size(k),
     )
-    setting = F.filter(entries, lambda e: e["sets"])
-    final = F.when(unique, setting).otherwise(
-        F.filter(setting, lambda e: ~F.exists(setting, lambda o: before(o, e)))
+    doubled = F.transform(
+        F.filter(entries, lambda e: (e["key"] != "") & F.exists(entries, lambda o: before(e, o))),
+        lambda e: _message(e["n"], 0, F.concat(F.lit('duplicate key "'), e["key"], F.lit('"'))),
     )
-    messages = F.transform(
-        F.array_sort(F.concat(F.flatten(F.transform(entries, lambda e: e["errors"])), doubled)),
-        lambda m: F.concat(F.lit("line "), m["n"].cast("string"), F.lit(": "), m["m"]),
+    setting = F.filter(entries, lambda e: e["sets"])
+    last = F.filter(
+        setting,
+        lambda e: ~F.exists(entries, lambda o: o["sets"] & (o["key"] == e["key"]) & (o["n"] > e["n"])),
     )
+    found = F.flatten(F.transform(entries, lambda e: e["errors"]))
+
+    def messages(errors: Column) -> Column:
+        return F.when(F.size(errors) == 0, F.array().cast("array<string>")).otherwise(
+            F.transform(
+                F.array_sort(errors),
+                lambda m: F.concat(F.lit("line "), m["n"].cast("string"), F.lit(": "), m["m"]),
+            )
+        )
 
     def keeps_list(e: Column) -> Column:
         return e["is_list"] & ((F.size(e["items"]) > 0) | e["key"].isin(*list_fields))
 
     return let(
-        final,
-        lambda kept: F.struct(
-            F.transform(kept, lambda e: e["key"]).alias("keys"),
-            F.map_from_entries(
-                F.transform(
-                    F.filter(kept, lambda e: ~keeps_list(e)),
-                    lambda e: F.struct(e["key"], F.when(~e["is_list"], F.get(e["items"], 0))),
-                )
-            ).alias("scalars"),
-            F.map_from_entries(
-                F.transform(F.filter(kept, keeps_list), lambda e: F.struct(e["key"], e["items"]))
-            ).alias("lists"),
-            messages.alias("errors"),
+        unique,
+        lambda once: let(
+            F.when(once, setting).otherwise(last),
+            lambda kept: F.struct(
+                F.transform(kept, lambda e: e["key"]).alias("keys"),
+                F.map_from_entries(
+                    F.transform(F.filter(kept, lambda e: ~keeps_list(e)), lambda e: F.struct(e["key"], e["value"]))
+                ).alias("scalars"),
+                F.map_from_entries(
+                    F.transform(F.filter(kept, keeps_list), lambda e: F.struct(e["key"], e["items"]))
+                ).alias("lists"),
+                let(F.when(once, found).otherwise(F.concat(found, doubled)), messages).alias("errors"),
+            ),
         ),
     )
 
@@ -233,22 +230,45 @@ def front_matter(text: Column, list_fields: tuple[str, ...] = ("refs",)) -> Colu
     """
     missing = F.array(F.lit('missing front matter (text must start with a "---" line)'))
     unterminated = F.array(F.lit('unterminated front matter (no closing "---" line)'))
-
     opens = text.startswith("---\n") | (text == "---")
     # Place of the newline before the closing line, at least 4; the body is never cut into lines.
     close = F.locate("\n---\n", F.concat(text, F.lit("\n")), 4)
 
+    def header_rows(header: Column) -> Column:
+        """(n, kind, key, value, line) of each line that is not blank; one pass per group."""
+        groups = F.struct(
+            *[F.regexp_extract_all(header, F.lit(_LINE), i).alias(name) for i, name in enumerate(("key", "value", "item", "other"), 1)]
+        )
+
+        def row(g: Column, key: Column, i: Column) -> Column:
+            value, item, other = (F.get(g[name], i) for name in ("value", "item", "other"))
+            kind = F.when(key != "", "pair").when(item != "", "item").otherwise("other")
+            return F.struct(
+                (i + 2).alias("n"),
+                kind.alias("kind"),
+                key.alias("key"),
+                F.when(key != "", trim_line(value))
+                .when(item != "", trim_line(F.substr(F.ltrim(item, F.lit(WHITE_SPACE)), F.lit(2))))
+                .otherwise("")
+                .alias("value"),
+                F.when(key != "", "").when(item != "", item).otherwise(other).alias("line"),
+            )
+
+        rows = let(groups, lambda g: F.transform(g["key"], lambda key, i: row(g, key, i)))
+        return F.filter(rows, lambda r: (r["kind"] != "other") | (trim_line(r["line"]) != ""))
+
+    def runs(rows: Column) -> Column:
+        return F.when(
+            F.exists(rows, lambda r: r["kind"] == "item"),
+            runs_of(rows, lambda r: r["kind"] != "item", "at", "run"),
+        ).otherwise(F.transform(rows, lambda r, i: F.struct((i + 1).alias("at"), F.array(r).alias("run"))))
+
     def block(at: Column) -> Column:
         closed = opens & (at > 0)
-        numbered = F.transform(
-            F.split(F.when(closed & (at > 4), F.substr(text, F.lit(5), at - 5)).otherwise(""), "\n", -1),
-            lambda line, i: F.struct(
-                (i + 2).alias("n"), line.alias("line"), F.ltrim(line, F.lit(WHITE_SPACE)).alias("left")
-            ),
+        header = F.when(closed & (at > 4), F.substr(text, F.lit(5), at - 5)).otherwise("")
+        entries = F.transform(
+            let(let(header, header_rows), runs), lambda r: _entry(r["run"])
         )
-        header = F.filter(numbered, lambda x: x["left"] != "")
-        heads = let(header, lambda rows: runs_of(rows, lambda x: ~_is_item(x), "at", "run"))
-        entries = F.transform(heads, lambda r: let(let(_head(r["run"]), _parsed), _entry))
         return let(
             let(entries, lambda e: _fields(e, list_fields)),
             lambda f: F.struct(

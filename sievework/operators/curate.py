@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sievework import schema as S
 from sievework.functions import names, recipe
 from sievework.operators.ordering import attach
+from sievework.session import freeze
 
 
 def pair_inner(payloads: DataFrame, sidecars: DataFrame, key: str = "id") -> DataFrame:
@@ -158,8 +159,9 @@ def rename_plan(
         .when(F.col("__json").isNull(), "missing_json")
         .when(F.try_parse_json("raw").isNull(), "json_unreadable")
     )
-    rows = rows.select(
-        "stem", early.alias("__early"), F.when(early.isNull(), target).alias("new_stem")
+    # Written once: the claims below and the plan itself both read it.
+    rows = freeze(
+        rows.select("stem", early.alias("__early"), F.when(early.isNull(), target).alias("new_stem"))
     )
     # One row per name that is wanted or taken: the first claimant, and whether it exists already.
     claims = rows.filter(F.col("new_stem").isNotNull()).select(
