@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,7 +12,22 @@ from sievework.operators.curate import build_report, exclusion_class, flatten_re
 from sievework.operators.ids import dense_prompt_id, prompt_id_join, shard_assign
 from sievework.session import freeze
 from sievework.sources.readers import parse_sidecars
-from sievework.sources.writers import shard_name, write_metadata, write_report, write_shards
+from sievework.sources.writers import (
+    shard_name,
+    write_metadata,
+    write_report,
+    write_shards,
+    write_shards_from_files,
+)
+
+
+@dataclass
+class PayloadFiles:
+    """Payloads as `<id>.png` in a shared folder, with the encoder to apply."""
+
+    folder: str
+    make_encoder: Callable[[], Callable[[bytes], bytes]]
+    suffix: str
 
 
 @dataclass
@@ -44,11 +60,12 @@ def plan_build(
     return Build(classified, prompt_ids, rows, shard_assign(kept.select("id"), rows_per_shard=rows_per_shard))
 
 
-def shard_rows(build: Build, images: DataFrame) -> DataFrame:
-    """Published rows with `image`, their position and the name of their shard file."""
+def shard_rows(build: Build, images: DataFrame | None = None) -> DataFrame:
+    """Published rows with their position, the name of their shard file and, if given, `image`."""
     totals = build.placed.agg((F.max("shard") + 1).alias("n")).scalar()
     placed = build.placed.select("id", "pos", shard_name(F.col("shard"), totals).alias("file"))
-    return build.rows.join(placed, "id").join(images.select("id", "image"), "id")
+    rows = build.rows.join(placed, "id")
+    return rows if images is None else rows.join(images.select("id", "image"), "id")
 
 
 def publish(
@@ -56,14 +73,24 @@ def publish(
     sidecars: DataFrame,
     scores: DataFrame,
     manual: DataFrame,
-    images: DataFrame,
+    images: DataFrame | PayloadFiles,
     folder: str,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """Writes data/, metadata/, report/ and excluded/ below `folder`; returns the shard manifest."""
+    """Writes data/, metadata/, report/ and excluded/ below `folder`; returns the shard manifest.
+
+    `images` is a table (id, image), whose bytes are shuffled to their shards, or a `PayloadFiles`,
+    whose files are read by the task that writes the shard.
+    """
     build = plan_build(payloads, sidecars, scores, manual, threshold)
     write_metadata(build.rows, f"{folder}/metadata")
-    manifest = freeze(write_shards(shard_rows(build, images), f"{folder}/data"))
+    if isinstance(images, PayloadFiles):
+        written = write_shards_from_files(
+            shard_rows(build), f"{folder}/data", images.folder, images.make_encoder, images.suffix
+        )
+    else:
+        written = write_shards(shard_rows(build, images), f"{folder}/data")
+    manifest = freeze(written)
     report = build_report(build.classified, build.prompt_ids, manifest, threshold)
     excluded = build.classified.filter(F.col("class") != "kept").select("class", "id")
     write_report(report, excluded, folder)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -41,39 +41,39 @@ def shard_name(shard: Column, total: Column) -> Column:
     return F.format_string("train-%05d-of-%05d.parquet", shard, total)
 
 
-def write_shards(df: DataFrame, folder: str, rows_per_group: int = S.ROWS_PER_GROUP) -> DataFrame:
-    """Writes each shard to its own Parquet file; returns (shard, rows, bytes).
-
-    `df` holds `file` (name of the shard's file), `pos`, `image` and the recipe columns. A shard is
-    bounded by its row count; it is streamed to the file one row group at a time, in `pos` order,
-    because the rows reach the writer already sorted by (file, pos). Lazy: written when read.
-    """
-    columns = ["image"] + [name for name, _, _ in S.RECIPE_COLUMNS]
-    rows = df.select("file", "pos", *columns).repartition("file").sortWithinPartitions("file", "pos")
+def _write_sorted(rows: DataFrame, folder: str, rows_per_group: int, add_images=None) -> DataFrame:
+    """One file per value of `file`, streamed in `pos` order one row group at a time."""
+    columns = [f.name for f in shard_schema()]
 
     def put(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
         file, schema, written = key[0].as_py(), shard_schema(), 0
+        images = add_images() if add_images else None
 
         def fill(sink) -> None:
             nonlocal written
             held, last = None, -1
             with pq.ParquetWriter(sink, schema, compression="zstd") as writer:
+
+                def flush(group: pa.Table) -> None:
+                    nonlocal written
+                    whole = group if images is None else images(group)
+                    writer.write_table(whole.select(columns).cast(schema))
+                    written += group.num_rows
+
                 for batch in batches:
                     positions = batch.column("pos").to_pylist()
                     if any(b <= a for a, b in zip([last, *positions], positions)):
                         raise ValueError(f"rows of {file} are not in order")
                     last = positions[-1] if positions else last
-                    part = pa.Table.from_batches([batch]).select(columns).cast(schema)
+                    part = pa.Table.from_batches([batch])
                     held = part if held is None else pa.concat_tables([held, part])
                     while held.num_rows >= rows_per_group:
-                        writer.write_table(held.slice(0, rows_per_group))
-                        written += rows_per_group
+                        flush(held.slice(0, rows_per_group))
                         held = held.slice(rows_per_group)
                 if held is not None and held.num_rows:
-                    writer.write_table(held)
-                    written += held.num_rows
+                    flush(held)
 
         size = put_file(f"{folder}/{file}", fill)
         yield pa.RecordBatch.from_arrays(
@@ -85,7 +85,50 @@ def write_shards(df: DataFrame, folder: str, rows_per_group: int = S.ROWS_PER_GR
             ["shard", "rows", "bytes"],
         )
 
-    return rows.groupBy("file").applyInArrow(put, "shard string, rows bigint, bytes bigint")
+    # The writer needs (file, pos) order; grouping by file keeps this exchange and this sort.
+    ordered = rows.repartition("file").sortWithinPartitions("file", "pos")
+    return ordered.groupBy("file").applyInArrow(put, "shard string, rows bigint, bytes bigint")
+
+
+def write_shards(df: DataFrame, folder: str, rows_per_group: int = S.ROWS_PER_GROUP) -> DataFrame:
+    """Writes each shard to its own Parquet file; returns (shard, rows, bytes).
+
+    `df` holds `file` (name of the shard's file), `pos`, `image` and the recipe columns. A shard is
+    bounded by its row count. Lazy: written when the result is read.
+    """
+    columns = [name for name, _, _ in S.RECIPE_COLUMNS]
+    return _write_sorted(df.select("file", "pos", "image", *columns), folder, rows_per_group)
+
+
+def write_shards_from_files(
+    df: DataFrame,
+    folder: str,
+    payload_folder: str,
+    make_encoder: Callable[[], Callable[[bytes], bytes]],
+    suffix: str,
+    rows_per_group: int = S.ROWS_PER_GROUP,
+) -> DataFrame:
+    """The same for payloads that lie as `<id>.png` in a shared folder.
+
+    Only the recipe rows are shuffled: the task that writes a shard reads and encodes its payloads,
+    one row group at a time. For large archives, where payload bytes are nearly all of the data.
+    """
+
+    def add_images():
+        encoder = make_encoder()
+        system, base = open_folder(payload_folder)
+
+        def images(group: pa.Table) -> pa.Table:
+            cells = []
+            for name in group.column("id").to_pylist():
+                with system.open_input_file(f"{base}/{name}.png") as source:
+                    cells.append({"bytes": encoder(source.read()), "path": f"{name}{suffix}"})
+            return group.append_column("image", pa.array(cells, shard_schema().field("image").type))
+
+        return images
+
+    columns = [name for name, _, _ in S.RECIPE_COLUMNS]
+    return _write_sorted(df.select("file", "pos", *columns), folder, rows_per_group, add_images)
 
 
 def write_metadata(df: DataFrame, path: str) -> None:

@@ -104,6 +104,18 @@ def test_publish(spark, tmp_path):
     assert excluded == {("manual", names[5]), ("no_sidecar", names[0]), ("not_scored", names[3]), ("nsfw", names[7])}
 
 
+def test_payload_files_are_read_by_the_shard_writer(spark, tmp_path):
+    names, payloads, sidecars, scores, manual = build_inputs(spark, 230)
+    files.write_files(payloads.withColumn("name", F.concat("id", F.lit(".png"))), str(tmp_path / "in"), "name", "content").count()
+    source = publish.PayloadFiles(str(tmp_path / "in"), lambda: bytes.upper, ".up")
+    found = readers.scan_payloads(spark, str(tmp_path / "in")).withColumnRenamed("stem", "id")
+    manifest = publish.publish(found, sidecars, scores, manual, source, str(tmp_path / "set"))
+    assert [(r["shard"], r["rows"]) for r in manifest.collect()] == [("train-00000-of-00001.parquet", 226)]
+    cells = pq.read_table(tmp_path / "set/data/train-00000-of-00001.parquet", columns=["id", "image"]).to_pylist()
+    assert [c["id"] for c in cells] == [x for i, x in enumerate(names) if i not in (0, 3, 5, 7)]
+    assert all(c["image"] == {"bytes": c["id"].upper().encode(), "path": c["id"] + ".up"} for c in cells)
+
+
 def test_shard_writer_keeps_the_group_order_without_another_sort(spark):
     _, payloads, *_ = build_inputs(spark, 10)
     rows = payloads.select(F.substring("id", 1, 12).alias("file"), F.monotonically_increasing_id().alias("pos"), *[
