@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sievework import schema as S
 from sievework.functions import names, recipe
-from sievework.operators.ordering import attach
 from sievework.session import freeze
 
 
@@ -179,10 +178,13 @@ def rename_plan(
     late = F.col("__exists") if dry_run else (
         F.col("__exists") | (F.concat("stem", F.lit(".png")) > F.col("__first"))
     )
-    planned = attach(rows, targets, ["new_stem"], "left")
-    outcome = F.coalesce("__early", F.when(late, "collision").otherwise("renamed"))
-    return planned.select(
+    # Rows decided early have no target; kept out of the join, they cannot pile up on one null key.
+    decided = rows.filter(F.col("new_stem").isNull()).select(
+        "stem", F.col("__early").alias("outcome"), F.lit(None).cast("string").alias("new_stem")
+    )
+    wanted = rows.filter(F.col("new_stem").isNotNull()).join(targets, "new_stem").select(
         "stem",
-        outcome.alias("outcome"),
-        F.when(F.col("__early").isNull() & ~late, F.col("new_stem")).alias("new_stem"),
+        F.when(late, "collision").otherwise("renamed").alias("outcome"),
+        F.when(~late, F.col("new_stem")).alias("new_stem"),
     )
+    return decided.unionByName(wanted)

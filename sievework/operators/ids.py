@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievework import schema as S
-from sievework.operators.ordering import attach, ordered_positions, running_sums
+from sievework.operators.ordering import ordered_positions, running_sums
 
 
 def dense_prompt_id(rows: DataFrame, subject: str = "prompt_subject") -> DataFrame:
@@ -22,7 +22,7 @@ def dense_prompt_id(rows: DataFrame, subject: str = "prompt_subject") -> DataFra
 
 
 def prompt_id_join(rows: DataFrame, prompt_ids: DataFrame, subject: str = "prompt_subject") -> DataFrame:
-    return attach(rows, prompt_ids, [subject])
+    return rows.join(prompt_ids, subject)
 
 
 def shard_assign(rows: DataFrame, key: str = "id", rows_per_shard: int = S.ROWS_PER_SHARD) -> DataFrame:

@@ -58,7 +58,7 @@ def multiset_gain(lines: DataFrame, base: DataFrame, order: Sequence[str]) -> Da
     known = base.select("line", F.col("n").alias("__base"))
     totals = line_multiset(lines).join(known, "line", "left")
     totals = totals.select("line", F.col("n").alias("__total"), F.coalesce("__base", F.lit(0)).alias("__base"))
-    rows = attach(lines, totals.filter("__total > __base"), ["line"])
+    rows = lines.join(totals.filter("__total > __base"), "line")
     fresh = rows.filter("__base = 0").select(lines.columns)
     partly = positions_within(rows.filter("__base > 0"), ["line"], list(order), "__pos")
     return fresh.unionByName(partly.filter("__pos >= __base").select(lines.columns))

@@ -11,8 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sievework.operators.ordering import attach
-
 # Buckets per factor e of the value, and a shift that keeps bucket numbers of one sign together.
 _BUCKETS_PER_E = 64
 _SHIFT = 1 << 17
@@ -27,13 +25,20 @@ def value_bucket(value: Column) -> Column:
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """One row per key with a column per entry of `probs`; null and NaN values are skipped."""
+    """One row per key with a column per entry of `probs`; null keys, null and NaN values are skipped.
+
+    The joins are plain equalities on columns the windows and aggregates partition by, so the
+    counted values are shuffled twice in all: by (key, value), then by (key, bucket).
+    """
     grouped = list(keys) or ["__all"]
     v = F.col(value).cast("double")
     source = df if keys else df.withColumn("__all", F.lit(1))
+    known = F.col("__v").isNotNull() & ~F.isnan("__v")
+    for key in grouped:
+        known = known & F.col(key).isNotNull()
     counted = (
         source.select(*grouped, v.alias("__v"))
-        .filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+        .filter(known)
         .groupBy(*grouped, "__v")
         .agg(F.count("*").alias("__c"))
         .withColumn("__b", value_bucket(F.col("__v")))
@@ -52,9 +57,11 @@ def exact_quantiles(
         )
     )
     inside = Window.partitionBy(*grouped, "__b").orderBy("__v")
-    rows = attach(
-        counted.withColumn("__cum", F.sum("__c").over(inside)), buckets, [*grouped, "__b"]
-    ).withColumn("__end", F.col("__before") + F.col("__cum"))
+    rows = (
+        counted.withColumn("__cum", F.sum("__c").over(inside))
+        .join(buckets, [*grouped, "__b"])
+        .withColumn("__end", F.col("__before") + F.col("__cum"))
+    )
 
     def covers(position: Column) -> Column:
         return (position < F.col("__end")) & (position >= F.col("__end") - F.col("__c"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sievework.operators.ordering import attach, ordered_positions
+from sievework.operators.ordering import ordered_positions
 from sievework.operators.quantiles import exact_quantiles
 
 
@@ -28,7 +28,7 @@ def category_summary(
         F.count("*").alias("n_rows"), F.count_distinct(prompt).alias("n_prompts")
     )
     median = exact_quantiles(known, [category], score, {"median_score": 0.5})
-    return attach(counts, median, [category], "left").orderBy(F.desc("n_rows"), category)
+    return counts.join(median, category, "left").orderBy(F.desc("n_rows"), category)
 
 
 def size_counts(df: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def seed_spread(df: DataFrame, prompt: str = "prompt_id", score: str = "score",
         .filter(F.col("n") >= min_n)
     )
     quantiles = exact_quantiles(df, [prompt], score, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    return attach(sizes, quantiles, [prompt], "left")
+    return sizes.join(quantiles, prompt, "left")
 
 
 def spread_median(spread: DataFrame) -> DataFrame:

@@ -29,6 +29,9 @@ def put_file(path: str, write) -> int:
     with system.open_output_stream(temporary) as sink:
         write(sink)
     size = system.get_file_info(temporary).size
+    # Some file systems refuse to move onto a file that an earlier attempt has left.
+    if system.get_file_info(target).is_file:
+        system.delete_file(target)
     system.move(temporary, target)
     return size
 
