@@ -12,13 +12,13 @@ from sievework.schema import RECORD_FIELDS
 from sievework.sources import readers, writers
 
 RULES = rc.RecordRules()
-BODY = "- **What:** x\n- **Why:** y\n- **Next:** z\n"
+BODY = "Text of the record.\n"
 
 
 def record(**changes):
     base = {
-        "title": "A task", "status": "next", "area": "ci", "due": None, "updated": "2026-10-02",
-        "owner": "agent", "brief": "do the thing", "refs": [], "test": None,
+        "title": "Plain record", "status": "next", "area": "ci", "due": None, "updated": "2026-10-02",
+        "owner": "agent", "brief": "short note", "refs": [], "test": None,
     }
     return {**base, **changes}
 
@@ -43,11 +43,11 @@ def fm(spark, text):
 
 
 def test_round_trip(spark):
-    data = record(title='Quotes "and" colons: ok — \\ dash\ttab', refs=["abc1234", "x.md#y", 'q"'], test="a > b")
+    data = record(title='Say "so": this – \\ and\ttab', refs=["r-1", "page#2", 'q"'], test="first < second")
     schema = ", ".join(f"{k} {'array<string>' if k == 'refs' else 'string'}" for k in RECORD_FIELDS)
     df = spark.createDataFrame([tuple(data[k] for k in RECORD_FIELDS)], schema)
     text = df.select(front_matter_write({k: F.col(k) for k in RECORD_FIELDS}).alias("t")).first()["t"]
-    assert text == written(data).replace("\\u2014", "—")
+    assert text == written(data).replace("\\u2013", "–")
     got = fm(spark, text + "body\n")
     assert got["errors"] == [] and got["body"] == "body\n" and got["keys"] == RECORD_FIELDS
     assert {**got["scalars"], **got["lists"]} == data
@@ -55,13 +55,13 @@ def test_round_trip(spark):
 
 def test_hand_written_subset(spark):
     text = "\n".join([
-        "---", "title: Bare title with words", "brief: 'it''s single quoted'", "due: ~",
-        "refs: [abc, \"d,e\", 'f']", "test:", "extra:", "  - one", "", "  - \"two\"", "---", "body",
+        "---", "title: No quotes here", "brief: 'that''s one'", "due: ~",
+        "refs: [one, \"two,three\", 'four']", "test:", "more:", "  - red", "", "  - \"blue\"", "---", "body",
     ])
     got = fm(spark, text)
     assert got["errors"] == [] and got["body"] == "body"
-    assert got["scalars"] == {"title": "Bare title with words", "brief": "it's single quoted", "due": None, "test": None}
-    assert got["lists"] == {"refs": ["abc", "d,e", "f"], "extra": ["one", "two"]}
+    assert got["scalars"] == {"title": "No quotes here", "brief": "that's one", "due": None, "test": None}
+    assert got["lists"] == {"refs": ["one", "two,three", "four"], "more": ["red", "blue"]}
 
 
 @pytest.mark.parametrize(
@@ -73,7 +73,7 @@ def test_hand_written_subset(spark):
         ("---\ntitle: x\n", ["unterminated"]),
         ("---\n---\n", []),
         ("---\n\n---", []),
-        ("---\ntitle: x\ntitle: y\nnot yaml at all\n---\n", ["line 3: duplicate", "line 4: cannot parse"]),
+        ("---\ntitle: x\ntitle: y\njust some words\n---\n", ["line 3: duplicate", "line 4: cannot parse"]),
         ("---\n  - stray\na: \"x\nb: [q\nc: 'z\n---\n", ["line 2: cannot", "line 3: bad", "line 4: unterminated inline", "line 5: unterminated single"]),
         ("---\na:\n  - \"x\n  - y\nb: z\n  - w\n---\n", ["line 3: bad", "line 6: cannot"]),
         ("---\nkey:value\n9k: x\n---\n", ["line 2: cannot", "line 3: cannot"]),
@@ -99,13 +99,13 @@ def faults():
     no_owner = written(record()).replace("owner: agent\n", "")
     return [
         ("missing field", no_owner, 'missing field "owner"'),
-        ("status", written(record(status="pending")), 'unknown status "pending"'),
-        ("area", written(record(area="misc")), 'unknown area "misc"'),
-        ("malformed due", written(record(due="2026-9-30")), 'due "2026-9-30" is not a valid'),
-        ("impossible due", written(record(due="2026-02-30")), 'due "2026-02-30" is not a valid'),
+        ("status", written(record(status="paused")), 'unknown status "paused"'),
+        ("area", written(record(area="attic")), 'unknown area "attic"'),
+        ("malformed due", written(record(due="2025-1-07")), 'due "2025-1-07" is not a valid'),
+        ("impossible due", written(record(due="2025-04-31")), 'due "2025-04-31" is not a valid'),
         ("undated", written(record(status="scheduled")), "needs a due date"),
         ("no test", written(record(status="known-failure")), "needs the exact failing test"),
-        ("unknown field", written(record()).replace("---\n", "---\nstauts: now\n", 1), 'unknown field "stauts"'),
+        ("unknown field", written(record()).replace("---\n", "---\ncolour: red\n", 1), 'unknown field "colour"'),
     ]
 
 
@@ -125,7 +125,7 @@ def test_more_violations(spark):
     cells = [
         ("records/ci/Bad_Name.md", written(record()) + BODY),
         ("records/ci/empty.md", written(record()) + " \n"),
-        ("records/ci/list-title.md", written(record()).replace('title: "A task"', "title: [a, b]") + BODY),
+        ("records/ci/list-title.md", written(record()).replace('title: "Plain record"', "title: [a, b]") + BODY),
         ("records/ci/brief.md", written(record(brief="two\nlines")) + BODY),
         ("records/ci/text.md", "not front matter\n"),
     ]
@@ -137,11 +137,11 @@ def test_more_violations(spark):
 def corpus(spark):
     return parsed(
         spark,
-        ("records/ci/flaky.md", written(record(title="Gallery flake", status="known-failure", test='Foo "bar"')) + BODY),
-        ("records/models/read.md", written(record(title="Dev read", status="scheduled", area="models", due="2026-10-03")) + BODY),
-        ("records/models/later.md", written(record(title="Later", status="scheduled", area="models", due="2026-11-03")) + BODY),
-        ("records/models/call.md", written(record(title="Decide", status="waiting", area="models", owner="owner", due="2026-10-20")) + BODY),
-        ("records/docs/grid.md", written(record(title="Sample grid", area="docs")) + "- one per Kodachrome category\n"),
+        ("records/ci/flaky.md", written(record(title="Shaky check", status="known-failure", test='Suite "one"')) + BODY),
+        ("records/models/read.md", written(record(title="Early one", status="scheduled", area="models", due="2026-10-03")) + BODY),
+        ("records/models/later.md", written(record(title="Late one", status="scheduled", area="models", due="2026-11-03")) + BODY),
+        ("records/models/call.md", written(record(title="Choice", status="waiting", area="models", owner="owner", due="2026-10-20")) + BODY),
+        ("records/docs/grid.md", written(record(title="Grid of picks", area="docs")) + "painted in Vermilion\n"),
         ("records/done/ci/old.md", written(record(title="Old", status="done")) + BODY),
     )
 
@@ -157,7 +157,7 @@ def test_record_query(spark):
     assert found(status="done") == ["old.md"] and len(found(show_all=True)) == 6
     assert found(area="docs") == ["grid.md"] and found(owner="owner") == ["call.md"]
     assert found(due_before="2026-10-03") == ["read.md"] and len(found(due_before="2026-10-31")) == 2
-    assert found(test="FOO") == ["flaky.md"] and found(grep="KODACHROME") == ["grid.md"]
+    assert found(test="SUITE") == ["flaky.md"] and found(grep="VERMILION") == ["grid.md"]
     for bad in ("10/03", "2026-02-30"):
         with pytest.raises(ValueError):
             rc.record_query(fields, due_before=bad)
@@ -168,10 +168,10 @@ def test_grouped_report(spark):
     text = [r["line"] for r in rows]
     assert text[0] == "> 5 open records · 1 done"
     assert [t for t in text if t.startswith("## ")] == [f"## {h}" for _, h in RULES.sections]
-    assert "- [ ] Dev read — do the thing · due 2026-10-03 · _models_ · [details](records/models/read.md)" in text
-    assert '- [ ] Gallery flake — do the thing · test `Foo "bar"` · _ci_ · [details](records/ci/flaky.md)' in text
+    assert "- [ ] Early one — short note · due 2026-10-03 · _models_ · [details](records/models/read.md)" in text
+    assert '- [ ] Shaky check — short note · test `Suite "one"` · _ci_ · [details](records/ci/flaky.md)' in text
     assert text.index("_None._") == 2 and not any("Old" in t for t in text)
-    assert [t[6:9] for t in text].index("Dev") < [t[6:9] for t in text].index("Lat")
+    assert [t[6:9] for t in text].index("Ear") < [t[6:9] for t in text].index("Lat")
     assert not any("owner owner" in t for t in text)
 
 
@@ -183,7 +183,7 @@ def test_filing_and_drift(spark):
         ("records/ci/moved.md", written(record(area="docs")) + BODY),
         ("records/ci/same.md", written(record()) + BODY),
         ("records/done/ci/same.md", written(record(status="done")) + BODY),
-        ("records/ci/bad.md", written(record(area="misc")) + BODY),
+        ("records/ci/bad.md", written(record(area="attic")) + BODY),
     )
     assert {tuple(r) for r in rc.misfiled_records(records, RULES).collect()} == {
         ("records/ci/finished.md", "records/done/ci/finished.md"),
@@ -226,7 +226,7 @@ def sections(spark, *texts):
 
 
 def test_sections_keep_every_line(spark):
-    texts = ["# T\n\n## Open\n- [ ] Keep me\n", "", "\n", "no heading", "## a\n## b\n\n\n", "x\n\n"]
+    texts = ["# Top\n\n## Part\nkept line\n", "", "\n", "no heading", "## a\n## b\n\n\n", "x\n\n"]
     cut = ln.section_digest(sections(spark, *texts)).orderBy("doc", "idx").collect()
     whole = {}
     for r in cut:
@@ -235,7 +235,7 @@ def test_sections_keep_every_line(spark):
         assert whole.get(i, "") == (text if text.endswith("\n") or not text else text + "\n")
     first = [r for r in cut if r["doc"] == 0]
     assert [(r["section_id"], r["heading"], r["start_line"], r["line_count"], r["bytes"]) for r in first] == [
-        ("S000", None, 1, 2, 5), ("S001", "## Open", 3, 2, 22)
+        ("S000", None, 1, 2, 7), ("S001", "## Part", 3, 2, 18)
     ]
 
 
@@ -252,24 +252,24 @@ def test_missing_lines_count_repeats(spark):
     def bag(*lines):
         return ln.line_multiset(spark.createDataFrame([(x,) for x in lines], "line string"))
 
-    missing = ln.multiset_missing(bag("Same", "Same", "Another"), bag("Same", "Changed"))
-    assert {tuple(r) for r in missing.collect()} == {("Same", 2, 1), ("Another", 1, 0)}
+    missing = ln.multiset_missing(bag("aa", "aa", "bb"), bag("aa", "cc"))
+    assert {tuple(r) for r in missing.collect()} == {("aa", 2, 1), ("bb", 1, 0)}
 
 
 META = "doc int, heading string, disposition string, merge_into string, slug string, area string, status string, is_part boolean, first int, last int"
 
 
 def test_routes(spark):
-    cut = sections(spark, "# T\n\n## Open\n- [ ] One\n- [ ] Two\n## Same\nx\n## Odd\n## Lost\n## Bad\n")
+    cut = sections(spark, "# Top\n\n## Part\nfirst\nsecond\n## Same\nx\n## Odd\n## Lost\n## Bad\n")
     metas = spark.createDataFrame(
         [
             (0, None, "archive", None, None, None, None, False, None, None),
-            (0, "## Open", "split", None, None, None, None, False, None, None),
-            (0, "## Open", None, None, "one", "models", "next", True, 1, 2),
-            (0, "## Open", None, None, "two", "models", "done", True, 3, 3),
+            (0, "## Part", "split", None, None, None, None, False, None, None),
+            (0, "## Part", None, None, "one", "models", "next", True, 1, 2),
+            (0, "## Part", None, None, "two", "models", "done", True, 3, 3),
             (0, "## Same", "file", None, "same", "ci", "next", False, None, None),
             (0, "## Odd", "merge", "## Same", None, None, None, False, None, None),
-            (0, "## Bad", "merge", "## Open", None, None, None, False, None, None),
+            (0, "## Bad", "merge", "## Part", None, None, None, False, None, None),
         ],
         META,
     )
@@ -289,7 +289,7 @@ def test_routes(spark):
 
 
 def test_uncovered_lines(spark):
-    cut = sections(spark, "## Open\n- [ ] One\n- [ ] Two\n\n")
+    cut = sections(spark, "## Part\nfirst\nsecond\n\n")
     ranges = spark.createDataFrame([(0, 0, 1, 2)], "doc int, idx int, first int, last int")
     assert [r["n"] for r in ln.range_coverage(cut, ranges, ["doc", "idx"]).collect()] == [3]
     wide = spark.createDataFrame([(0, 0, 2, 2_000_000_000)], "doc int, idx int, first int, last int")
@@ -297,7 +297,7 @@ def test_uncovered_lines(spark):
 
 
 def test_cut_ranges(spark):
-    cut = sections(spark, "# T\n\nHand\n\n## Open\n\n- done\n- keep\n")
+    cut = sections(spark, "# Top\n\nnote\n\n## Part\n\nold\nnew\n")
     ranges = spark.createDataFrame([(0, 1, 3, 3)], "doc int, idx int, first bigint, last bigint")
     parts, errors = ln.cut_ranges(cut, ranges, ["doc", "idx"])
     got = {(r["idx"], r["kind"], r["abs_first"], r["abs_last"]) for r in parts.collect()}
