@@ -558,6 +558,33 @@ def write_shards(spark, sf):
     return _published(spark, sf, "build")[1].select("shard", "rows")
 
 
+@query(
+    "write_shards_from_files",
+    """WITH k AS (SELECT page_id::VARCHAR AS id, html, url, row_number() OVER (ORDER BY page_id::VARCHAR) - 1 AS pos,
+      count(*) OVER () AS total FROM pages WHERE url NOT LIKE '%#%')
+    SELECT printf('train-%05d-of-%05d.parquet', pos // 500, CAST(ceil(total / 500.0) AS BIGINT)) AS shard, id,
+    id || '.raw' AS path, CAST(strlen(html) AS BIGINT) AS n_bytes, CAST(length(url) AS BIGINT) AS seed FROM k""",
+)
+def write_shards_from_files(spark, sf):
+    """Every page as a payload file, read by the task that writes its shard; then read back."""
+    payload_folder, folder = work_path(spark, "page-files"), work_path(spark, "page-set")
+    _page_files(spark, sf, payload_folder)
+    pages = table(spark, sf, "pages").withColumn("id", F.col("page_id").cast("string"))
+    subject = F.substring_index(F.substring_index("url", "://", -1), "/", 1).alias("prompt_subject")
+    side = pages.select("id", F.to_json(F.struct(subject, F.length("url").alias("seed"))).alias("raw"))
+    prob = F.when(F.contains("url", F.lit("#")), 0.9).otherwise(0.1)
+    scores = pages.select("id", F.lit(5.0).alias("laion_aesthetic"), prob.alias("nsfw_prob"))
+    payloads = readers.scan_payloads(spark, payload_folder).withColumnRenamed("stem", "id")
+    source = job.PayloadFiles(payload_folder, lambda: bytes, ".raw")
+    nothing_listed = spark.createDataFrame([], "id string")
+    job.publish(payloads, side, scores, nothing_listed, source, folder)
+    back = spark.read.parquet(f"{folder}/data")
+    return back.select(
+        F.col("_metadata.file_name").alias("shard"), "id", "image.path",
+        F.octet_length("image.bytes").cast("bigint").alias("n_bytes"), "seed",
+    )
+
+
 @query(
     "footer_metadata",
     f"""WITH {_BUILT} SELECT shard, CAST(ceil(rows / 100.0) AS BIGINT) AS row_groups, rows,
