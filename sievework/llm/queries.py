@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe
+from sievework.llm import bpe, curriculum, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,3 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.encode_digests(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("op8_curriculum")
+def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
