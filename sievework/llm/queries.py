@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, curriculum, simhash
+from sievework.llm import bpe, curriculum, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,3 +46,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_curriculum")
 def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, "doc_id", "text", toxicity.train(docs, labels, "doc_id", "text", "toxic"))

@@ -211,3 +211,21 @@ def near_duplicates(docs: DataFrame, key: str, text: str, words: int = 3) -> Dat
     named = rooted.join(least, "root").select("fp", "component_id")
     out = marked.join(named, "fp")
     return out.select(F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns as they are.
+
+    The row of the group's smallest key stays; where that key is repeated, the smallest of its rows
+    by all columns. A group of null keys only keeps one row with a null key. Texts are only moved
+    for repeated keys.
+    """
+    near = freeze(near_duplicates(docs, key, text, words))
+    per_key = near.groupBy(key).agg(F.count("*").alias("__n"), F.max(F.col(key).eqNullSafe(F.col("component_id"))).alias("__keeps"))
+    kept = freeze(per_key.filter("__keeps").select(F.col(key).alias("__key"), "__n"))
+    chosen = docs.join(kept, docs[key].eqNullSafe(kept["__key"]))
+    single = chosen.filter("__n = 1").select(*[docs[c] for c in docs.columns])
+    repeated = chosen.filter("__n > 1")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    first = repeated.groupBy("__key").agg(F.min(row).alias("__row")).select("__row.*")
+    return single.unionByName(first)
