@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, curriculum, simhash, toxicity
+from sievework.llm import bpe, curriculum, simhash, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,3 +52,48 @@ def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, "doc_id", "text", toxicity.train(docs, labels, "doc_id", "text", "toxic"))
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
+
+URL_SQL = rf"""
+WITH cut AS (
+    SELECT page_id,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages
+), rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES}),
+fits AS (
+    SELECT cut.*, rule_host || rule_path AS rule, rule_verdict,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST, length(rule_host) DESC) AS place
+    FROM cut LEFT JOIN rules
+    ON (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM fits WHERE place = 1
+"""
+
+
+@query("op1_url_filter", URL_SQL)
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+WARC_SQL = f"""
+WITH rows AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), kept AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM rows
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= {warc.LEAST} AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= {warc.LEAST} AND page_id <> keeper THEN keeper END AS refers_to
+FROM kept
+"""
+
+
+@query("op9_warc", WARC_SQL)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
