@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, curriculum, simhash, toxicity, url_filter, warc
+from sievework.llm import backoff, bpe, curriculum, hash_index, nn_descent, simhash, toxicity, url_filter, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,3 +97,55 @@ FROM kept
 @query("op9_warc", WARC_SQL)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
+
+
+@query("op2_nn_descent")
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_hash_index")
+def op3_hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_index.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return wordpiece.lengths(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+
+
+_TOKENS = r"regexp_extract_all(lower_ascii, '[^\x20\x09-\x0D]+')"
+
+BACKOFF_SQL = f"""
+WITH low AS (
+    SELECT doc_id, translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS lower_ascii FROM documents
+), split AS (SELECT doc_id, {_TOKENS} AS words FROM low),
+tokens AS (
+    SELECT doc_id, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS v
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM split)
+), counted AS (
+    SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+        count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2,
+        count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS rest
+    FROM tokens
+), context AS (
+    SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS cv FROM counted
+), scored AS (
+    SELECT doc_id, v IS NOT NULL AND c2 = 0 AS shortened,
+        CASE WHEN v IS NOT NULL AND c2 > 0 THEN ln(c2 / cv)
+            ELSE ln(greatest(c1, 1) / greatest(rest, 1)) + CASE WHEN v IS NOT NULL THEN ln({backoff.ALPHA}) ELSE 0 END END AS value
+    FROM context
+), summed AS (
+    SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (shortened) AS n_shortened,
+        sum(floor(value * {backoff.UNIT} + 0.5)::BIGINT)::BIGINT AS score_micro
+    FROM scored GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_shortened, 0) AS n_shortened, coalesce(score_micro, 0) AS score_micro
+FROM documents LEFT JOIN summed USING (doc_id)
+"""
+
+
+@query("op7_backoff", BACKOFF_SQL)
+def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents"), "doc_id", "text")
