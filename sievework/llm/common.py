@@ -62,3 +62,13 @@ def put_bounded(cache: dict, key, value, limit: int) -> None:
     if len(cache) >= limit:
         cache.clear()
     cache[key] = value
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The given column names, lengthened where the table has one of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

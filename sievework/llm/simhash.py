@@ -21,9 +21,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from sievework.llm.common import map_rows
+from sievework.llm.common import map_rows, slices, unused
 from sievework.llm.components import components
 from sievework.session import freeze
 
@@ -194,6 +194,16 @@ def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return ready.mapInArrow(_list_links, "a bigint, b bigint")
 
 
+def _grouped(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Rows (id, fp, root, component_id), one per input row; root tells groups apart, also those without a key."""
+    marked = freeze(fingerprints(docs, key, text, words))
+    classes = freeze(marked.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = components(near_links(classes.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
     """Rows (key, fingerprint, component_id), one per input row.
 
@@ -203,29 +213,37 @@ def near_duplicates(docs: DataFrame, key: str, text: str, words: int = 3) -> Dat
     its group but never names it (a group of null keys only has a null component_id). Repeated keys
     give repeated rows. No rows give no rows.
     """
-    marked = freeze(fingerprints(docs, key, text, words))
-    classes = freeze(marked.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(near_links(classes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    out = marked.join(named, "fp")
+    out = _grouped(docs, key, text, words)
     return out.select(F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _with_fingerprint(df: DataFrame, text: str, name: str, words: int) -> DataFrame:
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            own = np.array([fingerprint(t, words) for t in part.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own)], [*part.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def keep_one(docs: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
     """One row of each group of near duplicates, with all its columns as they are.
 
-    The row of the group's smallest key stays; where that key is repeated, the smallest of its rows
-    by all columns. A group of null keys only keeps one row with a null key. Texts are only moved
-    for repeated keys.
+    The row of the group's smallest key stays; if several rows of the group have that key, or none
+    has a key, the smallest of them by all columns. Only rows with repeated or null keys are moved.
     """
-    near = freeze(near_duplicates(docs, key, text, words))
-    per_key = near.groupBy(key).agg(F.count("*").alias("__n"), F.max(F.col(key).eqNullSafe(F.col("component_id"))).alias("__keeps"))
-    kept = freeze(per_key.filter("__keeps").select(F.col(key).alias("__key"), "__n"))
-    chosen = docs.join(kept, docs[key].eqNullSafe(kept["__key"]))
-    single = chosen.filter("__n = 1").select(*[docs[c] for c in docs.columns])
-    repeated = chosen.filter("__n > 1")
-    row = F.struct(*[docs[c] for c in docs.columns])
-    first = repeated.groupBy("__key").agg(F.min(row).alias("__row")).select("__row.*")
-    return single.unionByName(first)
+    own, many, packed, print_, root = unused(docs, "key_", "many_", "row_", "print_", "root_")
+    rows = freeze(_grouped(docs, key, text, words))
+    keeps = F.col("id").eqNullSafe(F.col("component_id"))
+    per_key = rows.groupBy("id").agg(F.count("*").alias("n"), F.max(keeps).alias("keeps")).filter("keeps")
+    kept = freeze(per_key.select(F.col("id").alias(own), ((F.col("n") > 1) | F.col("id").isNull()).alias(many)))
+    chosen = docs.join(kept, docs[key].eqNullSafe(kept[own]))
+    columns = [docs[c] for c in docs.columns]
+    single = chosen.filter(~F.col(many)).select(*columns)
+    repeated = _with_fingerprint(chosen.filter(many).select(*columns), text, print_, words)
+    named = rows.filter(keeps).select(F.col("id").alias(own), F.col("fp").alias(many), F.col("root").alias(root)).distinct()
+    met = repeated.join(named, repeated[key].eqNullSafe(named[own]) & (repeated[print_] == named[many]))
+    first = met.groupBy(root).agg(F.min(F.struct(*[repeated[c] for c in docs.columns])).alias(packed))
+    return single.unionByName(first.select(f"{packed}.*"))
