@@ -39,6 +39,20 @@ def over_threshold(prob: Column, threshold: float) -> Column:
     return F.coalesce((prob >= threshold) & ~F.isnan(prob), F.lit(False))
 
 
+def score_duplicates(scores: DataFrame, key: str = "id") -> DataFrame:
+    """(key, n): ids that are scored more than once."""
+    return scores.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def unique_scores(scores: DataFrame, key: str = "id") -> DataFrame:
+    """The scores; the job fails when it meets an id that is scored twice."""
+    values = [c for c in scores.columns if c != key]
+    first = [F.first(F.struct(*values)).alias("__row"), F.count("*").alias("__n")]
+    message = F.concat(F.lit("scored more than once: "), F.col(key).cast("string"))
+    checked = F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(message))
+    return scores.groupBy(key).agg(*first).select(key, checked.alias("__row")).select(key, "__row.*")
+
+
 def exclusion_class(
     payloads: DataFrame,
     sidecars: DataFrame,
@@ -49,12 +63,13 @@ def exclusion_class(
 ) -> DataFrame:
     """Adds `class`: the first that holds of no_sidecar, manual, not_scored, nsfw, else kept.
 
-    The threshold is tested on the double score; narrowing to float comes after it.
+    The threshold is tested on the double score; narrowing to float comes after it. The sidecar
+    listing and the manual list are sets, so repeated ids change nothing; a repeated score fails.
     """
     joined = (
-        payloads.join(sidecars.select(key).withColumn("__sidecar", F.lit(True)), key, "left")
-        .join(manual.select(key).withColumn("__manual", F.lit(True)), key, "left")
-        .join(scores.withColumn("__scored", F.lit(True)), key, "left")
+        payloads.join(sidecars.select(key).distinct().withColumn("__sidecar", F.lit(True)), key, "left")
+        .join(manual.select(key).distinct().withColumn("__manual", F.lit(True)), key, "left")
+        .join(unique_scores(scores, key).withColumn("__scored", F.lit(True)), key, "left")
     )
     case = (
         F.when(F.col("__sidecar").isNull(), "no_sidecar")

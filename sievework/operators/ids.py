@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievework import schema as S
-from sievework.operators.ordering import ordered_positions, running_sums
+from sievework.operators.ordering import ordered_positions, positions_within, running_sums
+
+
+# Ranks up to which Spark filters before the shuffle: the default of
+# spark.sql.optimizer.windowGroupLimitThreshold.
+RANKED_FILTER = 1000
 
 
 def dense_prompt_id(rows: DataFrame, subject: str = "prompt_subject") -> DataFrame:
@@ -49,9 +54,13 @@ def shard_totals(rows: DataFrame, size: str = "bytes", rows_per_shard: int = S.R
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """Digest of the values that make a row what it is; null differs from empty."""
-    shown = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
-    return F.md5(F.concat_ws("|", *shown))
+    """Digest of the values that make a row what it is; null differs from empty.
+
+    Each value is preceded by its length, so no two rows are written alike.
+    """
+    texts = [F.col(c).cast("string") for c in columns]
+    shown = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit("="), t), F.lit("-")) for t in texts]
+    return F.md5(F.concat(*shown))
 
 
 def shard_fingerprints(placed: DataFrame, columns: Sequence[str], key: str = "id", build: str = "") -> DataFrame:
@@ -88,12 +97,17 @@ def run_cap(
 ) -> DataFrame:
     """Rows of a run in `order` up to a row count and a byte count; first K rows per subject.
 
-    The run stops at the first row that would pass a cap. The per-subject filter is a ranked
-    filter that Spark applies in every task before its shuffle, so a large subject stays small.
+    The run stops at the first row that would pass a cap. Spark applies a ranked filter of few rows
+    in every task before the shuffle; beyond `RANKED_FILTER` it does not, and the rank comes from
+    range-sorted positions, so a large subject is spread over many tasks in both cases.
     """
     if subject is not None and per_subject is not None:
-        rank = F.row_number().over(Window.partitionBy(subject).orderBy(order))
-        rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= per_subject).drop("__rank")
+        if per_subject <= RANKED_FILTER:
+            rank = F.row_number().over(Window.partitionBy(subject).orderBy(order))
+            rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= per_subject).drop("__rank")
+        else:
+            placed = positions_within(rows, [subject], [order], "__rank")
+            rows = placed.filter(F.col("__rank") < per_subject).drop("__rank")
     if max_rows is None and max_bytes is None:
         return rows
     summed = running_sums(

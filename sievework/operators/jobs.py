@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sievework import schema as S
 from sievework.functions import draws, names, recipe
-from sievework.operators.ordering import positions_within, small
+from sievework.operators.ordering import positions_within
 from sievework.session import freeze
 
 
@@ -43,20 +43,21 @@ def weighted_draw(
     """Adds the drawn `category` and `subject`: category by weight, subject evenly inside it.
 
     The weight intervals are a literal, so the first draw is a projection. The second is an equi
-    join on (category, position); positions spread a large category over many keys.
+    join on (category, position); positions spread a large category over many keys. A drawn
+    category without subjects fails the job, so there is one row out for each index.
     """
     if category is not None and category not in weights:
         raise ValueError(f"unknown category {category!r}")
     drawn = F.lit(category) if category is not None else draws.weighted_choice(
         draws.uniform(seed, F.col("index"), "c"), weights
     )
-    rows = indexes.withColumn("category", drawn).join(small(bank_sizes(bank)), "category")
-    at = F.floor(draws.uniform(seed, F.col("index"), "s") * F.col("size"))
-    return (
-        rows.withColumn("position", at)
-        .join(small(bank.select("category", "position", "subject")), ["category", "position"])
-        .drop("position", "size")
-    )
+    rows = indexes.withColumn("category", drawn).join(bank_sizes(bank), "category", "left")
+    # The size is used below only where the check has passed.
+    missing = F.concat(F.lit("no subject in category "), F.coalesce("category", F.lit("null")))
+    size = F.coalesce("size", F.raise_error(missing).cast("bigint"))
+    at = F.floor(draws.uniform(seed, F.col("index"), "s") * size)
+    subjects = bank.select("category", "position", "subject")
+    return rows.withColumn("position", at).join(subjects, ["category", "position"], "left").drop("position", "size")
 
 
 def custom_subject(indexes: DataFrame, subject: str) -> DataFrame:

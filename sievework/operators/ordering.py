@@ -97,14 +97,3 @@ def running_sums(
         .drop(_MID, _PART, *[_BASE + a for a in amounts])
     )
 
-
-# Rows up to which a lookup table is sent to every task.
-SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint if the table is counted to have at most `limit` rows, else the table as is.
-
-    Streams need it: their plans are fixed before sizes are known. Give it a written table.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -8,22 +8,38 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def verify_copy(
-    source: DataFrame, copy: DataFrame, key: str, columns: Sequence[str], excluded: DataFrame | None = None
+    source: DataFrame, copy: DataFrame, key: str, columns: Sequence[str], excluded: DataFrame | None = None,
+    payload: str | None = None,
 ) -> DataFrame:
     """One row per finding: (id, finding, column_name, source_value, copy_value).
 
-    Findings: missing, unexpected, duplicate, excluded, mismatch (one per differing column).
+    Findings: missing, unexpected, excluded, duplicate (in the copy), source_duplicate, and one
+    mismatch per differing column. Where an id has several rows, the smallest and the largest value
+    of a column stand for them: if all equal the source's, both do, so no differing row is hidden,
+    and the one that differs is shown. With `payload`, content is compared too, by length and
+    SHA-256: findings length and digest.
     """
-    left = source.select(F.col(key).alias("id"), F.struct(*columns).alias("s"))
-    # One row per id keeps the join one-to-one; how often the id was there is kept beside it.
-    right = copy.groupBy(F.col(key).alias("id")).agg(
-        F.count("*").alias("n"), F.min(F.struct(*columns)).alias("c")
-    )
-    rows = left.join(right, "id", "full_outer")
+
+    def shown(df: DataFrame) -> DataFrame:
+        values = {c: F.col(c).cast("string") for c in columns}
+        if payload is not None:
+            values |= {"length": F.octet_length(payload).cast("string"), "digest": F.sha2(F.col(payload).cast("binary"), 256)}
+        return df.select(F.col(key).alias("id"), *[v.alias(f"__v_{c}") for c, v in values.items()])
+
+    names = [*columns, *(["length", "digest"] if payload is not None else [])]
+
+    def per_id(df: DataFrame, side: str) -> DataFrame:
+        spans = []
+        for c in names:
+            # A null is a value of its own, below all others.
+            marked = F.struct(F.col(f"__v_{c}").isNotNull().alias("known"), F.col(f"__v_{c}").alias("v"))
+            spans += [F.min(marked)["v"].alias(f"__{side}_low_{c}"), F.max(marked)["v"].alias(f"__{side}_high_{c}")]
+        return shown(df).groupBy("id").agg(F.count("*").alias(f"__{side}_n"), *spans)
+
+    rows = per_id(source, "s").join(per_id(copy, "c"), "id", "full_outer")
     if excluded is not None:
-        rows = rows.join(
-            excluded.select(F.col(key).alias("id")).distinct().withColumn("__ex", F.lit(True)), "id", "left"
-        )
+        listed = excluded.select(F.col(key).alias("id")).distinct().withColumn("__ex", F.lit(True))
+        rows = rows.join(listed, "id", "left")
     else:
         rows = rows.withColumn("__ex", F.lit(None).cast("boolean"))
     none = F.lit(None).cast("string")
@@ -34,19 +50,22 @@ def verify_copy(
             a.alias("source_value"), b.alias("copy_value"),
         )
 
-    has_s, has_c, ex = F.col("s").isNotNull(), F.col("c").isNotNull(), F.col("__ex").isNotNull()
+    has_s, has_c, ex = F.col("__s_n").isNotNull(), F.col("__c_n").isNotNull(), F.col("__ex").isNotNull()
     checks = [
         F.when(has_s & ~has_c & ~ex, finding("missing")),
         F.when(~has_s & has_c, finding("unexpected")),
         F.when(ex & has_c, finding("excluded")),
-        F.when(F.col("n") > 1, finding("duplicate")),
+        F.when(F.col("__c_n") > 1, finding("duplicate")),
+        F.when(F.col("__s_n") > 1, finding("source_duplicate")),
     ]
-    for c in columns:
-        s, d = F.col(f"s.{c}"), F.col(f"c.{c}")
+    for c in names:
+        s, t, low, high = (F.col(f"__{p}_{c}") for p in ("s_low", "s_high", "c_low", "c_high"))
+        other = F.when(s.eqNullSafe(low), high).otherwise(low)
+        name = c if c not in columns else "mismatch"
         checks.append(
             F.when(
-                has_s & has_c & ~s.eqNullSafe(d),
-                finding("mismatch", F.lit(c), s.cast("string"), d.cast("string")),
+                has_s & has_c & ~(s.eqNullSafe(low) & t.eqNullSafe(high)),
+                finding(name, F.lit(c) if c in columns else none, s, other),
             )
         )
     return rows.select("id", F.inline(F.filter(F.array(*checks), lambda x: x.isNotNull())))

@@ -392,31 +392,51 @@ def score_left_join(spark, sf):
     f"WITH {DOC} SELECT id, NOT is_manual AS kept FROM doc",
 )
 def manual_exclusion(spark, sf):
-    rows, listed = docs(spark, sf), doc_manual(spark, sf)
+    rows, listed = docs(spark, sf), _repeated(doc_manual(spark, sf))
     kept = curate.manual_exclusion(rows, listed).select("id", F.lit(True).alias("kept"))
     return kept.unionByName(
         curate.manual_exclusion(rows, listed, keep=False).select("id", F.lit(False).alias("kept"))
     )
 
 
-@query(
-    "resume_anti",
-    """SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-    ORDER BY source, doc_id LIMIT 150""",
-)
+_RESUME = "SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
+
+
+def _to_score(spark, sf, limit: int = 0) -> DataFrame:
+    rows = docs(spark, sf).withColumn("path", F.struct("source", "id"))
+    return curate.resume_work(rows, doc_scores(spark, sf), "path", limit=limit).select("id", "source")
+
+
+@query("resume_anti", f"{_RESUME} ORDER BY source, doc_id LIMIT 150")
 def resume_anti(spark, sf):
-    todo = curate.resume_work(
-        docs(spark, sf).withColumn("path", F.struct("source", "id")), doc_scores(spark, sf), "path", limit=150
-    )
-    return todo.select("id", "source")
+    return _to_score(spark, sf, limit=150)
+
+
+@query("resume_anti_all", _RESUME)
+def resume_anti_all(spark, sf):
+    return _to_score(spark, sf)
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    """Every row twice, as a list has them that was appended to again."""
+    return df.unionByName(df)
 
 
 def _classified(spark, sf) -> DataFrame:
     return curate.exclusion_class(
-        docs(spark, sf), doc_sidecars(spark, sf), doc_scores(spark, sf), doc_manual(spark, sf)
+        docs(spark, sf), _repeated(doc_sidecars(spark, sf)), doc_scores(spark, sf), _repeated(doc_manual(spark, sf))
     )
 
 
+@query(
+    "score_duplicates",
+    "SELECT doc_id AS id, 2 AS n FROM labels WHERE toxic = 1",
+)
+def score_duplicates(spark, sf):
+    scores = doc_scores(spark, sf)
+    return curate.score_duplicates(scores.unionByName(scores.filter("nsfw_prob = 1")))
+
+
 @query("exclusion_class", f"WITH {DOC} SELECT id, class FROM doc_class")
 def exclusion_class(spark, sf):
     return _classified(spark, sf).select("id", "class")
@@ -482,7 +502,7 @@ def shard_totals(spark, sf):
 _FINGERPRINT_COLUMNS = ["category", "prompt_subject", "event_id"]
 _PRINTS = IMG + """,
 hashed AS (
-  SELECT id, id || ':' || md5('=' || category || '|=' || prompt_subject || '|=' || event_id) AS item, caption FROM img
+  SELECT id, id || ':' || md5(length(category) || '=' || category || length(prompt_subject) || '=' || prompt_subject || length(event_id::VARCHAR) || '=' || event_id) AS item, caption FROM img
 ),
 p1 AS (SELECT item, row_number() OVER (ORDER BY id) - 1 AS pos FROM hashed),
 p2 AS (SELECT item, row_number() OVER (ORDER BY id) - 1 AS pos FROM hashed WHERE NOT coalesce(caption = 'cap 99', FALSE)),

@@ -165,8 +165,3 @@ def test_sweep_prompt(spark):
     assert stats.sweep_prompt(spread, min_n=31).count() == 0
     assert stats.sweep_prompt(spread, min_n=30).first()["prompt_id"] == 2
     assert stats.sweep_prompt(spread, explicit=1).first()["prompt_id"] == 1
-
-
-def test_small_is_checked(spark):
-    assert "BROADCAST" in ordering.small(spark.range(10), 10)._jdf.queryExecution().logical().toString().upper()
-    assert "BROADCAST" not in ordering.small(spark.range(11), 10)._jdf.queryExecution().logical().toString().upper()
