@@ -1,287 +1,170 @@
-"""Front matter of a text cell, parsed and written with built-in array functions.
+"""Front matter of a text cell: parsed by one pass over the header's lines, written with built-in functions.
 
 Grammar: a block between two `---` lines of `key: value` lines. A value is bare, "JSON quoted",
 'single quoted' (doubled quote inside), null or ~, an inline list [a, "b"], or empty and followed
-by `  - item` lines. All work stays in the row, so no line is moved between tasks.
+by `  - item` lines. The parser works on Arrow batches inside the tasks: no line is moved, each line
+is looked at once, and a repeated key costs a look-up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import json
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
-from sievework.functions.binding import let
-from sievework.functions.text import WHITE_SPACE, runs_of, trim_line
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-# White space within a line, and what may follow it: anything but a line end.
-_WS = r"[\t\x0B\f\r\p{Z}\x{FEFF}]"
-_REST = r"[^\n\r\x{2028}\x{2029}]*"
-# One match per header line: key, value | list item | anything else.
-_LINE = rf"(?md)^(?:([A-Za-z_][\w-]*):(?:{_WS}({_REST}))?|({_WS}+-{_REST})|([^\n]*))$"
-_PLAIN = r'[^"\\\x00-\x1F]*+'
-_JSON_STRING = rf'^"{_PLAIN}(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}){_PLAIN})*+"$'
-# One list element up to its comma; a comma inside quotes does not count.
-_ELEMENT = r"""\G((?:"(?:\\.|[^"\\])*(?:"|$)|'[^']*(?:'|$)|[^,"'])*),"""
-_CUT = "\x01"
-
-
-def parse_scalar(v: Column) -> Column:
-    """Struct (value, error) of one trimmed scalar."""
-    kind = (
-        F.when(v.isin("", "null", "~"), "null")
-        .when(v.startswith('"'), F.when(v.rlike(_JSON_STRING), "json").otherwise("bad json"))
-        .when(
-            v.startswith("'"),
-            F.when(v.endswith("'") & (F.length(v) > 1), "single").otherwise("bad single"),
-        )
-        .otherwise("plain")
-    )
-    inner = F.substr(v, F.lit(2), F.length(v) - 2)
-    decoded = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "v string")["v"]
-    return let(
-        kind,
-        lambda k: F.struct(
-            F.when(k == "plain", v)
-            .when(k == "json", F.when(F.contains(v, F.lit("\\")), decoded).otherwise(inner))
-            .when(k == "single", F.replace(inner, F.lit("''"), F.lit("'")))
-            .alias("value"),
-            F.when(k == "bad json", F.concat(F.lit("bad double-quoted value: "), v))
-            .when(k == "bad single", F.concat(F.lit("unterminated single-quoted value: "), v))
-            .alias("error"),
-        ),
-    )
-
-
-def split_inline_list(inner: Column) -> Column:
-    """Raw elements of an inline list without its brackets."""
-    return let(
-        F.split(F.regexp_replace(inner, _ELEMENT, "$1" + _CUT), _CUT, -1),
-        lambda cut: F.when(
-            trim_line(F.element_at(cut, -1)) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)
-        ).otherwise(cut),
-    )
-
-
-def _message(n: Column, rank: int, text: Column) -> Column:
-    return F.struct(n.alias("n"), F.lit(rank).alias("r"), text.alias("m"))
-
-
-def _unparsed(row: Column) -> Column:
-    return _message(row["n"], 1, F.concat(F.lit('cannot parse "'), row["line"], F.lit('"')))
-
-
-def _entry_struct(head, sets, is_list, value, items, errors) -> Column:
-    return F.struct(
-        head["n"].alias("n"),
-        head["key"].alias("key"),
-        sets.alias("sets"),
-        is_list.alias("is_list"),
-        value.alias("value"),
-        items.alias("items"),
-        errors.alias("errors"),
-    )
-
-
-def _scalar_entry(head: Column, below: Column) -> Column:
-    """A pair with a plain or quoted value. Items below it belong to nothing."""
-    stray = F.transform(below, _unparsed)
-    return let(
-        parse_scalar(head["value"]),
-        lambda p: _entry_struct(
-            head,
-            p["error"].isNull(),
-            F.lit(False),
-            p["value"],
-            F.lit(None).cast("array<string>"),
-            F.when(p["error"].isNull(), stray).otherwise(
-                F.concat(F.array(_message(head["n"], 1, p["error"])), stray)
-            ),
-        ),
-    )
-
-
-def _list_entry(head: Column, below: Column, block: Column) -> Column:
-    """A block list takes the items below it; an inline list has them in its value."""
-    value = head["value"]
-
-    def found(n: Column, raw: Column) -> Column:
-        return F.struct(n.alias("n"), parse_scalar(raw).alias("p"))
+from sievework.functions.text import WHITE_SPACE
 
-    raw = F.when(
-        block, F.transform(below, lambda i: F.struct(i["n"].alias("n"), i["value"].alias("raw")))
-    ).otherwise(
-        F.transform(
-            split_inline_list(F.substr(value, F.lit(2), F.length(value) - 2)),
-            lambda x: F.struct(head["n"].alias("n"), trim_line(x).alias("raw")),
-        )
-    )
-
-    def entry(parsed: Column) -> Column:
-        wrong = F.transform(
-            F.filter(parsed, lambda i: i["p"]["error"].isNotNull()),
-            lambda i: _message(i["n"], 1, i["p"]["error"]),
-        )
-        good = F.transform(
-            F.filter(parsed, lambda i: i["p"]["error"].isNull()), lambda i: i["p"]["value"]
-        )
-        # A bad block item is left out; a bad inline item spoils its list, and the first one counts.
-        return let(
-            wrong,
-            lambda w: _entry_struct(
-                head,
-                block | (F.size(w) == 0),
-                F.lit(True),
-                F.lit(None).cast("string"),
-                good,
-                F.when(block, w).otherwise(F.concat(F.slice(w, 1, 1), F.transform(below, _unparsed))),
-            ),
-        )
-
-    return let(F.transform(raw, lambda i: found(i["n"], i["raw"])), entry)
-
-
-def _bad_entry(head: Column, below: Column) -> Column:
-    """A line that is no pair, or an inline list without its end."""
-    message = F.when(head["kind"] != "pair", _unparsed(head)).otherwise(
-        _message(head["n"], 1, F.concat(F.lit('unterminated inline list for "'), head["key"], F.lit('"')))
-    )
-    return _entry_struct(
-        head,
-        F.lit(False),
-        F.lit(False),
-        F.lit(None).cast("string"),
-        F.lit(None).cast("array<string>"),
-        F.concat(F.array(message), F.transform(below, _unparsed)),
-    )
-
-
-def _entry(run: Column) -> Column:
-    """A head line and the list items right below it."""
-
-    def of(head: Column) -> Column:
-        below = F.slice(run, F.lit(2), F.size(run))
-        value = head["value"]
-        return (
-            F.when(head["kind"] != "pair", _bad_entry(head, below))
-            .when(value == "", _list_entry(head, below, F.lit(True)))
-            .when(~value.startswith("["), _scalar_entry(head, below))
-            .when(value.endswith("]"), _list_entry(head, below, F.lit(False)))
-            .otherwise(_bad_entry(head, below))
-        )
-
-    return let(F.element_at(run, 1), of)
-
-
-def _fields(entries: Column, list_fields: tuple[str, ...]) -> Column:
-    """Entries -> (keys, scalars, lists, errors); the last value of a repeated key wins."""
-
-    def before(e: Column, o: Column) -> Column:
-        return o["sets"] & (o["key"] == e["key"]) & (o["n"] < e["n"])
-
-    # Repeated keys are rare; only then are the entries compared with each other.
-    unique = let(
-        F.filter(F.transform(entries, lambda e: e["key"]), lambda k: k != ""),
-        lambda k: F.size(F.array_distinct(k)) == F.size(k),
-    )
-    doubled = F.transform(
-        F.filter(entries, lambda e: (e["key"] != "") & F.exists(entries, lambda o: before(e, o))),
-        lambda e: _message(e["n"], 0, F.concat(F.lit('duplicate key "'), e["key"], F.lit('"'))),
-    )
-    setting = F.filter(entries, lambda e: e["sets"])
-    last = F.filter(
-        setting,
-        lambda e: ~F.exists(entries, lambda o: o["sets"] & (o["key"] == e["key"]) & (o["n"] > e["n"])),
-    )
-    found = F.flatten(F.transform(entries, lambda e: e["errors"]))
-
-    def messages(errors: Column) -> Column:
-        return F.when(F.size(errors) == 0, F.array().cast("array<string>")).otherwise(
-            F.transform(
-                F.array_sort(errors),
-                lambda m: F.concat(F.lit("line "), m["n"].cast("string"), F.lit(": "), m["m"]),
-            )
-        )
-
-    def keeps_list(e: Column) -> Column:
-        return e["is_list"] & ((F.size(e["items"]) > 0) | e["key"].isin(*list_fields))
-
-    return let(
-        unique,
-        lambda once: let(
-            F.when(once, setting).otherwise(last),
-            lambda kept: F.struct(
-                F.transform(kept, lambda e: e["key"]).alias("keys"),
-                F.map_from_entries(
-                    F.transform(F.filter(kept, lambda e: ~keeps_list(e)), lambda e: F.struct(e["key"], e["value"]))
-                ).alias("scalars"),
-                F.map_from_entries(
-                    F.transform(F.filter(kept, keeps_list), lambda e: F.struct(e["key"], e["items"]))
-                ).alias("lists"),
-                let(F.when(once, found).otherwise(F.concat(found, doubled)), messages).alias("errors"),
-            ),
-        ),
-    )
-
-
-def front_matter(text: Column, list_fields: tuple[str, ...] = ("refs",)) -> Column:
-    """Struct (has_block, keys, scalars, lists, body, errors).
+_LINE_ENDS = "\n\r\u2028\u2029"
+_BLANK = "[" + re.escape(WHITE_SPACE.replace("\n", "")) + "]"
+_PAIR = re.compile(rf"([A-Za-z_][A-Za-z0-9_-]*):(?:{_BLANK}([^{_LINE_ENDS}]*))?")
+_ITEM = re.compile(rf"{_BLANK}+-([^{_LINE_ENDS}]*)")
+_JSON_STRING = re.compile(r'"(?:[^"\\\x00-\x1F]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"')
+# One list element up to its comma; a comma inside quotes does not count.
+_ELEMENT = re.compile(r"""((?:"(?:\\.|[^"\\])*+(?:"|$)|'[^']*+(?:'|$)|[^,"'])*+),""")
+
+PARSED = T.StructType(
+    [
+        T.StructField("has_block", T.BooleanType()),
+        T.StructField("keys", T.ArrayType(T.StringType())),
+        T.StructField("scalars", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("lists", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
+        T.StructField("body", T.StringType()),
+        T.StructField("errors", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+class FrontMatter(NamedTuple):
+    """What a text cell holds; without a closed block keys, scalars and lists are None."""
+
+    has_block: bool
+    keys: list[str] | None
+    scalars: dict[str, str | None] | None
+    lists: dict[str, list[str | None]] | None
+    body: str | None
+    errors: list[str]
+
+
+class BadValue(ValueError):
+    """A quoted value that does not end as it should."""
+
+
+def scalar(v: str) -> str | None:
+    """The value of one trimmed scalar."""
+    if v in ("", "null", "~"):
+        return None
+    if v[0] == '"':
+        if not _JSON_STRING.fullmatch(v):
+            raise BadValue(f"bad-string {v}")
+        return json.loads(v).encode("utf-8", "replace").decode() if "\\" in v else v[1:-1]
+    if v[0] == "'":
+        if len(v) < 2 or v[-1] != "'":
+            raise BadValue(f"open-quote {v}")
+        return v[1:-1].replace("''", "'")
+    return v
+
+
+def elements(inner: str) -> list[str]:
+    """Trimmed elements of an inline list without its brackets; nothing after the last comma is no element."""
+    out, at = [], 0
+    while hit := _ELEMENT.match(inner, at):
+        out.append(hit[1].strip(WHITE_SPACE))
+        at = hit.end()
+    last = inner[at:].strip(WHITE_SPACE)
+    return [*out, last] if last else out
+
+
+def _values(found: list[tuple[int, str]]) -> tuple[list[str | None], list[tuple[int, str]]]:
+    good, bad = [], []
+    for n, raw in found:
+        try:
+            good.append(scalar(raw))
+        except BadValue as error:
+            bad.append((n, str(error)))
+    return good, bad
+
+
+def parse(text: str | None, list_fields: tuple[str, ...] = ("refs",)) -> FrontMatter:
+    """Reads a text cell; null has no block.
 
     A field set to an empty list is a null scalar unless it is one of `list_fields`. A repeated key
-    is an error and its last value wins. Errors are in line order.
+    is an error and its last value wins. Errors are `line: code detail` in line order.
     """
-    missing = F.array(F.lit('missing front matter (text must start with a "---" line)'))
-    unterminated = F.array(F.lit('unterminated front matter (no closing "---" line)'))
-    opens = text.startswith("---\n") | (text == "---")
-    # Place of the newline before the closing line, at least 4; the body is never cut into lines.
-    close = F.locate("\n---\n", F.concat(text, F.lit("\n")), 4)
-
-    def header_rows(header: Column) -> Column:
-        """(n, kind, key, value, line) of each line that is not blank; one pass per group."""
-        groups = F.struct(
-            *[F.regexp_extract_all(header, F.lit(_LINE), i).alias(name) for i, name in enumerate(("key", "value", "item", "other"), 1)]
-        )
-
-        def row(g: Column, key: Column, i: Column) -> Column:
-            value, item, other = (F.get(g[name], i) for name in ("value", "item", "other"))
-            kind = F.when(key != "", "pair").when(item != "", "item").otherwise("other")
-            return F.struct(
-                (i + 2).alias("n"),
-                kind.alias("kind"),
-                key.alias("key"),
-                F.when(key != "", trim_line(value))
-                .when(item != "", trim_line(F.substr(F.ltrim(item, F.lit(WHITE_SPACE)), F.lit(2))))
-                .otherwise("")
-                .alias("value"),
-                F.when(key != "", "").when(item != "", item).otherwise(other).alias("line"),
-            )
-
-        rows = let(groups, lambda g: F.transform(g["key"], lambda key, i: row(g, key, i)))
-        return F.filter(rows, lambda r: (r["kind"] != "other") | (trim_line(r["line"]) != ""))
-
-    def runs(rows: Column) -> Column:
-        return F.when(
-            F.exists(rows, lambda r: r["kind"] == "item"),
-            runs_of(rows, lambda r: r["kind"] != "item", "at", "run"),
-        ).otherwise(F.transform(rows, lambda r, i: F.struct((i + 1).alias("at"), F.array(r).alias("run"))))
-
-    def block(at: Column) -> Column:
-        closed = opens & (at > 0)
-        header = F.when(closed & (at > 4), F.substr(text, F.lit(5), at - 5)).otherwise("")
-        entries = F.transform(
-            let(let(header, header_rows), runs), lambda r: _entry(r["run"])
-        )
-        return let(
-            let(entries, lambda e: _fields(e, list_fields)),
-            lambda f: F.struct(
-                closed.alias("has_block"),
-                F.when(closed, f["keys"]).alias("keys"),
-                F.when(closed, f["scalars"]).alias("scalars"),
-                F.when(closed, f["lists"]).alias("lists"),
-                F.when(closed, F.substr(text, at + 5)).otherwise(text).alias("body"),
-                F.when(~opens, missing).when(~closed, unterminated).otherwise(f["errors"]).alias("errors"),
-            ),
-        )
-
-    return let(close, block)
+    if text is None or not (text.startswith("---\n") or text == "---"):
+        return FrontMatter(False, None, None, None, text, ["no-header"])
+    close = (text + "\n").find("\n---\n", 3)
+    if close < 0:
+        return FrontMatter(False, None, None, None, text, ["open-header"])
+
+    rows: list[tuple[int, str, str, str]] = []
+    for n, line in enumerate(text[4:close].split("\n") if close > 4 else (), 2):
+        if hit := _PAIR.fullmatch(line):
+            rows.append((n, hit[1], (hit[2] or "").strip(WHITE_SPACE), line))
+        elif hit := _ITEM.fullmatch(line):
+            rows.append((n, "-", hit[1].strip(WHITE_SPACE), line))
+        elif line.strip(WHITE_SPACE):
+            rows.append((n, "", "", line))
+
+    # By key, in the order in which each was set last; list values are lists.
+    found: dict[str, str | None | list[str | None]] = {}
+    errors: list[tuple[int, int, str]] = []
+    at = 0
+    while at < len(rows):
+        n, key, value, line = rows[at]
+        end = at + 1
+        while end < len(rows) and rows[end][1] == "-":
+            end += 1
+        below, at = rows[at + 1 : end], end
+        if key in ("", "-"):
+            errors += [(m, 1, f"unreadable {x}") for m, _, _, x in [(n, key, value, line), *below]]
+            continue
+        if key in found:
+            errors.append((n, 0, f"repeated-key {key}"))
+        if value == "":
+            new, bad = _values([(m, v) for m, _, v, _ in below])
+            errors += [(m, 1, e) for m, e in bad]
+        else:
+            errors += [(m, 1, f"unreadable {x}") for m, _, _, x in below]
+            if value[0] != "[":
+                one, bad = _values([(n, value)])
+                new = one[0] if one else None
+            elif value[-1] == "]":
+                new, bad = _values([(n, x) for x in elements(value[1:-1])])
+            else:
+                new, bad = None, [(n, f"open-list {key}")]
+            if bad:
+                # The field stays unset; of several bad elements the first counts.
+                errors.append((n, 1, bad[0][1]))
+                continue
+        found.pop(key, None)
+        found[key] = new
+
+    lists = {k: v for k, v in found.items() if isinstance(v, list) and (v or k in list_fields)}
+    scalars = {k: None if isinstance(v, list) else v for k, v in found.items() if k not in lists}
+    return FrontMatter(True, list(found), scalars, lists, text[close + 5 :], [f"{n}: {e}" for n, _, e in sorted(errors)])
+
+
+def with_front_matter(df: DataFrame, text: str = "text", list_fields: tuple[str, ...] = ("refs",)) -> DataFrame:
+    """Puts the columns of `PARSED` in place of the text column; the others stay as they are."""
+    kept = [c for c in df.columns if c != text]
+    source = df.select(*kept, text)
+    target = to_arrow_schema(PARSED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(zip(*(parse(t, list_fields) for t in batch.column(len(kept)).to_pylist()))) or [()] * 6
+            # Arrow takes maps as lists of pairs.
+            for i in (2, 3):
+                columns[i] = [None if m is None else list(m.items()) for m in columns[i]]
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, target)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays], [*kept, *target.names])
+
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(kept)], *PARSED.fields]))
 
 
 def quote(text: Column) -> Column:

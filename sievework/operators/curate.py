@@ -127,7 +127,7 @@ def flatten_recipe(rows: DataFrame, meta: str = "meta") -> DataFrame:
         "nsfw_prob": "nsfw_prob",
     }
     columns = []
-    for name, kind, _ in S.RECIPE_COLUMNS:
+    for name, kind in S.RECIPE_COLUMNS:
         value = names.created_at(F.col("id")) if name == "created_at" else F.col(source.get(name, m + name))
         columns.append(value.cast(kind).alias(name))
     return rows.select(*columns)

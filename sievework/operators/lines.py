@@ -106,7 +106,7 @@ def route_sections(
 
     metas: keys, heading, disposition (file | merge | archive | split), merge_into, slug, area,
     status, and for the parts of a split section is_part with first and last line in the section.
-    Returns routes (keys, section_id, first_line, last_line, target, kind, chunk_rank, note) and errors
+    Returns routes (keys, section_id, first_line, last_line, target, kind, chunk_rank) and errors
     (keys, section_id, heading, error). In a target the owning section comes before merged ones.
     """
     on = [*keys, "heading"]
@@ -125,12 +125,12 @@ def route_sections(
     kind = F.col("m.disposition")
     last = F.col("start_line") + F.col("line_count") - 1
     error = (
-        F.when(F.col("m").isNull(), "section without metadata")
+        F.when(F.col("m").isNull(), "no-route")
         .when(
             (kind == "merge") & ~F.coalesce(F.col("t.disposition") == "file", F.lit(False)),
-            "merge target missing or not a file",
+            "no-merge-file",
         )
-        .when(~kind.isin("file", "merge", "archive", "split"), "unknown disposition")
+        .when(~kind.isin("file", "merge", "archive", "split"), "no-such-disposition")
     )
     errors = (
         rows.withColumn("error", error)
@@ -141,7 +141,7 @@ def route_sections(
                 *keys,
                 F.lit(None).cast("string").alias("section_id"),
                 "heading",
-                F.lit("duplicate metadata heading").alias("error"),
+                F.lit("repeated-heading").alias("error"),
             )
         )
     )
@@ -252,6 +252,6 @@ def cut_ranges(
     )
     pointer = F.when(
         F.col("kind") == "cut",
-        F.format_string("> Older history (lines %d-%d) moved to the archive.", "abs_first", "abs_last"),
+        F.format_string("[archive: lines %d..%d]", "abs_first", "abs_last"),
     )
     return parts.withColumn("pointer", pointer).drop("start_line"), errors

@@ -143,16 +143,23 @@ def section_digest(spark, sf):
 
 @query(
     "write_sections",
-    f"""WITH {SEC} SELECT section_id, count(*) AS sections, CAST(sum(line_count) AS BIGINT) AS n_lines,
-    CAST(sum(strlen(joined) + 1) AS BIGINT) AS n_bytes FROM sec GROUP BY section_id""",
+    f"""WITH {SEC} SELECT doc_id, count(*) AS sections, CAST(sum(line_count) AS BIGINT) AS n_lines,
+    CAST(sum(strlen(joined) + 1) AS BIGINT) AS n_bytes, sha1(string_agg(joined || chr(10), '' ORDER BY idx)) AS sha1
+    FROM sec GROUP BY doc_id""",
 )
 def write_sections(spark, sf):
+    """Written, read back and put together again: the digest is that of each whole document."""
     folder = work_path(spark, "sections")
-    writers.write_sections(ln.section_digest(_sections(spark, sf)), folder)
-    manifest = spark.read.schema("section_id string, line_count int, bytes int").json(f"{folder}/manifest")
-    return manifest.groupBy("section_id").agg(
+    writers.write_sections(ln.section_digest(_sections(spark, sf)), folder, ["doc_id"])
+    texts = spark.read.parquet(f"{folder}/text")
+    # A document's sections are its own cell cut in pieces, so together they are one cell again.
+    pieces = F.array_sort(F.collect_list(F.struct("idx", "text")))
+    whole = texts.groupBy("doc_id").agg(F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text"))
+    manifest = spark.read.schema("doc_id bigint, section_id string, line_count int, bytes int").json(f"{folder}/manifest")
+    counts = manifest.groupBy("doc_id").agg(
         F.count("*").alias("sections"), F.sum("line_count").alias("n_lines"), F.sum("bytes").alias("n_bytes")
     )
+    return counts.join(whole.select("doc_id", F.sha1("text").alias("sha1")), "doc_id")
 
 
 # Routing metadata by (doc_id, heading): the heading's length picks the disposition. Some headings
@@ -178,9 +185,9 @@ j AS (
   LEFT JOIN main t ON m.doc_id = t.doc_id AND m.merge_into = t.heading
 ),
 e AS (
-  SELECT *, CASE WHEN NOT has THEN 'section without metadata'
-    WHEN disposition = 'merge' AND coalesce(t_disposition, '') <> 'file' THEN 'merge target missing or not a file'
-    WHEN disposition = 'other' THEN 'unknown disposition' END AS error FROM j
+  SELECT *, CASE WHEN NOT has THEN 'no-route'
+    WHEN disposition = 'merge' AND coalesce(t_disposition, '') <> 'file' THEN 'no-merge-file'
+    WHEN disposition = 'other' THEN 'no-such-disposition' END AS error FROM j
 ),
 parts(first, last, suffix) AS (VALUES (1, 2, '-top'), (3, 1000000, '-rest'))"""
 
@@ -235,7 +242,7 @@ def route_sections(spark, sf):
 @query(
     "route_errors",
     f"""WITH {_METAS} SELECT doc_id, section_id, heading, error FROM e WHERE error IS NOT NULL
-    UNION ALL SELECT doc_id, NULL, heading, 'duplicate metadata heading' FROM doubled""",
+    UNION ALL SELECT doc_id, NULL, heading, 'repeated-heading' FROM doubled""",
 )
 def route_errors(spark, sf):
     return ln.route_sections(_sections(spark, sf), _metas(spark, sf), ["doc_id"])[1]
@@ -305,7 +312,7 @@ def _cut(spark, sf):
         WHERE NOT EXISTS (SELECT 1 FROM cuts c WHERE c.doc_id = sec.doc_id AND c.idx = sec.idx))
     SELECT doc_id, idx, kind, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last,
       CAST(start_line + first - 1 AS BIGINT) AS abs_first, CAST(start_line + last - 1 AS BIGINT) AS abs_last,
-      CASE WHEN kind = 'cut' THEN '> Older history (lines ' || (start_line + first - 1) || '-' || (start_line + last - 1) || ') moved to the archive.' END AS pointer
+      CASE WHEN kind = 'cut' THEN '[archive: lines ' || (start_line + first - 1) || '..' || (start_line + last - 1) || ']' END AS pointer
     FROM p""",
 )
 def cut_ranges(spark, sf):
@@ -370,16 +377,15 @@ def write_front_matter(spark, sf):
     return tasks(spark, sf).select("path", text.alias("text"))
 
 
-_STATUSES = ", ".join(RULES.statuses)
 _VIOLATIONS = TASK + f""",
 v AS (
-  SELECT path, 1 AS rule, 'unknown status "' || status || '" (allowed: {_STATUSES})' AS violation FROM task WHERE status = 'pending'
-  UNION ALL SELECT path, 2, 'unknown area "' || area || '" (allowed: {', '.join(RULES.areas)})' FROM task WHERE area = 'not specified'
-  UNION ALL SELECT path, 3, 'due "' || due || '" is not a valid YYYY-MM-DD date or null' FROM task WHERE due = '2026-02-30'
-  UNION ALL SELECT path, 4, 'status "scheduled" needs a due date' FROM task WHERE status = 'scheduled' AND due IS NULL
-  UNION ALL SELECT path, 5, 'status "known-failure" needs the exact failing test in "test"' FROM task WHERE status = 'known-failure' AND test IS NULL
-  UNION ALL SELECT path, 6, 'file name "' || slug || '.md" is not a kebab-case slug' FROM task WHERE NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$')
-  UNION ALL SELECT path, 7, 'body is empty' FROM task WHERE body = ''
+  SELECT path, 1 AS rule, 'status: not-allowed ' || status AS violation FROM task WHERE status = 'pending'
+  UNION ALL SELECT path, 2, 'area: not-allowed ' || area FROM task WHERE area = 'not specified'
+  UNION ALL SELECT path, 3, 'due: not-a-day ' || due FROM task WHERE due = '2026-02-30'
+  UNION ALL SELECT path, 4, 'due: needed-for scheduled' FROM task WHERE status = 'scheduled' AND due IS NULL
+  UNION ALL SELECT path, 5, 'test: needed-for known-failure' FROM task WHERE status = 'known-failure' AND test IS NULL
+  UNION ALL SELECT path, 6, 'slug: form ' || slug FROM task WHERE NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$')
+  UNION ALL SELECT path, 7, 'body: blank' FROM task WHERE body = ''
 )"""
 
 

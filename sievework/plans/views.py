@@ -193,7 +193,15 @@ def doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Records, from orders -------------------------------------------------------------------------
 
-RULES = RecordRules(root="records")
+RULES = RecordRules(
+    sections=(
+        ("now", "Now"), ("waiting", "Waiting"), ("scheduled", "Scheduled"), ("next", "Next"), ("idea", "Ideas"),
+        ("known-failure", "Known failures"),
+    ),
+    areas=("data", "docs", "cli", "ci", "models", "service", "gallery", "process"),
+    owners=("owner", "agent"),
+    root="records",
+)
 
 TASK = """
 task0 AS (

@@ -6,7 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sievework.schema import SCORE_SCHEMA, SIDECAR_SCHEMA
-from sievework.session import local_path
 
 
 def _stem(name: Column) -> Column:
@@ -113,10 +112,16 @@ def scan_text_tree(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*.md")
         .text(root, wholetext=True)
     )
-    base = local_path(root).rstrip("/") + "/"
+    # The root as its file system names it, so that relative roots and roots without host work too.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = system.makeQualified(hadoop).toUri().getPath().rstrip("/") + "/"
     # File paths come as percent-encoded URIs; url_decode would also turn `+` into a blank.
     uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    path = F.substr(uri, F.instr(uri, base) + F.lit(len(base)))
+    whole = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    path = F.when(F.startswith(whole, F.lit(base)), F.substr(whole, F.lit(len(base) + 1))).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {base}: "), whole))
+    )
     return files.select(
         path.alias("path"),
         _stem(F.element_at(F.split(path, "/"), -1)).alias("slug"),

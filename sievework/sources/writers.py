@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -21,20 +21,20 @@ _ARROW = {
 }
 
 
-def feature_description(with_image: bool) -> dict:
-    """Typed view of the columns for consumers."""
-    out = {"image": {"_type": "Image"}} if with_image else {}
-    for name, _, dtype in S.RECIPE_COLUMNS:
-        out[name] = {"dtype": dtype, "_type": "Value"}
-    return out
+def described(field: pa.Field) -> dict:
+    """How consumers of a shard file name the type of a column."""
+    if pa.types.is_struct(field.type):
+        return {"_type": "Image"}
+    text = pa.types.is_string(field.type)
+    return {"dtype": "string" if text else field.type.to_pandas_dtype().__name__, "_type": "Value"}
 
 
 def shard_schema() -> pa.Schema:
     image = pa.struct([("bytes", pa.binary()), ("path", pa.string())])
     fields = [pa.field("image", image)]
-    fields += [pa.field(name, _ARROW[kind]) for name, kind, _ in S.RECIPE_COLUMNS]
-    described = json.dumps({"info": {"features": feature_description(True)}})
-    return pa.schema(fields, metadata={S.FEATURES_KEY: described.encode()})
+    fields += [pa.field(name, _ARROW[kind]) for name, kind in S.RECIPE_COLUMNS]
+    features = json.dumps({"info": {"features": {f.name: described(f) for f in fields}}})
+    return pa.schema(fields, metadata={S.FEATURES_KEY: features.encode()})
 
 
 def shard_name(shard: Column, total: Column) -> Column:
@@ -96,7 +96,7 @@ def write_shards(df: DataFrame, folder: str, rows_per_group: int = S.ROWS_PER_GR
     `df` holds `file` (name of the shard's file), `pos`, `image` and the recipe columns. A shard is
     bounded by its row count. Lazy: written when the result is read.
     """
-    columns = [name for name, _, _ in S.RECIPE_COLUMNS]
+    columns = [name for name, _ in S.RECIPE_COLUMNS]
     return _write_sorted(df.select("file", "pos", "image", *columns), folder, rows_per_group)
 
 
@@ -127,7 +127,7 @@ def write_shards_from_files(
 
         return images
 
-    columns = [name for name, _, _ in S.RECIPE_COLUMNS]
+    columns = [name for name, _ in S.RECIPE_COLUMNS]
     return _write_sorted(df.select("file", "pos", *columns), folder, rows_per_group, add_images)
 
 
@@ -194,9 +194,11 @@ def append_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("append").parquet(path)
 
 
-def write_sections(sections: DataFrame, folder: str) -> None:
-    """One folder of text per section id, and a manifest without the text."""
-    sections.select("section_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy(
-        "section_id"
-    ).text(f"{folder}/text")
+def write_sections(sections: DataFrame, folder: str, keys: Sequence[str]) -> None:
+    """The texts as a table of (keys, idx, section_id, text), byte for byte, and a manifest without them.
+
+    A file per section would make as many files as there are sections; the table keeps which
+    document each text belongs to and lets a document be put together again.
+    """
+    sections.select(*keys, "idx", "section_id", "text").write.mode("overwrite").parquet(f"{folder}/text")
     sections.drop("text").write.mode("overwrite").json(f"{folder}/manifest")

@@ -119,7 +119,7 @@ def test_payload_files_are_read_by_the_shard_writer(spark, tmp_path):
 def test_shard_writer_keeps_the_group_order_without_another_sort(spark):
     _, payloads, *_ = build_inputs(spark, 10)
     rows = payloads.select(F.substring("id", 1, 12).alias("file"), F.monotonically_increasing_id().alias("pos"), *[
-        F.lit(None).cast(kind).alias(name) if name != "id" else F.col("id") for name, kind, _ in S.RECIPE_COLUMNS
+        F.lit(None).cast(kind).alias(name) if name != "id" else F.col("id") for name, kind in S.RECIPE_COLUMNS
     ]).withColumn("image", F.struct(F.lit(b"x").alias("bytes"), F.lit("p").alias("path")))
     plan = writers.write_shards(rows, "/nowhere")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning(file") == 1

@@ -182,10 +182,19 @@ def test_escape_and_trim(spark):
     assert one(spark, text.trim_line(F.col("t")), t="﻿ \t x  　\r") == "x"
 
 
-@pytest.mark.parametrize("given, want", [("2026-10-02", True), ("2026-02-30", False), ("2026-10-2", False), ("10/02/2026", False), (None, False)])
-def test_is_iso_date(spark, given, want):
-    df = spark.createDataFrame([(given,)], "t string")
-    assert df.select(text.is_iso_date(F.col("t"))).first()[0] is want
+def test_is_iso_date(spark):
+    """Every day and the day past each month's end, of a common and a leap year, and other ways to write a day."""
+    import calendar
+
+    want = {None: False, "": False}
+    for year in (2023, 2024):
+        for month in range(1, 13):
+            last = calendar.monthrange(year, month)[1]
+            for day in range(1, last + 2):
+                want[f"{year}-{month:02d}-{day:02d}"] = day <= last
+            want[f"{year}-{month}-7"] = want[f"{month:02d}.07.{year}"] = want[f" {year}-{month:02d}-07"] = False
+    df = spark.createDataFrame([(d,) for d in want], "t string")
+    assert {r["t"]: r["ok"] for r in df.select("t", text.is_iso_date(F.col("t")).alias("ok")).collect()} == want
 
 
 def test_vectors(spark):
