@@ -3,19 +3,23 @@
 The score of a word is the relative frequency of its longest n-gram that the corpus has outside the
 document itself, times ALPHA for each step it had to be shortened.
 
-n-grams are 64-bit hashes, and both sides are partitioned by them into buckets. Tasks combine counts
-before they meet; each bucket's count table is one sorted array of the n-grams that come at least
-twice, for a single occurrence is the document's own. The exploded n-grams of the documents travel
-packed by bucket, stream past the table, and only their counts travel back, where they are summed
-into the document's score. Equal texts ask once. n-grams with a `HOT`-th of all occurrences (so
-there are no more than `HOT` of an order) are answered where they arise and never travel, so the
-stream of a bucket stays even. A bucket stands for `BUCKET_BYTES` of text, whatever the input.
+n-grams are hashes, partitioned into buckets, each of which stands for `BUCKET_BYTES` of text whatever
+the input. The exploded n-grams of a document travel packed by bucket, with how often the document
+has them. A bucket's task sums them into its part of the count table, looks every request up in it,
+and sends only counts back, where they are summed into the document's score. Within a bucket 48 bits
+of the hash are kept: as buckets do not grow, two n-grams are mistaken for one another once in
+hundreds of millions of look-ups at any input size.
+
+n-grams with about a `HOT`-th of all occurrences never travel: heavy n-grams of each part of the
+input are summed to at most 2 `HOT` candidates per order, counted exactly in a second pass and sent
+to all tasks. What is left comes less often, so no bucket has one n-gram for most of its rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sievework.llm.common import put_bounded, slices
-from sievework.session import work_path
+from sievework.session import freeze
 
 ALPHA = 0.4
 ORDER = 2
@@ -80,73 +84,107 @@ def _packed(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def count_tables(docs: DataFrame, text: str, buckets: int, order: int) -> DataFrame:
-    """Rows (bucket, h, c): the sorted n-gram hashes of a bucket and how often each comes, from two on."""
+def _heavy(docs: DataFrame, text: str, order: int, hot: int) -> tuple[int, DataFrame]:
+    """The number of words, and rows (o, h) of all n-grams with a `hot`-th of the occurrences of their order.
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, held, n = Grams(order), [], 0
+    An n-gram may miss less than half of that in the parts in which it is rare, so those that keep
+    half of it hold every heavy one, and there are at most 2 `hot` per order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, held, n = Grams(order), [[] for _ in range(order)], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            place, cuts = _cut(h, buckets)
-            rows = [(b, h[place[s:e]].tobytes(), c[place[s:e]].astype(np.int64).tobytes()) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-            yield _packed(["bucket", "h", "c"], [pa.int64(), pa.binary(), pa.binary()], rows)
+            for o, parts in enumerate(held):
+                h, c = np.unique(np.concatenate(parts), return_counts=True)
+                heavy = c * 2 * hot >= c.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(heavy.sum(), o + 1), -o - 1)), pa.array(np.append(h[heavy], np.uint64(0)).view(np.int64)), pa.array(np.append(c[heavy], c.sum()))], ["o", "h", "c"])
+                parts.clear()
 
         for (t,) in _rows(batches):
-            own = grams(t)
-            held += own
-            n += sum(map(len, own))
+            for parts, own in zip(held, grams(t)):
+                parts.append(own)
+                n += len(own)
             if n >= _HELD:
                 yield from flush()
-                held, n = [], 0
+                n = 0
         if n:
             yield from flush()
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts, n = None, [], 0
-
-        def combine() -> None:
-            h, c = (np.concatenate(x) for x in zip(*parts))
-            h, place = np.unique(h, return_inverse=True)
-            sums = np.zeros(len(h), np.int64)
-            np.add.at(sums, place, c)
-            parts[:] = [(h, sums)]
-
-        def close() -> Iterator[pa.RecordBatch]:
-            combine()
-            h, c = parts[0]
-            yield _packed(["bucket", "h", "c"], [pa.int64(), pa.binary(), pa.binary()], [(bucket, h[c > 1].tobytes(), c[c > 1].tobytes())])
-
-        for b, h, c in _rows(batches):
-            if b != bucket:
-                if parts:
-                    yield from close()
-                bucket, parts, n = b, [], 0
-            parts.append((np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)))
-            n += len(parts[-1][0])
-            if n > 4 * _HELD:
-                combine()
-                n = len(parts[0][0])
-        if parts:
-            yield from close()
-
-    schema = "bucket bigint, h binary, c binary"
-    rows = docs.select(text).mapInArrow(partial, schema)
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(total, schema)
-
-
-def _hot(tables: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams that come at least `least` times; by the choice of `least` there are few."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, c in _rows(batches):
-            h, c = np.frombuffer(h, np.int64), np.frombuffer(c, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[c >= least]), pa.array(c[c >= least])], ["h", "c"])
-
-    rows = tables.select("h", "c").mapInArrow(pick, "h bigint, c bigint").collect()
-    h, c = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["c"] for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
+    found = freeze(docs.select(text).mapInArrow(run, "o bigint, h bigint, c bigint").groupBy("o", "h").agg(F.sum("c").alias("c")))
+    # One row per order.
+    totals = {-r["o"]: r["c"] for r in found.filter("o < 0").collect()}
+    least = F.lit(0)
+    for o, total in totals.items():
+        least = F.when(F.col("o") == o, F.lit(total)).otherwise(least)
+    return totals.get(1, 0), found.filter(F.col("o") > 0).filter(F.col("c") * 2 * hot >= least).select("h")
+
+
+def _exact(docs: DataFrame, text: str, order: int, listed: np.ndarray) -> np.ndarray:
+    """How often each of the listed n-grams comes in all texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, sums = Grams(order), np.zeros(len(sent.value), np.int64)
+        for (t,) in _rows(batches):
+            for own in grams(t):
+                found, place = _find(sent.value, own)
+                sums += np.bincount(place[found], minlength=len(sums))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums)), pa.array(sums[sums > 0])], ["i", "c"])
+
+    out = np.zeros(len(listed), np.int64)
+    if len(listed):
+        for r in docs.select(text).mapInArrow(run, "i bigint, c bigint").groupBy("i").agg(F.sum("c").alias("c")).collect():
+            out[r["i"]] = r["c"]
+    return out
+
+
+def _short(c: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; nothing if all are one."""
+    top = int(c.max(initial=1))
+    return b"" if top == 1 else c.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 256 ** int(t[2]))).tobytes()
+
+
+def _long(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if data else np.ones(n, np.int64)
+
+
+_KEY = 6
+
+
+def _keys(h: np.ndarray, buckets: int) -> bytes:
+    """What is left of the hashes inside their bucket."""
+    return np.ascontiguousarray((h // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :_KEY]).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _KEY, 8), np.uint8)
+    out[:, :_KEY] = np.frombuffer(data, np.uint8).reshape(-1, _KEY)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums each bucket's n-grams and looks all its requests up; the rows of a bucket come together."""
+    bucket, held = None, []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        asked = [_wide(h) for _, h, _ in held]
+        ends = np.cumsum([len(h) for h in asked])
+        _, place = np.unique(np.concatenate(asked), return_inverse=True)
+        own = np.concatenate([_long(c, len(h)) for h, (_, _, c) in zip(asked, held)])
+        counts = np.bincount(place, weights=own).astype(np.int64)[place]
+        for start in range(0, len(held), 4096):
+            rows = [(d, bucket, _short(counts[(ends[i - 1] if i else 0) : ends[i]])) for i, (d, _, _) in enumerate(held[start : start + 4096], start)]
+            yield _packed(["d", "bucket", "c"], [pa.binary(), pa.int64(), pa.binary()], rows)
+
+    for b, *row in _rows(batches):
+        if b != bucket:
+            if held:
+                yield from close()
+            bucket, held = b, []
+        held.append(row)
+    if held:
+        yield from close()
 
 
 def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +193,11 @@ def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (table[place] == h) if len(table) else np.zeros(len(h), bool), place
 
 
-def _asked(own: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
-    """The distinct n-grams of a text that are looked up in the tables, sorted."""
-    h = np.unique(np.concatenate(own))
-    return h[~_find(hot, h)[0]]
+def _asked(own: list[np.ndarray], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text that are looked up, sorted, and how often the text has each."""
+    h, c = np.unique(np.concatenate(own), return_counts=True)
+    cold = ~_find(hot, h)[0]
+    return h[cold], c[cold]
 
 
 def text_score(own: list[np.ndarray], count, total: int, alpha: float = ALPHA) -> tuple[int, int, int]:
@@ -185,7 +224,7 @@ def text_score(own: list[np.ndarray], count, total: int, alpha: float = ALPHA) -
     return n, int((steps > 0).sum()), int(np.floor((value + steps * math.log(alpha)) * UNIT + 0.5).astype(np.int64).sum())
 
 
-def score(docs: DataFrame, key: str, text: str, order: int = ORDER, alpha: float = ALPHA, folder: str | None = None) -> DataFrame:
+def score(docs: DataFrame, key: str, text: str, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """Rows (key, n_tokens, n_shortened, score_micro), one per input row.
 
     Words are what ASCII white space separates, A-Z in lower case, whole texts; `score_micro` sums
@@ -194,75 +233,63 @@ def score(docs: DataFrame, key: str, text: str, order: int = ORDER, alpha: float
     and get equal scores; null keys and repeated rows stay. No rows give no rows.
     """
     spark = docs.sparkSession
-    folder = folder or work_path(spark, "ngrams")
-    rows = docs.select(docs[key].alias("k"), F.coalesce(docs[text], F.lit("")).alias("t")).withColumn("d", F.unhex(F.sha2(F.col("t"), 256)))
+    rows = docs.select(docs[key].alias("k"), F.coalesce(docs[text], F.lit("")).alias("t"))
+    rows = rows.withColumn("d", F.substring(F.unhex(F.sha2(F.col("t"), 256)), 1, 16))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    count_tables(rows, "t", buckets, order).write.parquet(f"{folder}/counts")
-    tables = spark.read.parquet(f"{folder}/counts")
-    words = F.sum(F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
-    total = rows.agg(words).first()[0] or 0
-    sent = spark.sparkContext.broadcast(_hot(tables, max(2, total // HOT)))
+    total, heavy = _heavy(rows, "t", order, HOT)
+    # At most 2 HOT n-grams of each order.
+    listed = np.unique(np.array([r["h"] for r in heavy.collect()], np.int64).view(np.uint64))
+    sent = spark.sparkContext.broadcast((listed, _exact(rows, "t", order, listed)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, out = Grams(order), []
-        hot = sent.value[0]
+        grams, out, hot = Grams(order), [], sent.value[0]
+
+        def packed() -> pa.RecordBatch:
+            return _packed(["bucket", "d", "h", "c"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()], out)
+
         for d, t in _rows(batches):
-            h = _asked(grams(t), hot)
+            h, c = _asked(grams(t), hot)
             place, cuts = _cut(h, buckets)
-            out += [(b, 1, d, h[place[s:e]].tobytes(), None) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+            h, c = h[place], c[place]
+            out += [(b, d, _keys(h[s:e], buckets), _short(c[s:e])) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
             if len(out) > 20_000:
-                yield _packed(names, types, out)
+                yield packed()
                 out = []
         if out:
-            yield _packed(names, types, out)
-
-    names, types = ["bucket", "kind", "d", "h", "c"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, h, c = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for part in slices(batches, 4096):
-            out = []
-            for b, kind, d, asked, counts in zip(*(part.column(i).to_pylist() for i in range(5))):
-                if b != bucket:
-                    bucket, h, c = b, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                if kind == 0:
-                    h, c = np.frombuffer(asked, np.uint64), np.frombuffer(counts, np.int64)
-                else:
-                    found, place = _find(h, np.frombuffer(asked, np.uint64))
-                    out.append((d, b, (np.where(found, c[place], 0) if len(c) else np.zeros(len(found), np.int64)).tobytes()))
-            if out:
-                yield _packed(["d", "bucket", "c"], [pa.binary(), pa.int64(), pa.binary()], out)
+            yield packed()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, (hot, hot_c) = Grams(order), sent.value
-        for d, t, answers in _rows(batches):
-            own = grams(t)
-            h = _asked(own, hot) if len(own[0]) else np.zeros(0, np.uint64)
-            place, _ = _cut(h, buckets)
-            got = [np.frombuffer(a["c"], np.int64) for a in sorted(answers or [], key=lambda a: a["bucket"])]
-            counts = np.zeros(len(h), np.int64)
-            counts[place] = np.concatenate(got) if got else counts
-
-            def count(x: np.ndarray) -> np.ndarray:
-                is_hot, at = _find(hot, x)
-                cold, where = _find(h, x)
-                out = np.zeros(len(x), np.int64)
-                out[cold] = counts[where[cold]]
-                out[is_hot] = hot_c[at[is_hot]]
-                # What the tables leave out comes once, in this text.
-                return np.maximum(out, 1)
-
-            row = (d, *text_score(own, count, total, alpha))
-            yield _packed(["d", "n_tokens", "n_shortened", "score_micro"], [pa.binary(), pa.int64(), pa.int64(), pa.int64()], [row])
 
-    once = rows.select("d", "t").groupBy("d").agg(F.first("t").alias("t"))
-    asked = rows.filter("t <> ''").select("d", "t").mapInArrow(ask, "bucket bigint, kind int, d binary, h binary, c binary")
-    counted = tables.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("d"), "h", "c")
-    met = counted.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    answers = met.mapInArrow(answer, "d binary, bucket bigint, c binary").groupBy("d", "bucket").agg(F.first("c").alias("c"))
+        def scored() -> Iterator[tuple]:
+            for d, t, answers in _rows(batches):
+                own = grams(t)
+                h, _ = _asked(own, hot)
+                place, cuts = _cut(h, buckets)
+                got = {a["bucket"]: a["c"] for a in answers or []}
+                parts = [_long(got[b], e - s) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+                counts = np.zeros(len(h), np.int64)
+                counts[place] = np.concatenate(parts) if parts else counts
+
+                def count(x: np.ndarray, h=h, counts=counts) -> np.ndarray:
+                    is_hot, at = _find(hot, x)
+                    cold, where = _find(h, x)
+                    out = np.zeros(len(x), np.int64)
+                    out[cold] = counts[where[cold]]
+                    out[is_hot] = hot_c[at[is_hot]]
+                    return out
+
+                yield d, *text_score(own, count, total, alpha)
+
+        for part in batched(scored(), 2048):
+            yield _packed(["d", "n_tokens", "n_shortened", "score_micro"], [pa.binary(), pa.int64(), pa.int64(), pa.int64()], list(part))
+
+    asked = rows.filter("t <> ''").select("d", "t").mapInArrow(ask, "bucket bigint, d binary, h binary, c binary")
+    met = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    answers = met.mapInArrow(_answers, "d binary, bucket bigint, c binary").groupBy("d", "bucket").agg(F.first("c").alias("c"))
     per_text = answers.groupBy("d").agg(F.collect_list(F.struct("bucket", "c")).alias("answers"))
+    once = rows.select("d", "t").groupBy("d").agg(F.first("t").alias("t"))
     scored = once.join(per_text, "d", "left").mapInArrow(finish, "d binary, n_tokens bigint, n_shortened bigint, score_micro bigint")
-    scored.write.parquet(f"{folder}/scores")
-    out = rows.select("k", "d").join(spark.read.parquet(f"{folder}/scores"), "d")
+    out = rows.select("k", "d").join(freeze(scored), "d")
     return out.select(F.col("k").alias(key), "n_tokens", "n_shortened", "score_micro")
