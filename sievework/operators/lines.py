@@ -64,9 +64,23 @@ def multiset_gain(lines: DataFrame, base: DataFrame, order: Sequence[str]) -> Da
     return fresh.unionByName(partly.filter("__pos >= __base").select(lines.columns))
 
 
+# Copies of a line that one task writes at a time.
+RUN = 100_000
+
+
 def multiset_difference(lines: DataFrame, base: DataFrame) -> DataFrame:
-    """Bag difference of two one-column tables of lines."""
-    return lines.select("line").exceptAll(base.select("line"))
+    """Bag difference of two one-column tables of lines: each line as often as it comes more often.
+
+    Counts are compared, then the surplus is written out in runs of `RUN` that are dealt to all
+    tasks, so one line with very many copies does not come from one task.
+    """
+    had = line_multiset(base).select("line", F.col("n").alias("__base"))
+    left = line_multiset(lines).join(had, "line", "left")
+    surplus = left.select("line", (F.col("n") - F.coalesce("__base", F.lit(0))).alias("__n")).filter("__n > 0")
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(RUN).cast("bigint")))
+    runs = surplus.select("line", "__n", starts.alias("__at")).repartition("line", "__at")
+    copies = F.least(F.lit(RUN), F.col("__n") - F.col("__at")).cast("int")
+    return runs.select("line", F.explode(F.array_repeat(F.lit(0), copies))).select("line")
 
 
 def split_sections(df: DataFrame, keys: Sequence[str], text: str = "text", marker: str = "## ") -> DataFrame:

@@ -1,67 +1,34 @@
-"""Exact linear-interpolation quantiles whose groups may be of any size.
+"""Exact linear-interpolation quantiles whose groups may be of any size and whose values may lie anywhere.
 
-Rows are first counted per (key, value). The counted values are then cut into buckets by a
-monotone function of the value, so running counts are taken per (key, bucket) and a large key is
-shared by many tasks; only one small row per (key, bucket) is ordered per key.
+Rows are first counted per (key, value). The counted values are range-sorted over the cluster with
+running counts (`ordering.running_sums`), so neither a key with most of the values nor values that
+lie close together meet in one task; a key's own counts begin where its smallest value does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Buckets per factor e of the value, and a shift that keeps bucket numbers of one sign together.
-_BUCKETS_PER_E = 64
-_SHIFT = 1 << 17
-
-
-def value_bucket(value: Column) -> Column:
-    """Bucket number that never falls when the value rises."""
-    size = F.floor(F.least(F.log(F.abs(value)), F.lit(710.0)) * _BUCKETS_PER_E) + F.lit(_SHIFT)
-    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * size).cast("long")
+from sievework.operators.ordering import attach, running_sums
+from sievework.session import freeze
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """One row per key with a column per entry of `probs`; null keys, null and NaN values are skipped.
-
-    The joins are plain equalities on columns the windows and aggregates partition by, so the
-    counted values are shuffled twice in all: by (key, value), then by (key, bucket).
-    """
+    """One row per key with a column per entry of `probs`; null keys, null and NaN values are skipped."""
     grouped = list(keys) or ["__all"]
     v = F.col(value).cast("double")
     source = df if keys else df.withColumn("__all", F.lit(1))
     known = F.col("__v").isNotNull() & ~F.isnan("__v")
     for key in grouped:
         known = known & F.col(key).isNotNull()
-    counted = (
-        source.select(*grouped, v.alias("__v"))
-        .filter(known)
-        .groupBy(*grouped, "__v")
-        .agg(F.count("*").alias("__c"))
-        .withColumn("__b", value_bucket(F.col("__v")))
-    )
-    by_bucket = Window.partitionBy(*grouped).orderBy("__b")
-    buckets = (
-        counted.groupBy(*grouped, "__b")
-        .agg(F.sum("__c").alias("__bc"))
-        .select(
-            *grouped,
-            "__b",
-            F.coalesce(
-                F.sum("__bc").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("__before"),
-            F.sum("__bc").over(Window.partitionBy(*grouped)).alias("__n"),
-        )
-    )
-    inside = Window.partitionBy(*grouped, "__b").orderBy("__v")
-    rows = (
-        counted.withColumn("__cum", F.sum("__c").over(inside))
-        .join(buckets, [*grouped, "__b"])
-        .withColumn("__end", F.col("__before") + F.col("__cum"))
-    )
+    counted = source.select(*grouped, v.alias("__v")).filter(known).groupBy(*grouped, "__v").agg(F.count("*").alias("__c"))
+    summed = freeze(running_sums(counted, [*grouped, "__v"], {"__end": F.col("__c")}))
+    spans = summed.groupBy(*grouped).agg(F.min(F.col("__end") - F.col("__c")).alias("__start"), F.sum("__c").alias("__n"))
+    rows = attach(summed, spans, grouped).withColumn("__end", F.col("__end") - F.col("__start"))
 
     def covers(position: Column) -> Column:
         return (position < F.col("__end")) & (position >= F.col("__end") - F.col("__c"))

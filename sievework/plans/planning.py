@@ -308,7 +308,7 @@ def stream_feed(spark, sf):
     WHERE early OR ts > (SELECT max(ts) FROM e WHERE early)""",
 )
 def stream_high_water(spark, sf):
-    """Two slices: the second holds later rows and late ones, which are never delivered."""
+    """Three slices: the second holds later rows and late ones, which are never delivered, as does the third."""
     source, sink, log = (work_path(spark, n) for n in ("slices", "water", "water-log"))
     events = table(spark, sf, "events")
 
@@ -318,7 +318,7 @@ def stream_high_water(spark, sf):
     early = (F.col("ts") < at("2024-01-20 00:00:00")) & ~(
         (F.col("event_type") == "view") & (F.col("ts") < at("2024-01-10 00:00:00"))
     )
-    for part in (events.filter(early), events.filter(~early)):
+    for part in (events.filter(early), events.filter(~early), events.filter(early)):
         _feed_columns(part).write.mode("append").parquet(source)
         records = feeds.record_stream(spark, source, _feed_columns(events).schema)
         _finished(feeds.stream_high_water(records, sink, log, poll_seconds=None))
@@ -327,10 +327,14 @@ def stream_high_water(spark, sf):
 
 @query("stream_totals", "SELECT event_type AS cat, count(*) AS n FROM events GROUP BY event_type")
 def stream_totals(spark, sf):
-    name = work_path(spark, "totals").rsplit("/", 1)[-1].replace("-", "_")
-    records = _feed_columns(_stream(spark, sf, "events"))
-    _finished(feeds.stream_totals(records, ["cat"], name, work_path(spark, "totals-log"), poll_seconds=None))
-    return spark.table(name)
+    """Three slices, each of which the totals are brought up to."""
+    source, sink, log = (work_path(spark, n) for n in ("totals-in", "totals", "totals-log"))
+    events = table(spark, sf, "events")
+    for part in range(3):
+        _feed_columns(events.filter(F.col("event_id") % 3 == part)).write.mode("append").parquet(source)
+        records = feeds.record_stream(spark, source, _feed_columns(events).schema)
+        _finished(feeds.stream_totals(records, ["cat"], sink, log, poll_seconds=None))
+    return feeds.totals_of(spark, sink)
 
 
 @query("stream_score", _SCORED)

@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame
 from sievework.session import local_path
 
 
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfs"}
+
+
 def open_folder(path: str):
     """(file system, path in it) of a folder given as a path or URI."""
     from pyarrow import fs
 
     path = local_path(path)
     if "://" in path:
-        return fs.FileSystem.from_uri(path)
+        # Spark's names of a store, and the names this library has for it. hdfs needs libhdfs on the workers.
+        scheme, rest = path.split("://", 1)
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
     return fs.LocalFileSystem(), path
 
 
@@ -29,10 +34,15 @@ def put_file(path: str, write) -> int:
     with system.open_output_stream(temporary) as sink:
         write(sink)
     size = system.get_file_info(temporary).size
-    # Some file systems refuse to move onto a file that an earlier attempt has left.
-    if system.get_file_info(target).is_file:
+    try:
+        # Local folders and object stores put the new file in the old one's place.
+        system.move(temporary, target)
+    except OSError:
+        # Others refuse where an earlier attempt has left its file; both hold the same.
+        if not system.get_file_info(target).is_file:
+            raise
         system.delete_file(target)
-    system.move(temporary, target)
+        system.move(temporary, target)
     return size
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 
 def record_stream(
@@ -48,35 +48,47 @@ def stream_high_water(
 ) -> StreamingQuery:
     """Delivers rows above the highest mtime of earlier micro-batches; later ones never.
 
-    The mark is one aggregate over earlier batch folders rather than grouped state, so a feed of
-    any size keeps all its tasks, and a replayed batch sees the same mark.
+    Each batch leaves its mark, one row, in a folder beside the sink, so the next batch reads one row
+    however long the feed has run, and a replayed batch sees the same mark.
     """
-    spark = records.sparkSession
-    stored = StructType([*records.schema.fields, StructField("batch", LongType())])
+    spark, marks = records.sparkSession, f"{sink.rstrip('/')}-marks"
 
     def deliver(batch: DataFrame, number: int) -> None:
-        fresh = batch
+        mark = F.lit(None).cast(batch.schema["mtime"].dataType)
         if number > 0:
-            earlier = spark.read.schema(stored).parquet(sink)
-            mark = earlier.filter(F.col("batch") < number).agg(F.max("mtime").alias("m")).scalar()
-            fresh = batch.filter(mark.isNull() | (F.col("mtime") > mark))
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            mark = F.lit(spark.read.parquet(f"{marks}/batch={number - 1}").first()["mark"]).cast(batch.schema["mtime"].dataType)
+        folder = f"{sink}/batch={number}"
+        batch.filter(mark.isNull() | (F.col("mtime") > mark)).write.mode("overwrite").parquet(folder)
+        # What was delivered is above the old mark, so its highest value is the new one.
+        highest = spark.read.schema(batch.schema).parquet(folder).agg(F.coalesce(F.max("mtime"), mark).alias("mark"))
+        highest.coalesce(1).write.mode("overwrite").parquet(f"{marks}/batch={number}")
 
     writer = records.writeStream.option("checkpointLocation", checkpoint).foreachBatch(deliver)
     return _start(writer, poll_seconds)
 
 
-def stream_totals(records: DataFrame, keys: list[str | Column], table: str, checkpoint: str,
+def stream_totals(records: DataFrame, keys: list[str | Column], sink: str, checkpoint: str,
                   poll_seconds: int | None = 5) -> StreamingQuery:
-    """Running count per key in an in-memory table of the session, complete at every trigger."""
+    """Running count per key as a table below `sink`, complete at every trigger; read it with `totals_of`.
+
+    Two folders take turns, so the last complete table can be read while the next is written.
+    """
     counts = records.groupBy(*keys).count().withColumnRenamed("count", "n")
-    writer = (
-        counts.writeStream.outputMode("complete").format("memory").queryName(table)
-        .option("checkpointLocation", checkpoint)
-    )
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{sink}/slot={number % 2}")
+
+    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(deliver)
     return _start(writer, poll_seconds)
 
 
+def totals_of(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest complete totals."""
+    rows = spark.read.parquet(sink)
+    newest = rows.agg(F.max("batch").alias("b")).first()["b"]
+    return rows.filter(F.col("batch") == newest).drop("batch", "slot")
+
+
 def stream_append(
     records: DataFrame, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
     poll_seconds: int | None = 5,

@@ -56,9 +56,8 @@ def test_order_is_spread_over_partitions(spark, events, monkeypatch):
 def test_quantiles_count_before_they_order(events):
     text = plan(stats.seed_spread(events, "user_id", "value"))
     assert "partial_count" in text and "percentile" not in text
-    # Rows are ordered per (key, bucket), never per key.
-    windows = re.findall(r"Window \[sum\(__c.*?\], \[(.*?)\], \[", text)
-    assert windows and all("user_id" in w and "__b" in w for w in windows)
+    # Counted values are range-sorted and summed per partition, never per key.
+    assert "Window" not in text or not re.findall(r"Window \[[^\n]*\], \[user_id", text)
 
 
 def test_no_query_pairs_rows_without_a_key(spark, sf_dir):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import ids, lines, ordering, records, sample, stats
-from sievework.operators.quantiles import exact_quantiles, value_bucket
+from sievework.operators.quantiles import exact_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -81,9 +81,20 @@ def test_quantiles_skip_nan_and_null_and_order_extremes(spark):
     known = sorted(v for v in values if v is not None and v == v)
     assert row["q0"] == known[0] and row["q1"] == known[-1]
     assert row["q5"] == statistics.median(known)
-    ordered = spark.createDataFrame([(v,) for v in known], "v double").select(value_bucket(F.col("v")).alias("b"))
-    buckets = [r["b"] for r in ordered.collect()]
-    assert buckets == sorted(buckets)
+
+
+def test_values_that_lie_close_together_are_spread(spark):
+    """Microsecond times of one hot key, all within a day: the counted values are sorted in many tasks."""
+    rows = spark.range(40_000).select(F.lit("k").alias("k"), (F.col("id") * 2_000_000 + 1_704_067_200_000_000).cast("double").alias("v"))
+    counted = rows.groupBy("k", "v").agg(F.count("*").alias("c"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in ordering.running_sums(counted, ["k", "v"], {"end": F.col("c")}).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) >= 4 and max(sizes) < 20_000
+        got = exact_quantiles(rows, ["k"], "v", {"m": 0.5}).first()["m"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == 1_704_067_200_000_000 + 2_000_000 * 19_999.5
 
 
 def test_quantiles_of_nothing(spark):
