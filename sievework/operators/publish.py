@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,6 +13,7 @@ from sievework.operators.ids import dense_prompt_id, prompt_id_join, shard_assig
 from sievework.session import freeze
 from sievework.sources.readers import parse_sidecars
 from sievework.sources.writers import (
+    remove_stale_shards,
     shard_name,
     write_metadata,
     write_report,
@@ -84,13 +85,18 @@ def publish(
     """
     build = plan_build(payloads, sidecars, scores, manual, threshold)
     write_metadata(build.rows, f"{folder}/metadata")
+    # The shards read what was just written, so ids are joined and recipes flattened once.
+    build = replace(build, rows=payloads.sparkSession.read.parquet(f"{folder}/metadata"))
+    tasks = (build.placed.agg(F.max("shard")).first()[0] or 0) + 1
     if isinstance(images, PayloadFiles):
         written = write_shards_from_files(
-            shard_rows(build), f"{folder}/data", images.folder, images.make_encoder, images.suffix
+            shard_rows(build), f"{folder}/data", images.folder, images.make_encoder, images.suffix, tasks=tasks
         )
     else:
-        written = write_shards(shard_rows(build, images), f"{folder}/data")
+        written = write_shards(shard_rows(build, images), f"{folder}/data", tasks=tasks)
     manifest = freeze(written)
+    # A build into the same folder replaces what an earlier one has left there.
+    remove_stale_shards(f"{folder}/data", manifest.count())
     report = build_report(build.classified, build.prompt_ids, manifest, threshold)
     excluded = build.classified.filter(F.col("class") != "kept").select("class", "id")
     write_report(report, excluded, folder)

@@ -60,14 +60,14 @@ def category_summary(spark, sf):
 
 @query(
     "mtime_quantiles",
-    f"""WITH {IMG}, hot AS (SELECT CASE WHEN category = 'view' THEN category ELSE 'rest' END AS category, epoch_us(mtime)::DOUBLE AS us FROM img)
+    f"""WITH {IMG}, hot AS (SELECT CASE WHEN category = 'view' THEN category ELSE 'rest' END AS category, mtime_us::DOUBLE AS us FROM img)
     SELECT category, round(quantile_cont(us, 0.25), 3) AS q25, round(quantile_cont(us, 0.5), 3) AS q50, round(quantile_cont(us, 0.75), 3) AS q75
     FROM hot GROUP BY category""",
 )
 def mtime_quantiles(spark, sf):
     """Times in microseconds, which all lie close together; one category holds most rows."""
     category = F.when(F.col("category") == "view", F.col("category")).otherwise("rest")
-    rows = img(spark, sf).select(category.alias("category"), F.unix_micros(F.col("mtime").cast("timestamp")).cast("double").alias("us"))
+    rows = img(spark, sf).select(category.alias("category"), F.col("mtime_us").cast("double").alias("us"))
     found = exact_quantiles(rows, ["category"], "us", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return found.select("category", *[F.round(q, 3).alias(q) for q in ("q25", "q50", "q75")])
 

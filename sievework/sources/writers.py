@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sievework import schema as S
@@ -37,12 +39,36 @@ def shard_schema() -> pa.Schema:
     return pa.schema(fields, metadata={S.FEATURES_KEY: features.encode()})
 
 
+_SHARD = re.compile(r"train-(\d{5,})-of-(\d{5,})\.parquet")
+
+
 def shard_name(shard: Column, total: Column) -> Column:
     return F.format_string("train-%05d-of-%05d.parquet", shard, total)
 
 
-def _write_sorted(rows: DataFrame, folder: str, rows_per_group: int, add_images=None) -> DataFrame:
-    """One file per value of `file`, streamed in `pos` order one row group at a time."""
+def remove_stale_shards(folder: str, total: int) -> int:
+    """Deletes shard files of builds with another number of shards; returns how many.
+
+    A shard's name holds the total, so names alone tell. Call it when the new shards are complete.
+    """
+    system, base = open_folder(folder)
+    stale = [
+        f.path for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True))
+        if (hit := _SHARD.fullmatch(f.base_name)) and (int(hit[2]) != total or int(hit[1]) >= total)
+    ]
+    for path in stale:
+        system.delete_file(path)
+    return len(stale)
+
+
+def _write_sorted(
+    rows: DataFrame, folder: str, rows_per_group: int, add_images=None, tasks: int | None = None
+) -> DataFrame:
+    """One file per value of `file`, streamed in `pos` order one row group at a time.
+
+    The work of a task is that of its shards, whatever the size of its rows, so the number of tasks
+    follows the number of shards where it is given.
+    """
     columns = [f.name for f in shard_schema()]
 
     def put(
@@ -86,18 +112,21 @@ def _write_sorted(rows: DataFrame, folder: str, rows_per_group: int, add_images=
         )
 
     # The writer needs (file, pos) order; grouping by file keeps this exchange and this sort.
-    ordered = rows.repartition("file").sortWithinPartitions("file", "pos")
+    dealt = rows.repartition(tasks, "file") if tasks else rows.repartition("file")
+    ordered = dealt.sortWithinPartitions("file", "pos")
     return ordered.groupBy("file").applyInArrow(put, "shard string, rows bigint, bytes bigint")
 
 
-def write_shards(df: DataFrame, folder: str, rows_per_group: int = S.ROWS_PER_GROUP) -> DataFrame:
+def write_shards(
+    df: DataFrame, folder: str, rows_per_group: int = S.ROWS_PER_GROUP, tasks: int | None = None
+) -> DataFrame:
     """Writes each shard to its own Parquet file; returns (shard, rows, bytes).
 
     `df` holds `file` (name of the shard's file), `pos`, `image` and the recipe columns. A shard is
     bounded by its row count. Lazy: written when the result is read.
     """
     columns = [name for name, _ in S.RECIPE_COLUMNS]
-    return _write_sorted(df.select("file", "pos", "image", *columns), folder, rows_per_group)
+    return _write_sorted(df.select("file", "pos", "image", *columns), folder, rows_per_group, tasks=tasks)
 
 
 def write_shards_from_files(
@@ -107,6 +136,7 @@ def write_shards_from_files(
     make_encoder: Callable[[], Callable[[bytes], bytes]],
     suffix: str,
     rows_per_group: int = S.ROWS_PER_GROUP,
+    tasks: int | None = None,
 ) -> DataFrame:
     """The same for payloads that lie as `<id>.png` in a shared folder.
 
@@ -128,7 +158,7 @@ def write_shards_from_files(
         return images
 
     columns = [name for name, _ in S.RECIPE_COLUMNS]
-    return _write_sorted(df.select("file", "pos", *columns), folder, rows_per_group, add_images)
+    return _write_sorted(df.select("file", "pos", *columns), folder, rows_per_group, add_images, tasks)
 
 
 def write_metadata(df: DataFrame, path: str) -> None:

@@ -104,6 +104,19 @@ def test_publish(spark, tmp_path):
     assert excluded == {("manual", names[5]), ("no_sidecar", names[0]), ("not_scored", names[3]), ("nsfw", names[7])}
 
 
+def test_a_later_build_replaces_the_shards_of_an_earlier_one(spark, tmp_path):
+    names, payloads, sidecars, scores, manual = build_inputs(spark)
+    images = payloads.select("id", F.struct(F.col("content").alias("bytes"), F.concat("id", F.lit(".x")).alias("path")).alias("image"))
+    folder = str(tmp_path / "set")
+    for excluded in (manual, spark.createDataFrame([(x,) for x in names[:700]], "id string"), manual):
+        manifest = publish.publish(payloads, sidecars, scores, excluded, images, folder)
+        named = {r["shard"]: r["rows"] for r in manifest.collect()}
+        assert sorted(os.listdir(f"{folder}/data")) == sorted(named)
+        back = [r["id"] for r in spark.read.parquet(f"{folder}/data").select("id").collect()]
+        left_out = {r["id"] for r in excluded.collect()}
+        assert len(back) == sum(named.values()) == len(set(back)) and not left_out & set(back)
+
+
 def test_payload_files_are_read_by_the_shard_writer(spark, tmp_path):
     names, payloads, sidecars, scores, manual = build_inputs(spark, 230)
     files.write_files(payloads.withColumn("name", F.concat("id", F.lit(".png"))), str(tmp_path / "in"), "name", "content").count()
