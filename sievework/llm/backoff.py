@@ -10,9 +10,10 @@ and sends only counts back, where they are summed into the document's score. Wit
 of the hash are kept: as buckets do not grow, two n-grams are mistaken for one another once in
 hundreds of millions of look-ups at any input size.
 
-n-grams with about a `HOT`-th of all occurrences never travel: heavy n-grams of each part of the
-input are summed to at most 2 `HOT` candidates per order, counted exactly in a second pass and sent
-to all tasks. What is left comes less often, so no bucket has one n-gram for most of its rows.
+n-grams with about a `HOT`-th of all occurrences never travel: those that are heavy in a sample of
+the texts, at most 2 `HOT` per order, are counted exactly over all texts and sent to all tasks. Which
+n-grams these are changes no result; what is left comes less often, so no bucket has one n-gram for
+most of its rows.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from sievework.session import freeze
 
 ALPHA = 0.4
 ORDER = 2
-HOT = 10_000
-BUCKET_BYTES = 36_000_000
+HOT = 50_000
+BUCKET_BYTES = 48_000_000
+# One text in so many is looked at for heavy n-grams; all are counted.
+HEAVY_SAMPLE = 16
 UNIT = 1_000_000
 _HELD = 1_500_000
 _CACHE = 400_000
@@ -84,8 +87,8 @@ def _packed(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def _heavy(docs: DataFrame, text: str, order: int, hot: int) -> tuple[int, DataFrame]:
-    """The number of words, and rows (o, h) of all n-grams with a `hot`-th of the occurrences of their order.
+def _heavy(docs: DataFrame, text: str, order: int, hot: int) -> DataFrame:
+    """Rows (h) of all n-grams with a `hot`-th of the occurrences of their order.
 
     An n-gram may miss less than half of that in the parts in which it is rare, so those that keep
     half of it hold every heavy one, and there are at most 2 `hot` per order.
@@ -117,26 +120,38 @@ def _heavy(docs: DataFrame, text: str, order: int, hot: int) -> tuple[int, DataF
     least = F.lit(0)
     for o, total in totals.items():
         least = F.when(F.col("o") == o, F.lit(total)).otherwise(least)
-    return totals.get(1, 0), found.filter(F.col("o") > 0).filter(F.col("c") * 2 * hot >= least).select("h")
+    return found.filter(F.col("o") > 0).filter(F.col("c") * 2 * hot >= least).select("h")
 
 
-def _exact(docs: DataFrame, text: str, order: int, listed: np.ndarray) -> np.ndarray:
-    """How often each of the listed n-grams comes in all texts."""
+def _exact(docs: DataFrame, text: str, order: int, listed: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of words, and how often each of the listed n-grams comes, in all texts."""
     sent = docs.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, sums = Grams(order), np.zeros(len(sent.value), np.int64)
+        # The last place counts the words.
+        grams, sums, held, n = Grams(order), np.zeros(len(sent.value) + 1, np.int64), [], 0
+
+        def add() -> None:
+            found, place = _find(sent.value, np.concatenate(held))
+            sums[:-1] += np.bincount(place[found], minlength=len(sums))[: len(sums) - 1]
+            held.clear()
+
         for (t,) in _rows(batches):
-            for own in grams(t):
-                found, place = _find(sent.value, own)
-                sums += np.bincount(place[found], minlength=len(sums))
+            own = grams(t)
+            sums[-1] += len(own[0])
+            held += own
+            n += len(own[0])
+            if n > 100_000:
+                add()
+                n = 0
+        if held:
+            add()
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums)), pa.array(sums[sums > 0])], ["i", "c"])
 
-    out = np.zeros(len(listed), np.int64)
-    if len(listed):
-        for r in docs.select(text).mapInArrow(run, "i bigint, c bigint").groupBy("i").agg(F.sum("c").alias("c")).collect():
-            out[r["i"]] = r["c"]
-    return out
+    out = np.zeros(len(listed) + 1, np.int64)
+    for r in docs.select(text).mapInArrow(run, "i bigint, c bigint").groupBy("i").agg(F.sum("c").alias("c")).collect():
+        out[r["i"]] = r["c"]
+    return int(out[-1]), out[:-1]
 
 
 def _short(c: np.ndarray) -> bytes:
@@ -168,11 +183,19 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket, held = None, []
 
     def close() -> Iterator[pa.RecordBatch]:
-        asked = [_wide(h) for _, h, _ in held]
-        ends = np.cumsum([len(h) for h in asked])
-        _, place = np.unique(np.concatenate(asked), return_inverse=True)
-        own = np.concatenate([_long(c, len(h)) for h, (_, _, c) in zip(asked, held)])
-        counts = np.bincount(place, weights=own).astype(np.int64)[place]
+        ends = np.cumsum([len(h) // _KEY for _, h, _ in held])
+        own = np.ones(ends[-1], np.uint32)
+        for i, (_, h, c) in enumerate(held):
+            if c:
+                own[ends[i] - len(h) // _KEY : ends[i]] = _long(c, len(h) // _KEY)
+        keys = _wide(b"".join([h for _, h, _ in held]))
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        del keys
+        sums = np.add.reduceat(own[order], starts, dtype=np.int64)
+        counts = np.empty(len(own), np.int64)
+        counts[order] = np.repeat(sums, np.diff(np.append(starts, len(own))))
         for start in range(0, len(held), 4096):
             rows = [(d, bucket, _short(counts[(ends[i - 1] if i else 0) : ends[i]])) for i, (d, _, _) in enumerate(held[start : start + 4096], start)]
             yield _packed(["d", "bucket", "c"], [pa.binary(), pa.int64(), pa.binary()], rows)
@@ -234,13 +257,14 @@ def score(docs: DataFrame, key: str, text: str, order: int = ORDER, alpha: float
     """
     spark = docs.sparkSession
     rows = docs.select(docs[key].alias("k"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    rows = rows.withColumn("d", F.substring(F.unhex(F.sha2(F.col("t"), 256)), 1, 16))
+    rows = rows.withColumn("d", F.substring(F.unhex(F.sha2(F.col("t"), 256)), 1, 12))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    total, heavy = _heavy(rows, "t", order, HOT)
+    heavy = _heavy(rows.filter(F.pmod(F.xxhash64("t"), F.lit(HEAVY_SAMPLE)) == 0), "t", order, HOT)
     # At most 2 HOT n-grams of each order.
     listed = np.unique(np.array([r["h"] for r in heavy.collect()], np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast((listed, _exact(rows, "t", order, listed)))
+    total, counted = _exact(rows, "t", order, listed)
+    sent = spark.sparkContext.broadcast((listed, counted))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, out, hot = Grams(order), [], sent.value[0]

@@ -175,6 +175,7 @@ def test_backoff_odd_rows(spark, order, monkeypatch):
     for hot, size in ((2, 20_000), (50, 36_000_000), (10_000, 50_000)):
         monkeypatch.setattr(backoff, "HOT", hot)
         monkeypatch.setattr(backoff, "BUCKET_BYTES", size)
+        monkeypatch.setattr(backoff, "HEAVY_SAMPLE", 1 if hot < 100 else 16)
         got = odd.by(backoff.score(df, "doc_id", "text", order).collect())
         assert [g[:3] for g in got] == [w[:3] for w in odd.by(want)]
         assert all(abs(g[3] - w[3]) <= g[1] for g, w in zip(got, odd.by(want)))
