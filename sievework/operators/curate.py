@@ -133,15 +133,45 @@ def flatten_recipe(rows: DataFrame, meta: str = "meta") -> DataFrame:
     return rows.select(*columns)
 
 
+def _fills(ts: str, eras, repos) -> dict[str, Column]:
+    """What an absent attribution field is filled with, by era and model; reads `__meta`."""
+    fills = recipe.era_attribution(F.col(ts), eras)
+    model = F.coalesce(F.nullif(F.col("__meta.model"), F.lit("")), F.lit(S.DEFAULT_MODEL))
+    fills["model_repo"] = recipe.lookup(model, repos, F.lit("unknown"))
+    return fills
+
+
+def attribution_backfill(
+    df: DataFrame, raw: str, ts: str, name: str = "backfilled", eras=recipe.ERAS, repos=S.OLD_MODEL_REPOS
+) -> DataFrame:
+    """Adds `name`: the whole JSON object with the absent attribution keys put at its end.
+
+    What the object holds stays as it is, byte for byte: unknown keys, explicit nulls and their
+    order. Text that is no JSON object stays unchanged.
+    """
+    rows = df.withColumns({"__meta": F.from_json(raw, S.SIDECAR_SCHEMA), "__keys": F.json_object_keys(raw)})
+
+    def added(key: str, value: Column) -> Column:
+        written = F.to_json(F.struct(value.alias(key)), {"ignoreNullFields": "false"})
+        return F.when(~F.array_contains("__keys", key), F.substr(written, F.lit(2), F.length(written) - 2))
+
+    pieces = F.array_compact(F.array(*[added(k, v) for k, v in _fills(ts, eras, repos).items()]))
+    body = F.rtrim(F.col(raw), F.lit(" \t\r\n"))
+    open_ = F.substr(body, F.lit(1), F.length(body) - 1)
+    comma = F.when(F.size("__keys") > 0, ",").otherwise("")
+    merged = F.concat(open_, comma, F.array_join("__new", ","), F.lit("}"))
+    filled = rows.withColumn("__new", pieces)
+    result = F.when(F.size("__new") > 0, merged).otherwise(F.col(raw))
+    return filled.withColumn(name, F.when(F.col("__keys").isNull(), F.col(raw)).otherwise(result)).drop("__meta", "__keys", "__new")
+
+
 def attribution_fill(
     df: DataFrame, raw: str, ts: str, eras=recipe.ERAS, repos=S.OLD_MODEL_REPOS
 ) -> DataFrame:
     """Adds the attribution fields: kept where the JSON has the key, else by era and model."""
     parsed = F.from_json(raw, S.SIDECAR_SCHEMA)
     rows = df.withColumn("__meta", parsed)
-    fills = recipe.era_attribution(F.col(ts), eras)
-    model = F.coalesce(F.nullif(F.col("__meta.model"), F.lit("")), F.lit(S.DEFAULT_MODEL))
-    fills["model_repo"] = recipe.lookup(model, repos, F.lit("unknown"))
+    fills = _fills(ts, eras, repos)
     filled = recipe.fill_absent(F.col(raw), {k: F.col(f"__meta.{k}") for k in fills}, fills)
     return rows.withColumns(filled).drop("__meta")
 

@@ -214,9 +214,7 @@ def era_asof(spark, sf):
     )
 
 
-@query(
-    "attribution_fill",
-    f"""WITH {IMG}, f AS (SELECT *, ts_name >= '20240115-120000' AS late, pipeline_version = 1 AS absent, k < 10 AS hidden FROM img)
+_FILLED = f"""WITH {IMG}, f AS (SELECT *, ts_name >= '20240115-120000' AS late, pipeline_version = 1 AS absent, k < 10 AS hidden FROM img)
     SELECT event_id,
       CASE WHEN absent THEN CASE WHEN late THEN '{S.VAE}' ELSE 'default' END WHEN NOT hidden THEN 'vae-x' END AS vae,
       CASE WHEN absent THEN CASE WHEN late THEN '{S.SCHEDULER}' ELSE '{S.OLD_SCHEDULER}' END WHEN NOT hidden THEN 'sched-x' END AS scheduler,
@@ -225,8 +223,10 @@ def era_asof(spark, sf):
       CAST(CASE WHEN absent THEN CASE WHEN late THEN 2 ELSE 1 END ELSE pipeline_version END AS BIGINT) AS pipeline_version,
       CASE WHEN absent THEN CASE model {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in S.OLD_MODEL_REPOS.items())} END
         WHEN NOT hidden THEN 'repo-x' END AS model_repo
-    FROM f""",
-)
+    FROM f"""
+
+
+@query("attribution_fill", _FILLED)
 def attribution_fill(spark, sf):
     rows = img(spark, sf).select("event_id", "ts_name", sidecar_raw().alias("raw"))
     filled = curate.attribution_fill(rows, "raw", "ts_name", _ERAS)
@@ -236,6 +236,23 @@ def attribution_fill(spark, sf):
     )
 
 
+@query(
+    "attribution_backfill",
+    f"SELECT *, '{{\"a\":[1, 2]}}' AS note FROM ({_FILLED})",
+)
+def attribution_backfill(spark, sf):
+    """The merged object, read again; it also holds a key that no schema knows."""
+    raw = F.concat(F.lit('{"note":{"a":[1, 2]},'), F.substr("raw", F.lit(2)))
+    rows = img(spark, sf).select("event_id", "ts_name", sidecar_raw().alias("raw")).withColumn("raw", raw)
+    merged = curate.attribution_backfill(rows, "raw", "ts_name", eras=_ERAS)
+    read = merged.withColumn("m", F.from_json("backfilled", S.SIDECAR_SCHEMA))
+    return read.select(
+        "event_id", "m.vae", "m.scheduler", "m.aesthetic_score", F.col("m.freeu.s2").alias("freeu_s2"),
+        F.col("m.pipeline_version").cast("bigint").alias("pipeline_version"), "m.model_repo",
+        F.regexp_extract("backfilled", r'"note":(\{[^}]*\})', 1).alias("note"),
+    )
+
+
 @query(
     "flatten_recipe",
     f"""WITH {IMG}, p AS (SELECT *, dense_rank() OVER (ORDER BY prompt_subject) - 1 AS prompt_id, pipeline_version = 2 AND k >= 10 AS has FROM img)

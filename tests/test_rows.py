@@ -1,5 +1,7 @@
 """No operator loses, multiplies or hides rows: the inputs on which some once did."""
 
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -50,6 +52,23 @@ def test_content_is_compared(spark):
     assert got == [(2, "digest"), (3, "digest"), (3, "length")]
 
 
+def test_backfill_keeps_the_object(spark):
+    rows = [
+        ("20200101-000000", '{"model": "m", "x": {"vae": 1},  "vae": null}'), ("20200101-000000", "{}"), ("20200101-000000", " { } "),
+        ("20200101-000000", "[1]"), ("20200101-000000", None), ("20200101-000000", "not json"),
+    ]
+    df = spark.createDataFrame(rows, "ts string, raw string")
+    got = [(r["raw"], r["backfilled"]) for r in curate.attribution_backfill(df, "raw", "ts").collect()]
+    for raw, filled in got[:3]:
+        before, after = json.loads(raw), json.loads(filled)
+        assert {k: after[k] for k in before} == before and filled.startswith(raw.rstrip()[:-1])
+        assert {"vae", "scheduler", "model_repo", "pipeline_version"} <= set(after)
+    assert json.loads(got[0][1])["vae"] is None
+    assert all(raw == filled for raw, filled in got[3:])
+    again = df.select("ts", F.lit(got[0][1]).alias("raw")).limit(1)
+    assert curate.attribution_backfill(again, "raw", "ts").first()["backfilled"] == got[0][1]
+
+
 def test_records_without_status_are_open(spark):
     rows = spark.createDataFrame([("done",), (None,), ("now",)], "status string")
     assert tuple(records.status_counts(rows).first()) == (2, 1)
