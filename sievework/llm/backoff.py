@@ -19,6 +19,7 @@ most of its rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import batched
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sievework.llm.common import put_bounded, slices
+from sievework.llm.common import map_rows, put_bounded, slices
 from sievework.session import freeze
 
 ALPHA = 0.4
@@ -287,8 +288,8 @@ def score(docs: DataFrame, key: str, text: str, order: int = ORDER, alpha: float
         grams, (hot, hot_c) = Grams(order), sent.value
 
         def scored() -> Iterator[tuple]:
-            for d, t, answers in _rows(batches):
-                own = grams(t)
+            for d, z, answers in _rows(batches):
+                own = grams(zlib.decompress(z).decode())
                 h, _ = _asked(own, hot)
                 place, cuts = _cut(h, buckets)
                 got = {a["bucket"]: a["c"] for a in answers or []}
@@ -311,9 +312,11 @@ def score(docs: DataFrame, key: str, text: str, order: int = ORDER, alpha: float
 
     asked = rows.filter("t <> ''").select("d", "t").mapInArrow(ask, "bucket bigint, d binary, h binary, c binary")
     met = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    answers = met.mapInArrow(_answers, "d binary, bucket bigint, c binary").groupBy("d", "bucket").agg(F.first("c").alias("c"))
-    per_text = answers.groupBy("d").agg(F.collect_list(F.struct("bucket", "c")).alias("answers"))
-    once = rows.select("d", "t").groupBy("d").agg(F.first("t").alias("t"))
+    # Copies of a text get equal answers, which a set holds once, at most one per bucket.
+    answers = met.mapInArrow(_answers, "d binary, bucket bigint, c binary")
+    per_text = answers.groupBy("d").agg(F.collect_set(F.struct("bucket", "c")).alias("answers"))
+    packed = map_rows(rows, ["d", "t"], "d binary, z binary", lambda tuples: ((d, zlib.compress(t.encode(), 1)) for d, t in tuples), 256)
+    once = packed.groupBy("d").agg(F.first("z").alias("z"))
     scored = once.join(per_text, "d", "left").mapInArrow(finish, "d binary, n_tokens bigint, n_shortened bigint, score_micro bigint")
     out = rows.select("k", "d").join(freeze(scored), "d")
     return out.select(F.col("k").alias(key), "n_tokens", "n_shortened", "score_micro")
