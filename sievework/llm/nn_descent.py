@@ -9,7 +9,9 @@
 4. Saturated lists: where all entries are links, a list may be too short. It is enlarged by all that
    can be reached through neighbours of neighbours to the end, its component: components are cut
    into tiles by the angle to their first node, and tiles whose angles lie close enough are compared
-   block by block. Links are counted there and never handed on as pairs.
+   block by block. Links are counted there and never handed on as pairs. A link that full lists
+   of two components both dropped joins them: components with such lists are compared with each
+   other by the angles between their first nodes, and where these lie close enough tile by tile.
 5. Audit: the links of `AUDIT` sampled nodes are found by brute force. If a smaller share than
    `RECALL` of them lies within found components, new tables and another refinement follow.
 """
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sievework.llm.common import slices
 from sievework.llm.components import components
 from sievework.llm.vectors import groups, matrix, unit, usable
 from sievework.operators.ordering import positions_within
@@ -36,6 +39,8 @@ AROUND = 64
 ROUNDS = 4
 SETTLED = 0.01
 TILE = 256
+# First nodes of components that are sent to all tasks at once.
+ANCHORS = 8192
 AUDIT = 256
 RECALL = 0.99
 
@@ -156,7 +161,7 @@ def graph(nodes: DataFrame, threshold: float = THRESHOLD, size: int = LIST, tabl
             lists = better
             if changed <= SETTLED * max(1, lists.count()):
                 break
-        roots = freeze(components(lists.filter(F.col("c") >= threshold).select("a", "b")))
+        roots = joined_components(nodes, lists, threshold, size)
         wanted = exact.count() if exact is not None else 0
         if not wanted:
             return roots, 1.0
@@ -168,16 +173,90 @@ def graph(nodes: DataFrame, threshold: float = THRESHOLD, size: int = LIST, tabl
     return roots, recall
 
 
-def count_links(nodes: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """Rows (id, n): rows behind the nodes that each node links to, among all nodes of its component."""
-    reach = math.acos(threshold)
+def _tiles(nodes: DataFrame, roots: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Members of each component in tiles (root, i, id, v, n), by the angle to its root; (root, i, low, high) of each tile."""
     anchors = nodes.select(F.col("id").alias("root"), F.col("v").alias("w"))
     members = nodes.join(roots.withColumnRenamed("node", "id"), "id").join(anchors, "root")
     dot = F.aggregate(F.zip_with("v", "w", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     angles = members.select("root", "id", "v", "n", F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))).alias("angle"))
     placed = positions_within(angles, ["root"], ["angle", "id"], "pos")
     tiled = freeze(placed.withColumn("i", F.floor(F.col("pos") / tile)))
-    spans = freeze(tiled.groupBy("root", "i").agg(F.min("angle").alias("low"), F.max("angle").alias("high")))
+    return tiled, freeze(tiled.groupBy("root", "i").agg(F.min("angle").alias("low"), F.max("angle").alias("high")))
+
+
+def _close(anchors: DataFrame, slack: float, most: int = ANCHORS) -> DataFrame:
+    """Rows (ra, rb, between) of roots whose angle is at most both radii and the slack, by comparing all."""
+    parts = -(-anchors.count() // most)
+    out = anchors.sparkSession.createDataFrame([], "ra bigint, rb bigint, between double")
+    for part in range(parts):
+        rows = anchors.filter(F.pmod(F.xxhash64("root"), F.lit(parts)) == part).collect()
+        if not rows:
+            continue
+        ids, x, radius = np.array([r["root"] for r in rows], np.int64), np.array([r["v"] for r in rows]), np.array([r["radius"] for r in rows])
+        sent = anchors.sparkSession.sparkContext.broadcast((ids, x, radius))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, rows, wide = sent.value
+            for batch in slices(batches):
+                others, more = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                between = np.arccos(np.clip(rows @ matrix(batch.column(1)).T, -1.0, 1.0))
+                i, j = np.nonzero((between <= wide[:, None] + more[None, :] + slack) & (own[:, None] < others[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(others[j]), pa.array(between[i, j])], ["ra", "rb", "between"])
+
+        out = out.unionByName(freeze(anchors.select("root", "v", "radius").mapInArrow(run, "ra bigint, rb bigint, between double")))
+    return out
+
+
+def across(nodes: DataFrame, lists: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, size: int = LIST, tile: int = TILE) -> DataFrame:
+    """Rows (a, b): a link for any two tiles of different components that hold one, where lists are full of links.
+
+    A link that was seen is dropped only if the lists of both its nodes are full of closer ones.
+    """
+    full = lists.filter(F.col("c") >= threshold).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("k")).filter(F.col("k") >= size)
+    wanted = freeze(roots.join(full.join(roots, "node").select("root").distinct(), "root").select("node", "root"))
+    tiled, spans = _tiles(nodes, wanted, tile)
+    slack = math.acos(threshold) + 1e-6
+    radius = spans.groupBy("root").agg(F.max("high").alias("radius"))
+    close = _close(freeze(nodes.select(F.col("id").alias("root"), "v").join(radius, "root")), slack)
+    first = spans.select(F.col("root").alias("ra"), "i", F.col("low").alias("l1"), F.col("high").alias("h1"))
+    second = spans.select(F.col("root").alias("rb"), F.col("i").alias("j"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+    between = F.col("between")
+    reached = (between <= F.col("h1") + F.col("h2") + slack) & (F.col("l1") <= between + F.col("h2") + slack) & (F.col("l2") <= between + F.col("h1") + slack)
+    near = freeze(close.join(first, "ra").join(second, "rb").filter(reached).select("ra", "i", "rb", "j"))
+
+    def side(root: str, place: str, flag: int) -> DataFrame:
+        rows = tiled.select(F.col("root").alias(root), F.col("i").alias(place), "id", "v")
+        return rows.join(near, [root, place]).select("ra", "i", "rb", "j", F.lit(flag).alias("s"), "id", "v")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 4):
+            left = group.column("s").to_numpy() == 0
+            ids, x = group.column("id").to_numpy(), matrix(group.column("v").combine_chunks())
+            i, j = np.nonzero(_cosines(x[left], x[~left]) >= threshold)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[left][i[:1]]), pa.array(ids[~left][j[:1]])], ["a", "b"])
+
+    sides = side("ra", "i", 0).unionByName(side("rb", "j", 1)).repartition("ra", "i", "rb", "j").sortWithinPartitions("ra", "i", "rb", "j")
+    return sides.mapInArrow(compared, "a bigint, b bigint")
+
+
+def joined_components(nodes: DataFrame, lists: DataFrame, threshold: float = THRESHOLD, size: int = LIST) -> DataFrame:
+    """Component of each linked node (node, root), by the links of the lists and those that full lists dropped."""
+    links = lists.filter(F.col("c") >= threshold).select("a", "b")
+    roots = freeze(components(links))
+    more = freeze(across(nodes, lists, roots, threshold, size))
+    if more.isEmpty():
+        return roots
+    # Components are joined by their roots; a node follows its root.
+    ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return freeze(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+
+def count_links(nodes: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """Rows (id, n): rows behind the nodes that each node links to, among all nodes of its component."""
+    reach = math.acos(threshold)
+    tiled, spans = _tiles(nodes, roots, tile)
     other = spans.select(F.col("root").alias("r2"), F.col("i").alias("j"), F.col("low").alias("l2"), F.col("high").alias("h2"))
     slack = reach + 1e-9
     near = spans.join(other, F.col("root") == F.col("r2")).filter((F.col("l2") <= F.col("high") + slack) & (F.col("low") <= F.col("h2") + slack))

@@ -69,6 +69,18 @@ def test_nn_descent_odd_rows(spark):
     assert {(r.n_links, r.kept) for r in nn_descent.near_duplicates(bad).collect()} == {(0, True)}
 
 
+def test_nn_descent_links_between_tight_groups(spark):
+    rng = np.random.default_rng(4)
+    first, second = np.eye(32)[0], 0.93 * np.eye(32)[0] + np.sqrt(1 - 0.93**2) * np.eye(32)[1]
+    # Each group fills every list of its members; the last two groups have a link through few pairs only.
+    third, fourth = np.eye(32)[2], 0.89 * np.eye(32)[2] + np.sqrt(1 - 0.89**2) * np.eye(32)[3]
+    rows = [(100 * g + i, (c + rng.normal(size=32) * 0.015).tolist(), 0) for g, c in enumerate((first, second, third, fourth)) for i in range(40)]
+    df = vectors(spark, rows)
+    got = nn_descent.near_duplicates(df).collect()
+    assert {r.component_id for r in got} == {0, 200} and min(r.n_links for r in got) >= 39
+    check_links(got, df.collect())
+
+
 def check_neighbours(got, rows, every, k, least):
     good = usable(rows)
     hit = wanted = 0
