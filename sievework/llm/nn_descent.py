@@ -12,8 +12,9 @@
    block by block. Links are counted there and never handed on as pairs. A link that full lists
    of two components both dropped joins them: components with such lists are compared with each
    other by the angles between their first nodes, and where these lie close enough tile by tile.
-5. Audit: the links of `AUDIT` sampled nodes are found by brute force. If a smaller share than
-   `RECALL` of them lies within found components, new tables and another refinement follow.
+5. Audit: the links of sampled nodes are found by brute force. If a smaller share than `RECALL` of
+   them lies within found components, more tables and another refinement follow, and an audit on
+   another sample. After `ATTEMPTS` the job fails.
 """
 
 from __future__ import annotations
@@ -42,7 +43,10 @@ TILE = 256
 # First nodes of components that are sent to all tasks at once.
 ANCHORS = 8192
 AUDIT = 256
+AUDIT_MOST = 4096
+LINKS = 200
 RECALL = 0.99
+ATTEMPTS = 4
 
 _EDGE = "a bigint, b bigint, c double"
 
@@ -145,15 +149,44 @@ def _links_of_sample(nodes: DataFrame, sample: list, threshold: float) -> DataFr
     return nodes.select("id", "v").mapInArrow(run, _EDGE)
 
 
+def _sample(nodes: DataFrame, total: int, seed: int, most: int) -> list:
+    """About `most` nodes by a hash of seed and id: other seeds give samples that do not depend on each other."""
+    parts = 1 << 30
+    share = min(parts, most * parts // max(total, 1) + 1)
+    return nodes.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)) < share).select("id", "v").limit(2 * most).collect()
+
+
+def audit(nodes: DataFrame, roots: DataFrame, threshold: float, seed: int) -> tuple[float, DataFrame]:
+    """The share of the links of sampled nodes that lie within found components, and those that do not (a, b).
+
+    The sample is drawn anew for each seed, and grows until it has `LINKS` links, `AUDIT_MOST` nodes or
+    all nodes. Without any link the share is 1.
+    """
+    total, size = nodes.count(), AUDIT
+    left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    while True:
+        sample = _sample(nodes, total, 1000 + seed, size)
+        if not sample:
+            return 1.0, nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
+        exact = freeze(_links_of_sample(nodes, sample, threshold).select("a", "b"))
+        wanted = exact.count()
+        if wanted >= LINKS or size >= min(total, AUDIT_MOST):
+            break
+        size *= 4
+    met = F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))
+    lost = freeze(exact.join(left, "a", "left").join(right, "b", "left").filter(~met).select("a", "b"))
+    return 1.0 - lost.count() / max(1, wanted), lost
+
+
 def graph(nodes: DataFrame, threshold: float = THRESHOLD, size: int = LIST, tables: int = TABLES) -> tuple[DataFrame, float]:
-    """Component of each linked node (node, root), and the audited recall of links."""
+    """Component of each linked node (node, root), and the audited recall of links.
+
+    Links that audits found to be lost take part in the result, never in what an audit measures.
+    """
     floor = 2 * threshold * threshold - 1
-    parts, total = 1 << 30, nodes.count()
-    sample = nodes.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(parts)) < min(parts, AUDIT * parts // max(total, 1) + 1)).limit(2 * AUDIT).collect()
-    exact = freeze(_links_of_sample(nodes, sample, threshold)) if sample else None
-    lists, recall, roots = None, 0.0, None
-    for attempt in range(ROUNDS):
-        found = first_lists(nodes, tables, attempt, floor, size)
+    lists, known, recall = None, None, 0.0
+    for attempt in range(ATTEMPTS):
+        found = first_lists(nodes, tables << attempt, attempt, floor, size)
         lists = freeze(shorten(found if lists is None else lists.unionByName(found), size))
         for _ in range(ROUNDS):
             better = freeze(refine(lists, nodes, floor, size))
@@ -162,15 +195,11 @@ def graph(nodes: DataFrame, threshold: float = THRESHOLD, size: int = LIST, tabl
             if changed <= SETTLED * max(1, lists.count()):
                 break
         roots = joined_components(nodes, lists, threshold, size)
-        wanted = exact.count() if exact is not None else 0
-        if not wanted:
-            return roots, 1.0
-        left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        recall = exact.join(left, "a").join(right, "b").filter("ra = rb").count() / wanted
+        recall, lost = audit(nodes, roots, threshold, attempt)
+        known = lost if known is None else known.unionByName(lost)
         if recall >= RECALL:
-            break
-        lists = freeze(shorten(lists.unionByName(exact), size))
-    return roots, recall
+            return (roots if known.isEmpty() else _with_links(roots, known)), recall
+    raise RuntimeError(f"recall of links is {recall:.4f} after {ATTEMPTS} attempts, below {RECALL}")
 
 
 def _tiles(nodes: DataFrame, roots: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
@@ -240,6 +269,16 @@ def across(nodes: DataFrame, lists: DataFrame, roots: DataFrame, threshold: floa
     return sides.mapInArrow(compared, "a bigint, b bigint")
 
 
+def _with_links(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after more links (a, b); a node follows its root."""
+    left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    ends = more.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = freeze(components(ends)).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = moved.join(roots, moved["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+    return freeze(old.unionByName(new))
+
+
 def joined_components(nodes: DataFrame, lists: DataFrame, threshold: float = THRESHOLD, size: int = LIST) -> DataFrame:
     """Component of each linked node (node, root), by the links of the lists and those that full lists dropped."""
     links = lists.filter(F.col("c") >= threshold).select("a", "b")
@@ -247,10 +286,7 @@ def joined_components(nodes: DataFrame, lists: DataFrame, threshold: float = THR
     more = freeze(across(nodes, lists, roots, threshold, size))
     if more.isEmpty():
         return roots
-    # Components are joined by their roots; a node follows its root.
-    ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-    moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return freeze(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    return _with_links(roots, more)
 
 
 def count_links(nodes: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:

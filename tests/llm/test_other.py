@@ -81,6 +81,23 @@ def test_nn_descent_links_between_tight_groups(spark):
     check_links(got, df.collect())
 
 
+def test_nn_descent_audit_can_fail(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=32).tolist(), 0) for i in range(600)]
+    rows += [(1000 + i, (np.array(rows[i][1]) * (1 + 1e-3 * rng.normal(size=32))).tolist(), 0) for i in range(400)]
+    df = vectors(spark, rows)
+    none = spark.createDataFrame([], "a bigint, b bigint, c double")
+    real = nn_descent.first_lists
+    # A search that finds nothing at first: an audit fed with its own answers would pass on the second attempt.
+    seeds = []
+    monkeypatch.setattr(nn_descent, "first_lists", lambda nodes, tables, seed, *a: seeds.append(seed) or (none if seed < 2 else real(nodes, tables, seed, *a)))
+    check_links(nn_descent.near_duplicates(df).collect(), df.collect())
+    assert max(seeds) == 2
+    monkeypatch.setattr(nn_descent, "first_lists", lambda *a: none)
+    with pytest.raises(RuntimeError, match="recall"):
+        nn_descent.near_duplicates(df)
+
+
 def check_neighbours(got, rows, every, k, least):
     good = usable(rows)
     hit = wanted = 0
