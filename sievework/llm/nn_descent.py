@@ -1,8 +1,8 @@
 """Embedding near-duplicates by NN-descent: a neighbour graph refined through neighbours of neighbours.
 
 1. Equal vectors become one node (by SHA-256 of their numbers).
-2. First lists: nodes are sorted by the signs of random projections, `TABLES` times, and each takes
-   its nearest from the nodes around it. An entry below 2 t^2 - 1 is dropped: two nodes that both
+2. First lists: nodes are sorted by the signs of random projections, many times (at least `TABLES`,
+   more the larger the table is), and each takes its nearest from the nodes around it. An entry below 2 t^2 - 1 is dropped: two nodes that both
    link to a third (cosine >= t) are never farther apart, so it cannot lead to a link.
 3. Refinement: the neighbours of each node, in both directions, are compared with each other, and
    every list keeps its best, until hardly any list changes.
@@ -12,8 +12,9 @@
    block by block. Links are counted there and never handed on as pairs. A link that full lists
    of two components both dropped joins them: components with such lists are compared with each
    other by the angles between their first nodes, and where these lie close enough tile by tile.
-5. Audit: the links of sampled nodes are found by brute force. If a smaller share than `RECALL` of
-   them lies within found components, more tables and another refinement follow, and an audit on
+5. Audit: the links of sampled nodes are found by brute force. Nodes without a link may have lost
+   their only one: for a sample of them it is measured whether a node at exactly the threshold
+   would have been met. If either share is smaller than `RECALL`, more tables and another refinement follow, and an audit on
    another sample. After `ATTEMPTS` the job fails.
 """
 
@@ -45,6 +46,7 @@ ANCHORS = 8192
 AUDIT = 256
 AUDIT_MOST = 4096
 LINKS = 200
+PROBES = 512
 RECALL = 0.99
 ATTEMPTS = 4
 
@@ -74,16 +76,26 @@ def _top(ids: np.ndarray, x: np.ndarray, size: int, floor: float) -> tuple[np.nd
     return ids[rows], ids[best[rows, places]], value[rows, places]
 
 
-def first_lists(nodes: DataFrame, tables: int, seed: int, floor: float, size: int = LIST) -> DataFrame:
+def _codes(x: np.ndarray, seed: int, t: int) -> np.ndarray:
+    """Signs of the projections of table t, as numbers."""
+    turn = np.random.default_rng((seed, t)).normal(size=(x.shape[1], SIGNS))
+    return (x @ turn > 0) @ (1 << np.arange(SIGNS, dtype=np.int64))
+
+
+def tables_for(total: int, threshold: float) -> int:
+    """Tables after which a lone pair at the threshold has met, but for 1 in 500, if signs cut the nodes evenly."""
+    agree = 1 - math.acos(threshold) / math.pi
+    met = agree ** math.log2(max(1.0, 2 * total / AROUND))
+    return math.ceil(math.log(0.002) / math.log1p(-met)) if met < 0.99 else 1
+
+
+def first_lists(nodes: DataFrame, tables: int, seed: int, floor: float, size: int = LIST, start: int = 0) -> DataFrame:
     """Rows (a, b, c) from nodes that lie together in some order of projection signs."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(1))
-            codes = []
-            for t in range(tables):
-                turn = np.random.default_rng((seed, t)).normal(size=(x.shape[1], SIGNS))
-                codes.append(((x @ turn > 0) @ (1 << np.arange(SIGNS, dtype=np.int64))).tolist())
+            codes = [_codes(x, seed, t).tolist() for t in range(start, start + tables)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(list, zip(*codes))), pa.list_(pa.int64()))], ["id", "v", "codes"])
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,16 +190,54 @@ def audit(nodes: DataFrame, roots: DataFrame, threshold: float, seed: int) -> tu
     return 1.0 - lost.count() / max(1, wanted), lost
 
 
+def lone_pairs_met(nodes: DataFrame, roots: DataFrame, tables: list[tuple[int, int]], threshold: float, seed: int) -> float:
+    """The share of sampled nodes without a link that would meet a node at the threshold in some table.
+
+    The other node is made up, in a random direction. It is met if it would stand within half a
+    window: the nodes whose codes lie from one to the other are counted, over the whole table.
+    """
+    lone = nodes.join(roots, nodes["id"] == roots["node"], "left_anti").select("id", "v")
+    sample = _sample(lone, lone.count(), 2000 + seed, PROBES)
+    if not sample or len(sample[0]["v"]) < 2:
+        return 1.0
+    x = np.array([r["v"] for r in sample], np.float64)
+    aside = np.random.default_rng((2000, seed)).normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    other = threshold * x + math.sqrt(1 - threshold * threshold) * unit(aside)
+    spans = [np.sort([_codes(x, *t), _codes(other, *t)], axis=0) for t in tables]
+    sent = nodes.sparkSession.sparkContext.broadcast(spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(tables), len(x)), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                rows = matrix(batch.column(0))
+                for k, (low, high) in enumerate(sent.value):
+                    codes = np.sort(_codes(rows, *tables[k]))
+                    n[k] += np.searchsorted(codes, high, "right") - np.searchsorted(codes, low, "left")
+        k, p = np.divmod(np.arange(n.size), len(x))
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p), pa.array(n.ravel())], ["k", "p", "n"])
+
+    between = nodes.select("v").mapInArrow(run, "k bigint, p bigint, n bigint").groupBy("k", "p").agg(F.sum("n").alias("n"))
+    return between.filter(F.col("n") <= AROUND // 2).select("p").distinct().count() / len(x)
+
+
 def graph(nodes: DataFrame, threshold: float = THRESHOLD, size: int = LIST, tables: int = TABLES) -> tuple[DataFrame, float]:
     """Component of each linked node (node, root), and the audited recall of links.
 
-    Links that audits found to be lost take part in the result, never in what an audit measures.
+    There are at least `tables` tables at first, else as many as the number of nodes asks for, and
+    twice as many more with each further attempt. Links that audits found to be lost take part in the result, never in what an audit measures.
     """
     floor = 2 * threshold * threshold - 1
-    lists, known, recall = None, None, 0.0
+    lists, known, recall, used = None, None, 0.0, []
+    first = max(tables, tables_for(nodes.count(), threshold))
     for attempt in range(ATTEMPTS):
-        found = first_lists(nodes, tables << attempt, attempt, floor, size)
-        lists = freeze(shorten(found if lists is None else lists.unionByName(found), size))
+        # Few tables at a time, so that their copies of the vectors are not on disk all at once.
+        for start in range(0, first << attempt, TABLES):
+            several = min(TABLES, (first << attempt) - start)
+            found = first_lists(nodes, several, attempt, floor, size, start)
+            lists = freeze(shorten(found if lists is None else lists.unionByName(found), size))
+            used += [(attempt, t) for t in range(start, start + several)]
         for _ in range(ROUNDS):
             better = freeze(refine(lists, nodes, floor, size))
             changed = better.join(lists, ["a", "b"], "left_anti").count()
@@ -197,6 +247,8 @@ def graph(nodes: DataFrame, threshold: float = THRESHOLD, size: int = LIST, tabl
         roots = joined_components(nodes, lists, threshold, size)
         recall, lost = audit(nodes, roots, threshold, attempt)
         known = lost if known is None else known.unionByName(lost)
+        if recall >= RECALL:
+            recall = min(recall, lone_pairs_met(nodes, roots, used, threshold, attempt))
         if recall >= RECALL:
             return (roots if known.isEmpty() else _with_links(roots, known)), recall
     raise RuntimeError(f"recall of links is {recall:.4f} after {ATTEMPTS} attempts, below {RECALL}")

@@ -98,6 +98,20 @@ def test_nn_descent_audit_can_fail(spark, monkeypatch):
         nn_descent.near_duplicates(df)
 
 
+def test_nn_descent_lone_pairs(spark):
+    # Few and far apart in a table that is large for the fixed number of tables: pairs at cosine 0.902.
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    aside = rng.normal(size=(500, 64))
+    aside -= (aside * x[:500]).sum(axis=1, keepdims=True) * x[:500]
+    pairs = 0.902 * x[:500] + np.sqrt(1 - 0.902**2) * aside / np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, pairs]))]
+    got = nn_descent.near_duplicates(vectors(spark, rows).repartition(8)).filter("n_links > 0").collect()
+    found = len({r.component_id for r in got})
+    assert found >= 495, found
+
+
 def check_neighbours(got, rows, every, k, least):
     good = usable(rows)
     hit = wanted = 0
