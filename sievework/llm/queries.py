@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import backoff, bpe, curriculum, hash_index, nn_descent, simhash, toxicity, url_filter, warc, wordpiece
+from sievework.llm import backoff, bpe, curriculum, hash_index, nn_descent, simhash, spelling, toxicity, url_filter, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,3 +149,9 @@ FROM documents LEFT JOIN summed USING (doc_id)
 @query("op7_backoff", BACKOFF_SQL)
 def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), "doc_id", "text", slip=199)
+    return spelling.group_variants(words)
