@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import backoff, bpe, curriculum, hash_index, nn_descent, simhash, spelling, toxicity, url_filter, warc, wordpiece
+from sievework.llm import alignment, backoff, bpe, curriculum, decontaminate, hash_index, nn_descent, simhash, spelling, toxicity, url_filter, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,3 +155,41 @@ def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.count_words(table(spark, sf_dir, "documents"), "doc_id", "text", slip=199)
     return spelling.group_variants(words)
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '{}', '{}'), '{}')".format(url_filter.UPPER, url_filter.LOWER, decontaminate.WORD)
+
+LEAKS_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+items AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+cut AS (
+    SELECT item_id, words, least(len(words), {decontaminate.WINDOW}) AS size, unnest(range(1, len(words) - least(len(words), {decontaminate.WINDOW}) + 2)) AS i
+    FROM items WHERE len(words) > 0
+), windows AS (SELECT DISTINCT item_id, size, array_to_string(words[i : i + size - 1], ' ') AS w FROM cut),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM docs, sizes WHERE len(words) >= size),
+hits AS (
+    SELECT r, i, places.size, item_id FROM places JOIN windows
+    ON windows.size = places.size AND array_to_string(words[i : i + places.size - 1], ' ') = w
+), covered AS (
+    SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r
+), named AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+    FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+
+@query("op12_decontamination", LEAKS_SQL)
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.decontaminate(docs, "doc_id", "text", items, "item_id", "text")
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_file, piece_file = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text", byte_file, piece_file)
