@@ -10,14 +10,22 @@ from sievework import schema as S
 from sievework.functions import draws, names, recipe
 from sievework.operators.ordering import positions_within
 from sievework.session import freeze
+from sievework.sources.indexes import IndexSource
 
 
-def index_source(spark: SparkSession, n: int | None = None, rows_per_second: int = 1) -> DataFrame:
-    """Indexes 0..n-1, or an endless stream of them without `n`."""
+def index_source(
+    spark: SparkSession, n: int | None = None, start: int = 0, end: int | None = None, per_trigger: int = 1000, partitions: int = 8
+) -> DataFrame:
+    """Indexes 0..n-1, or without `n` a stream of them from `start` on, endless unless `end` is given.
+
+    A stream takes `per_trigger` indexes in each micro-batch; stopped and started again with its
+    checkpoint, it goes on where it was, so that no index is lost or comes twice.
+    """
     if n is not None:
         return spark.range(n).withColumnRenamed("id", "index")
-    rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return rate.select(F.col("value").alias("index"))
+    spark.dataSource.register(IndexSource)
+    options = {"start": start, "perTrigger": per_trigger, "partitions": partitions} | ({} if end is None else {"end": end})
+    return spark.readStream.format(IndexSource.name()).options(**options).load()
 
 
 def prompt_bank(subjects: DataFrame) -> DataFrame:

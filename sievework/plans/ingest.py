@@ -595,6 +595,36 @@ def write_shards(spark, sf):
     return _published(spark, sf, "build")[1].select("shard", "rows")
 
 
+# Rows whose sidecar is another one in the second build, and how many rows at the end that build leaves out.
+_EDITED, _CUT = "event_id % 2003 = 5", 600
+
+
+@query(
+    "publish_again",
+    f"""WITH {IMG},
+    kept AS (SELECT id, event_id, prompt_subject, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS total FROM img WHERE nsfw_prob < 0.7 AND k <> 13),
+    first AS (SELECT id, event_id AS seed, pos, dense_rank() OVER (ORDER BY prompt_subject) AS prompt FROM kept),
+    second AS (SELECT id, CASE WHEN {_EDITED} THEN -1 ELSE event_id END AS seed, pos, dense_rank() OVER (ORDER BY prompt_subject) AS prompt
+      FROM kept WHERE pos < total - {_CUT}),
+    s1 AS (SELECT pos // 500 AS shard, count(*) AS rows, string_agg(id || ' ' || seed || ' ' || prompt, ',' ORDER BY pos) AS content FROM first GROUP BY 1),
+    s2 AS (SELECT pos // 500 AS shard, count(*) AS rows, string_agg(id || ' ' || seed || ' ' || prompt, ',' ORDER BY pos) AS content FROM second GROUP BY 1)
+    SELECT coalesce(s2.shard, s1.shard) AS shard, coalesce(s2.rows, s1.rows) AS rows,
+      CASE WHEN s2.shard IS NULL THEN 'drop' WHEN s1.content = s2.content THEN 'reuse' ELSE 'rebuild' END AS action
+    FROM s2 FULL JOIN s1 ON s1.shard = s2.shard""",
+)
+def publish_again(spark, sf):
+    """A second build with some other sidecars and without the last rows: what becomes of each shard."""
+    folder, _ = _published(spark, sf, "again")
+    payloads, side, scores, manual = _build_inputs(spark, sf)
+    edited = img(spark, sf).filter(_EDITED).select("id", F.lit(True).alias("edited"))
+    raw = F.when(F.col("edited"), F.regexp_replace("raw", r'"seed": ?\d+', '"seed": -1')).otherwise(F.col("raw"))
+    placed = ids.shard_assign(job.plan_build(payloads, side, scores, manual, threshold=0.7).placed.select("id"))
+    last = placed.filter(F.col("pos") >= placed.agg(F.count("*") - _CUT).scalar()).select("id")
+    side = side.join(edited, "id", "left").select("id", raw.alias("raw"))
+    job.publish(payloads, side, scores, manual.unionByName(last), _images(payloads), folder, threshold=0.7)
+    return _plain_types(readers.build_actions(spark, folder).select("shard", "rows", "action"))
+
+
 @query(
     "write_shards_from_files",
     """WITH k AS (SELECT page_id::VARCHAR AS id, html, url, row_number() OVER (ORDER BY page_id::VARCHAR) - 1 AS pos,
@@ -615,9 +645,9 @@ def write_shards_from_files(spark, sf):
     source = job.PayloadFiles(payload_folder, lambda: bytes, ".raw")
     nothing_listed = spark.createDataFrame([], "id string")
     job.publish(payloads, side, scores, nothing_listed, source, folder)
-    back = spark.read.parquet(f"{folder}/data")
+    back, _ = readers.open_build(spark, folder)
     return back.select(
-        F.col("_metadata.file_name").alias("shard"), "id", "image.path",
+        "shard", "id", "image.path",
         F.octet_length("image.bytes").cast("bigint").alias("n_bytes"), "seed",
     )
 

@@ -325,6 +325,53 @@ def stream_high_water(spark, sf):
     return _micros(spark.read.parquet(sink))
 
 
+# The rows of the first slice, and the mark of each feed after it.
+_EARLY = """e AS (SELECT event_id, event_type, ts, ts < TIMESTAMP '2024-01-20 00:00:00'
+    AND NOT (event_type = 'view' AND ts < TIMESTAMP '2024-01-10 00:00:00') AS early FROM events),
+m AS (SELECT event_type, max(ts) AS mark FROM e WHERE early GROUP BY event_type)"""
+
+
+def _slices(spark, sf):
+    """The events in three slices: the second holds later rows and late ones, the third repeats the first."""
+    events = table(spark, sf, "events")
+    day = lambda text: F.to_timestamp_ntz(F.lit(text))
+    early = (F.col("ts") < day("2024-01-20 00:00:00")) & ~((F.col("event_type") == "view") & (F.col("ts") < day("2024-01-10 00:00:00")))
+    return [_feed_columns(part) for part in (events.filter(early), events.filter(~early), events.filter(early))]
+
+
+def _marked(spark, sf, strict: bool) -> DataFrame:
+    """The slices one after the other, each by a new query that goes on where the one before has stopped."""
+    source, sink, log = (work_path(spark, n) for n in ("feed-slices", "feeds", "feeds-log"))
+    for part in _slices(spark, sf):
+        part.write.mode("append").parquet(source)
+        records = feeds.record_stream(spark, source, part.schema)
+        _finished(feeds.stream_high_water(records, sink, log, poll_seconds=None, feed="cat", strict=strict))
+    return spark.read.parquet(sink)
+
+
+@query(
+    "stream_high_water_feeds",
+    f"""WITH {_EARLY} SELECT 'e' || event_id AS name, e.event_type AS cat, epoch_us(ts) AS mtime_us
+    FROM e LEFT JOIN m USING (event_type) WHERE early OR mark IS NULL OR ts > mark""",
+)
+def stream_high_water_feeds(spark, sf):
+    """Each event type is a feed with a mark of its own; late rows are never delivered."""
+    return _micros(_marked(spark, sf, strict=True))
+
+
+@query(
+    "stream_late_feeds",
+    f"""WITH {_EARLY}, d AS (
+      SELECT event_id, event_type, ts, NOT early AND coalesce(ts <= mark, FALSE) AS late FROM e LEFT JOIN m USING (event_type)
+      UNION ALL SELECT event_id, event_type, ts, TRUE FROM e WHERE early)
+    SELECT 'e' || event_id AS name, event_type AS cat, epoch_us(ts) AS mtime_us, late FROM d""",
+)
+def stream_late_feeds(spark, sf):
+    """The same, with late rows delivered and marked as such."""
+    rows = _marked(spark, sf, strict=False)
+    return rows.select("name", "cat", F.round(F.col("mtime") * 1000000).cast("bigint").alias("mtime_us"), "late")
+
+
 @query("stream_totals", "SELECT event_type AS cat, count(*) AS n FROM events GROUP BY event_type")
 def stream_totals(spark, sf):
     """Three slices, each of which the totals are brought up to."""
@@ -363,3 +410,42 @@ def stream_jobs(spark, sf):
     return spark.read.parquet(sink).select(
         "index", "category", "prompt_subject", "seed", F.col("width").cast("bigint").alias("width"), "stem"
     )
+
+
+def _until(running, done) -> None:
+    """Waits until `done()` holds, then stops the query."""
+    try:
+        while not done():
+            if running.exception() is not None:
+                raise running.exception()
+            running.awaitTermination(0.1)
+    finally:
+        running.stop()
+
+
+@query(
+    "stream_jobs_endless",
+    f"""WITH {_DRAWN.replace("FROM orders)", "FROM (SELECT range AS o_orderkey FROM range((SELECT count(*) FROM orders))))")}, {_RECORDS}
+    SELECT index, category, subject AS prompt_subject, seed, CAST(width AS BIGINT) AS width,
+    '20260601-000000_' || model || '_' || category || '_' || slug || '_s' || seed AS stem FROM r""",
+)
+def stream_jobs_endless(spark, sf):
+    """As many indexes as there are orders, from a source without end: stopped in the middle, then gone on with."""
+    sink, log, bank = work_path(spark, "endless"), work_path(spark, "endless-log"), _bank(spark, sf)
+    total = table(spark, sf, "orders").count()
+    plan = lambda df: _planned(jobs.weighted_draw(df, bank, WEIGHTS, SEED))
+
+    def start(end: int | None):
+        indexes = jobs.index_source(spark, end=end, per_trigger=total // 6 + 1)
+        return feeds.stream_append(indexes, plan, sink, log, poll_seconds=0)
+
+    first = start(None)
+    _until(first, lambda: sum(p["numInputRows"] for p in first.recentProgress) > 0)
+    second = start(total)
+    try:
+        second.processAllAvailable()
+    finally:
+        second.stop()
+    return spark.read.parquet(sink).filter(F.col("index") < total).select(
+        "index", "category", "prompt_subject", "seed", F.col("width").cast("bigint").alias("width"), "stem"
+    )

@@ -26,26 +26,62 @@ def open_folder(path: str):
     return fs.LocalFileSystem(), path
 
 
-def put_file(path: str, write) -> int:
-    """Writes under a temporary name and renames, so a retried task never leaves half a file."""
+def _temporary(path: str, write):
+    """Writes the file under a name of its own; (file system, that name, target)."""
     system, target = open_folder(path)
     system.create_dir(target.rsplit("/", 1)[0], recursive=True)
     temporary = f"{target}.{uuid.uuid4().hex}.tmp"
-    with system.open_output_stream(temporary) as sink:
-        write(sink)
+    try:
+        with system.open_output_stream(temporary) as sink:
+            write(sink)
+    except BaseException:
+        if system.get_file_info(temporary).is_file:
+            system.delete_file(temporary)
+        raise
+    return system, temporary, target
+
+
+def put_file(path: str, write) -> int:
+    """Writes under a temporary name and renames, so a reader never meets half a file; returns the size.
+
+    A file of that name is replaced in one step where the store can do that. Where it cannot, the
+    content is written in the old one's place.
+    """
+    system, temporary, target = _temporary(path, write)
     size = system.get_file_info(temporary).size
     try:
-        # Local folders and object stores put the new file in the old one's place.
         system.move(temporary, target)
     except OSError:
-        # Others refuse where an earlier attempt has left its file; both hold the same.
         if not system.get_file_info(target).is_file:
             raise
-        system.delete_file(target)
-        system.move(temporary, target)
+        system.copy_file(temporary, target)
+        system.delete_file(temporary)
     return size
 
 
+def put_new(path: str, write) -> int:
+    """The same for names that stand for one content: a file that is there already stays; returns its size."""
+    system, temporary, target = _temporary(path, write)
+    if not system.get_file_info(target).is_file:
+        try:
+            system.move(temporary, target)
+        except OSError:
+            if not system.get_file_info(target).is_file:
+                raise
+    if system.get_file_info(temporary).is_file:
+        system.delete_file(temporary)
+    return system.get_file_info(target).size
+
+
+def remove_folder(path: str) -> None:
+    """Deletes a folder with all it holds, if there is one."""
+    from pyarrow import fs
+
+    system, base = open_folder(path)
+    if system.get_file_info(base).type == fs.FileType.Directory:
+        system.delete_dir(base)
+
+
 def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
     """One file per row (`name` -> bytes of `content`); returns the written names and sizes.
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from sievework.schema import SCORE_SCHEMA, SIDECAR_SCHEMA
+from sievework.schema import RECIPE_COLUMNS, SCORE_SCHEMA, SIDECAR_SCHEMA
+from sievework.sources import commits
+from sievework.sources.files import open_folder
 
 
 def _stem(name: Column) -> Column:
@@ -100,9 +105,56 @@ def scan_id_list(spark: SparkSession, path: str) -> DataFrame:
     return ids_of(spark.read.text(path), "value")
 
 
+MANIFEST = "shard int, name string, rows bigint, bytes bigint, fingerprint string, file string, action string"
+
+
+def build_folder(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/builds/{name}"
+
+
 def scan_metadata(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The rows without payload bytes, and the build report."""
-    return spark.read.parquet(f"{folder}/metadata"), spark.read.json(f"{folder}/report")
+    """The rows without payload bytes, and the build report: of the current build, or of a folder that holds just one."""
+    name = commits.current(folder)
+    own = folder if name is None else build_folder(folder, name)
+    return spark.read.parquet(f"{own}/metadata"), spark.read.json(f"{own}/report")
+
+
+def open_build(spark: SparkSession, folder: str, name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, manifest) of the current build, or of an earlier one by its name.
+
+    The rows have `shard`, the published name of their shard, and the columns of the shard files;
+    only files of the build's manifest are read.
+    """
+    name = name or commits.current(folder)
+    if name is None:
+        raise FileNotFoundError(f"no build in {folder}")
+    manifest = spark.read.parquet(f"{build_folder(folder, name)}/manifest")
+    named = manifest.select(F.col("name").alias("shard"), "file")
+    fields = ", ".join(f"{c} {kind}" for c, kind in RECIPE_COLUMNS)
+    reader = spark.read.schema(f"image struct<bytes binary, path string>, {fields}")
+    paths = [f"{folder.rstrip('/')}/data/{r.file}" for r in named.select("file").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], f"shard string, image struct<bytes binary, path string>, {fields}"), manifest
+    rows = reader.parquet(*paths).withColumn("file", F.col("_metadata.file_name"))
+    return rows.join(named, "file").select("shard", *[c for c in rows.columns if c != "file"]), manifest
+
+
+def build_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, rows, fingerprint, file, action): what the current build did with each shard, and with those of the build before."""
+    return spark.read.parquet(f"{build_folder(folder, commits.current(folder))}/actions")
+
+
+def stored_files(names: DataFrame, folder: str) -> DataFrame:
+    """(file, bytes) of those of the names (column `file`) that are there; looked up in the tasks."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_folder(folder)
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            found = [(n, i.size) for n, i in zip(own, system.get_file_info([f"{base}/{n}" for n in own])) if i.is_file]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], ["file", "bytes"])
+
+    return names.select("file").mapInArrow(look, "file string, bytes bigint")
 
 
 def scan_text_tree(spark: SparkSession, root: str) -> DataFrame:

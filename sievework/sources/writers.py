@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Callable, Iterator, Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sievework import schema as S
-from sievework.sources.files import open_folder, put_file, write_files
+from sievework.session import freeze
+from sievework.sources.files import open_folder
+from sievework.sources.sinks import RecordSource, save, written
 
 _ARROW = {
     "string": pa.string(),
@@ -39,126 +41,29 @@ def shard_schema() -> pa.Schema:
     return pa.schema(fields, metadata={S.FEATURES_KEY: features.encode()})
 
 
-_SHARD = re.compile(r"train-(\d{5,})-of-(\d{5,})\.parquet")
-
-
 def shard_name(shard: Column, total: Column) -> Column:
     return F.format_string("train-%05d-of-%05d.parquet", shard, total)
 
 
-def remove_stale_shards(folder: str, total: int) -> int:
-    """Deletes shard files of builds with another number of shards; returns how many.
+def remove_files(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """Deletes the files directly in `folder` that `wanted` (file) does not name, and returns their names.
 
-    A shard's name holds the total, so names alone tell. Call it when the new shards are complete.
+    Files under temporary names are removed as well.
     """
     system, base = open_folder(folder)
-    stale = [
-        f.path for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True))
-        if (hit := _SHARD.fullmatch(f.base_name)) and (int(hit[2]) != total or int(hit[1]) >= total)
-    ]
-    for path in stale:
-        system.delete_file(path)
-    return len(stale)
-
-
-def _write_sorted(
-    rows: DataFrame, folder: str, rows_per_group: int, add_images=None, tasks: int | None = None
-) -> DataFrame:
-    """One file per value of `file`, streamed in `pos` order one row group at a time.
-
-    The work of a task is that of its shards, whatever the size of its rows, so the number of tasks
-    follows the number of shards where it is given.
-    """
-    columns = [f.name for f in shard_schema()]
-
-    def put(
-        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
-    ) -> Iterator[pa.RecordBatch]:
-        file, schema, written = key[0].as_py(), shard_schema(), 0
-        images = add_images() if add_images else None
-
-        def fill(sink) -> None:
-            nonlocal written
-            held, last = None, -1
-            with pq.ParquetWriter(sink, schema, compression="zstd") as writer:
-
-                def flush(group: pa.Table) -> None:
-                    nonlocal written
-                    whole = group if images is None else images(group)
-                    writer.write_table(whole.select(columns).cast(schema))
-                    written += group.num_rows
-
-                for batch in batches:
-                    positions = batch.column("pos").to_pylist()
-                    if any(b <= a for a, b in zip([last, *positions], positions)):
-                        raise ValueError(f"rows of {file} are not in order")
-                    last = positions[-1] if positions else last
-                    part = pa.Table.from_batches([batch])
-                    held = part if held is None else pa.concat_tables([held, part])
-                    while held.num_rows >= rows_per_group:
-                        flush(held.slice(0, rows_per_group))
-                        held = held.slice(rows_per_group)
-                if held is not None and held.num_rows:
-                    flush(held)
-
-        size = put_file(f"{folder}/{file}", fill)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([file], pa.string()),
-                pa.array([written], pa.int64()),
-                pa.array([size], pa.int64()),
-            ],
-            ["shard", "rows", "bytes"],
-        )
-
-    # The writer needs (file, pos) order; grouping by file keeps this exchange and this sort.
-    dealt = rows.repartition(tasks, "file") if tasks else rows.repartition("file")
-    ordered = dealt.sortWithinPartitions("file", "pos")
-    return ordered.groupBy("file").applyInArrow(put, "shard string, rows bigint, bytes bigint")
-
-
-def write_shards(
-    df: DataFrame, folder: str, rows_per_group: int = S.ROWS_PER_GROUP, tasks: int | None = None
-) -> DataFrame:
-    """Writes each shard to its own Parquet file; returns (shard, rows, bytes).
-
-    `df` holds `file` (name of the shard's file), `pos`, `image` and the recipe columns. A shard is
-    bounded by its row count. Lazy: written when the result is read.
-    """
-    columns = [name for name, _ in S.RECIPE_COLUMNS]
-    return _write_sorted(df.select("file", "pos", "image", *columns), folder, rows_per_group, tasks=tasks)
-
-
-def write_shards_from_files(
-    df: DataFrame,
-    folder: str,
-    payload_folder: str,
-    make_encoder: Callable[[], Callable[[bytes], bytes]],
-    suffix: str,
-    rows_per_group: int = S.ROWS_PER_GROUP,
-    tasks: int | None = None,
-) -> DataFrame:
-    """The same for payloads that lie as `<id>.png` in a shared folder.
-
-    Only the recipe rows are shuffled: the task that writes a shard reads and encodes its payloads,
-    one row group at a time. For large archives, where payload bytes are nearly all of the data.
-    """
+    names = [(f.base_name,) for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file]
+    if not names:
+        return spark.createDataFrame([], "file string")
 
-    def add_images():
-        encoder = make_encoder()
-        system, base = open_folder(payload_folder)
-
-        def images(group: pa.Table) -> pa.Table:
-            cells = []
-            for name in group.column("id").to_pylist():
-                with system.open_input_file(f"{base}/{name}.png") as source:
-                    cells.append({"bytes": encoder(source.read()), "path": f"{name}{suffix}"})
-            return group.append_column("image", pa.array(cells, shard_schema().field("image").type))
-
-        return images
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = open_folder(folder)
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                if store.get_file_info(f"{at}/{name}").is_file:
+                    store.delete_file(f"{at}/{name}")
+            yield batch
 
-    columns = [name for name, _ in S.RECIPE_COLUMNS]
-    return _write_sorted(df.select("file", "pos", *columns), folder, rows_per_group, add_images, tasks)
+    return freeze(spark.createDataFrame(names, "file string").join(wanted, "file", "left_anti").mapInArrow(delete, "file string"))
 
 
 def write_metadata(df: DataFrame, path: str) -> None:
@@ -181,11 +86,16 @@ def sidecar_json(columns: list[str]) -> Column:
 
 
 def write_sidecars(df: DataFrame, folder: str, stem: str, columns: list[str]) -> DataFrame:
-    """One JSON file per record beside its payload; returns the written names and sizes."""
+    """One JSON file per record beside its payload; returns the written names and sizes.
+
+    The list of a write is kept in `_written/`, below the folder.
+    """
     rows = df.select(
-        F.concat(F.col(stem), F.lit(".json")).alias("name"), sidecar_json(columns).alias("content")
+        F.concat(F.col(stem), F.lit(".json")).alias("name"), sidecar_json(columns).cast("binary").alias("content")
     )
-    return write_files(rows, folder, "name", "content")
+    log = f"{folder.rstrip('/')}/_written/{uuid.uuid4().hex}"
+    save(rows, RecordSource, folder, log)
+    return written(df.sparkSession, log).select("name", "bytes")
 
 
 def write_sidecar_lines(df: DataFrame, path: str, day: str, columns: list[str]) -> None:
@@ -195,27 +105,25 @@ def write_sidecar_lines(df: DataFrame, path: str, day: str, columns: list[str])
 
 
 def footer_of(manifest: DataFrame, folder: str) -> DataFrame:
-    """(shard, row_groups, rows, features): what the footer of each written shard says."""
+    """(shard, row_groups, rows, features): what the footer of the file of each shard of a manifest says."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_folder(folder)
         for batch in batches:
-            out = {"shard": [], "row_groups": [], "rows": [], "features": []}
-            for name in batch.column("shard").to_pylist():
-                system, base = open_folder(folder)
+            groups, rows, features = [], [], []
+            for name in batch.column("file").to_pylist():
                 with system.open_input_file(f"{base}/{name}") as source:
                     meta = pq.ParquetFile(source).metadata
-                out["shard"].append(name)
-                out["row_groups"].append(meta.num_row_groups)
-                out["rows"].append(meta.num_rows)
+                groups.append(meta.num_row_groups)
+                rows.append(meta.num_rows)
                 described = json.loads(meta.metadata.get(S.FEATURES_KEY, b"{}"))
-                out["features"].append(len(described.get("info", {}).get("features", {})))
+                features.append(len(described.get("info", {}).get("features", {})))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["shard"], pa.string())]
-                + [pa.array(out[k], pa.int64()) for k in ("row_groups", "rows", "features")],
+                [batch.column("shard"), *[pa.array(v, pa.int64()) for v in (groups, rows, features)]],
                 ["shard", "row_groups", "rows", "features"],
             )
 
-    return manifest.select("shard").mapInArrow(
+    return manifest.select("shard", "file").mapInArrow(
         read, "shard string, row_groups bigint, rows bigint, features bigint"
     )
 

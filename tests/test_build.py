@@ -3,6 +3,8 @@
 import json
 import os
 import struct
+import subprocess
+import sys
 
 import pyarrow.parquet as pq
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from sievework import schema as S
 from sievework.operators import ids, publish, scoring
 from sievework.session import build_session, shared_folder
-from sievework.sources import files, readers, writers
+from sievework.sources import commits, files, readers, sinks, writers
 from sievework.streaming import feeds
 
 
@@ -72,18 +74,22 @@ def build_inputs(spark, n=1130):
     return names, payloads, sidecars, scores, manual
 
 
+def image_table(payloads):
+    return payloads.select("id", F.struct(F.col("content").alias("bytes"), F.concat("id", F.lit(".x")).alias("path")).alias("image"))
+
+
 def test_publish(spark, tmp_path):
     names, payloads, sidecars, scores, manual = build_inputs(spark)
-    images = payloads.select("id", F.struct(F.col("content").alias("bytes"), F.concat("id", F.lit(".x")).alias("path")).alias("image"))
     folder = str(tmp_path / "set")
-    manifest = publish.publish(payloads, sidecars, scores, manual, images, folder)
+    manifest = publish.publish(payloads, sidecars, scores, manual, image_table(payloads), folder)
     kept = [x for i, x in enumerate(names) if i not in (0, 3, 5, 7)]
     want = {f"train-0000{i}-of-00003.parquet": len(kept[i * 500 : i * 500 + 500]) for i in range(3)}
     assert {r["shard"]: r["rows"] for r in manifest.collect()} == want
-    assert sorted(os.listdir(f"{folder}/data")) == sorted(want)
+    file_of = {r["shard"]: r["file"] for r in manifest.collect()}
+    assert sorted(os.listdir(f"{folder}/data")) == sorted(file_of.values())
     seen = []
     for name in sorted(want):
-        shard = pq.ParquetFile(f"{folder}/data/{name}")
+        shard = pq.ParquetFile(f"{folder}/data/{file_of[name]}")
         assert shard.schema_arrow.equals(writers.shard_schema())
         assert [shard.metadata.row_group(g).num_rows for g in range(shard.num_row_groups)][:-1] == [100] * (shard.num_row_groups - 1)
         assert shard.metadata.row_group(0).column(0).compression == "ZSTD"
@@ -98,23 +104,95 @@ def test_publish(spark, tmp_path):
     assert rows.columns == [c[0] for c in S.RECIPE_COLUMNS] and rows.schema["laion_aesthetic"].dataType.simpleString() == "float"
     got = report.first()
     assert (got["rows"], got["prompts"], got["shards"]) == (len(kept), 9, 3)
-    assert got["shard_bytes"] == sum(os.path.getsize(f"{folder}/data/{n}") for n in want)
+    assert got["shard_bytes"] == sum(os.path.getsize(f"{folder}/data/{n}") for n in file_of.values())
     assert got["excluded_counts"].asDict() == {"manual": 1, "no_sidecar": 1, "not_scored": 1, "nsfw": 1}
-    excluded = {(r["class"], r["id"]) for r in spark.read.parquet(f"{folder}/excluded").collect()}
+    excluded = {(r["class"], r["id"]) for r in spark.read.parquet(f"{readers.build_folder(folder, commits.current(folder))}/excluded").collect()}
     assert excluded == {("manual", names[5]), ("no_sidecar", names[0]), ("not_scored", names[3]), ("nsfw", names[7])}
 
 
-def test_a_later_build_replaces_the_shards_of_an_earlier_one(spark, tmp_path):
+def build_rows(spark, folder):
+    return sorted((r["id"], r["shard"]) for r in readers.open_build(spark, folder)[0].select("id", "shard").collect())
+
+
+def test_a_later_build_replaces_an_earlier_one_at_once(spark, tmp_path):
     names, payloads, sidecars, scores, manual = build_inputs(spark)
-    images = payloads.select("id", F.struct(F.col("content").alias("bytes"), F.concat("id", F.lit(".x")).alias("path")).alias("image"))
     folder = str(tmp_path / "set")
     for excluded in (manual, spark.createDataFrame([(x,) for x in names[:700]], "id string"), manual):
-        manifest = publish.publish(payloads, sidecars, scores, excluded, images, folder)
+        manifest = publish.publish(payloads, sidecars, scores, excluded, image_table(payloads), folder, keep=1)
         named = {r["shard"]: r["rows"] for r in manifest.collect()}
-        assert sorted(os.listdir(f"{folder}/data")) == sorted(named)
-        back = [r["id"] for r in spark.read.parquet(f"{folder}/data").select("id").collect()]
+        assert sorted(os.listdir(f"{folder}/data")) == sorted(r["file"] for r in manifest.collect())
+        assert len(os.listdir(f"{folder}/builds")) == 1
+        back = build_rows(spark, folder)
         left_out = {r["id"] for r in excluded.collect()}
-        assert len(back) == sum(named.values()) == len(set(back)) and not left_out & set(back)
+        assert len(back) == sum(named.values()) == len({i for i, _ in back}) and not left_out & {i for i, _ in back}
+        assert {s for _, s in back} == set(named)
+
+
+def test_only_changed_shards_are_written(spark, tmp_path):
+    names, payloads, sidecars, scores, manual = build_inputs(spark)
+    folder = str(tmp_path / "set")
+
+    def run(side=sidecars, images=None, **more):
+        manifest = publish.publish(payloads, side, scores, manual, image_table(payloads) if images is None else images, folder, **more)
+        return {r["shard"][6:11]: (r["action"], r["file"]) for r in manifest.collect()}
+
+    def times():
+        return {n: os.stat(f"{folder}/data/{n}").st_mtime_ns for n in os.listdir(f"{folder}/data")}
+
+    first, before = run(), times()
+    assert {a for a, _ in first.values()} == {"rebuild"}
+    # The same inputs in other partitions: nothing is written.
+    again = run(sidecars.repartition(3))
+    assert {k: f for k, (_, f) in again.items()} == {k: f for k, (_, f) in first.items()}
+    assert {a for a, _ in again.values()} == {"reuse"} and times() == before
+    # Two rows of the second shard have another sidecar, and one payload of the third another content.
+    side = sidecars.withColumn("raw", F.when(F.col("id").isin(names[600], names[700]), F.regexp_replace("raw", '"seed": \\d+', '"seed": 7')).otherwise(F.col("raw")))
+    images = image_table(payloads.withColumn("content", F.when(F.col("id") == names[1100], F.lit(b"other")).otherwise(F.col("content"))))
+    assert {k: a for k, (a, _) in run(side).items()} == {"00000": "reuse", "00001": "rebuild", "00002": "reuse"}
+    changed = run(side, images)
+    assert {k: a for k, (a, _) in changed.items()} == {"00000": "reuse", "00001": "reuse", "00002": "rebuild"}
+    now = times()
+    assert all(now[n] == before[n] for n in now if n in before) and now[first["00000"][1]] == before[first["00000"][1]]
+    seeds = {r["id"]: (r["seed"], bytes(r["image"]["bytes"])) for r in readers.open_build(spark, folder)[0].select("id", "seed", "image").collect()}
+    assert seeds[names[600]] == (7, names[600].encode()) and seeds[names[1100]] == (1100, b"other")
+    # Another encoder changes every file.
+    assert {a for a, _ in run(side, images, settings="v2").values()} == {"rebuild"}
+
+
+def test_a_build_that_breaks_off_never_shows_and_is_taken_up(spark, tmp_path):
+    names, payloads, sidecars, scores, manual = build_inputs(spark)
+    files.write_files(payloads.withColumn("name", F.concat("id", F.lit(".png"))), str(tmp_path / "in"), "name", "content").count()
+    found = readers.scan_payloads(spark, str(tmp_path / "in")).withColumnRenamed("stem", "id")
+    folder, fault = str(tmp_path / "set"), str(tmp_path / "fault")
+
+    def encoder():
+        def encode(data):
+            if os.path.exists(fault) and data.decode() == names[700]:
+                raise ValueError("broken payload")
+            return data.upper()
+
+        return encode
+
+    source = publish.PayloadFiles(str(tmp_path / "in"), encoder, ".up")
+    publish.publish(found, sidecars, scores, manual, source, folder)
+    whole = build_rows(spark, folder)
+    current, listing = commits.current(folder), sorted(os.listdir(f"{folder}/data"))
+    side = sidecars.withColumn("raw", F.regexp_replace("raw", '"seed": (\\d+)', '"seed": 1$1'))
+    open(fault, "w").close()
+    with pytest.raises(Exception, match="broken payload"):
+        publish.publish(found, side, scores, manual, source, folder)
+    # Readers see the build before; no file is half written.
+    assert commits.current(folder) == current and build_rows(spark, folder) == whole
+    left = {n: os.stat(f"{folder}/data/{n}").st_mtime_ns for n in os.listdir(f"{folder}/data") if n not in listing}
+    assert not [n for n in left if n.endswith(".tmp")] and len(left) < 3
+    os.remove(fault)
+    manifest = publish.publish(found, side, scores, manual, source, folder, keep=1).collect()
+    # What the broken build had finished is not written again, and nothing else is left.
+    assert {r["file"] for r in manifest if r["action"] == "reuse"} == set(left)
+    assert all(os.stat(f"{folder}/data/{n}").st_mtime_ns == t for n, t in left.items())
+    assert sorted(os.listdir(f"{folder}/data")) == sorted(r["file"] for r in manifest)
+    seeds = {r["id"]: r["seed"] for r in readers.open_build(spark, folder)[0].select("id", "seed").collect()}
+    assert seeds[names[9]] == 19
 
 
 def test_payload_files_are_read_by_the_shard_writer(spark, tmp_path):
@@ -122,20 +200,95 @@ def test_payload_files_are_read_by_the_shard_writer(spark, tmp_path):
     files.write_files(payloads.withColumn("name", F.concat("id", F.lit(".png"))), str(tmp_path / "in"), "name", "content").count()
     source = publish.PayloadFiles(str(tmp_path / "in"), lambda: bytes.upper, ".up")
     found = readers.scan_payloads(spark, str(tmp_path / "in")).withColumnRenamed("stem", "id")
-    manifest = publish.publish(found, sidecars, scores, manual, source, str(tmp_path / "set"))
-    assert [(r["shard"], r["rows"]) for r in manifest.collect()] == [("train-00000-of-00001.parquet", 226)]
-    cells = pq.read_table(tmp_path / "set/data/train-00000-of-00001.parquet", columns=["id", "image"]).to_pylist()
+    manifest = publish.publish(found, sidecars, scores, manual, source, str(tmp_path / "set")).collect()
+    assert [(r["shard"], r["rows"]) for r in manifest] == [("train-00000-of-00001.parquet", 226)]
+    cells = pq.read_table(tmp_path / "set/data" / manifest[0]["file"], columns=["id", "image"]).to_pylist()
     assert [c["id"] for c in cells] == [x for i, x in enumerate(names) if i not in (0, 3, 5, 7)]
     assert all(c["image"] == {"bytes": c["id"].upper().encode(), "path": c["id"] + ".up"} for c in cells)
 
 
-def test_shard_writer_keeps_the_group_order_without_another_sort(spark):
-    _, payloads, *_ = build_inputs(spark, 10)
-    rows = payloads.select(F.substring("id", 1, 12).alias("file"), F.monotonically_increasing_id().alias("pos"), *[
-        F.lit(None).cast(kind).alias(name) if name != "id" else F.col("id") for name, kind in S.RECIPE_COLUMNS
-    ]).withColumn("image", F.struct(F.lit(b"x").alias("bytes"), F.lit("p").alias("path")))
-    plan = writers.write_shards(rows, "/nowhere")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning(file") == 1
+def test_a_build_without_rows(spark, tmp_path):
+    names, payloads, sidecars, scores, _ = build_inputs(spark, 20)
+    nothing = payloads.select("id")
+    folder = str(tmp_path / "set")
+    assert publish.publish(payloads, sidecars, scores, nothing, image_table(payloads), folder).count() == 0
+    assert build_rows(spark, folder) == [] and readers.scan_metadata(spark, folder)[1].first()["rows"] == 0
+
+
+def shard_input(spark, n, files_of):
+    """Rows 0..n-1 for the shard sink; row i belongs to file i // (n / files_of)."""
+    rows = spark.range(n).select(F.format_string("f%02d.parquet", F.floor(F.col("id") / (n // files_of))).alias("file"), F.col("id").alias("pos"), F.col("id").alias("number"))
+    filled = [F.lit(None).cast(kind).alias(name) if name != "id" else F.col("number").cast("string").alias("id") for name, kind in S.RECIPE_COLUMNS]
+    return rows.select("file", "pos", *filled, F.struct(F.lit(b"x").alias("bytes"), F.lit("p").alias("path")).alias("image"))
+
+
+def test_attempts_that_fail_after_writing_leave_only_listed_files(tmp_path):
+    """A task writes its first shard, dies in its second, and is run again: in a session that retries tasks."""
+    script = f"""
+import os, sys
+sys.path.insert(0, {os.getcwd()!r})
+from pyspark.sql import functions as F
+from sievework.session import build_session
+from sievework.sources import sinks
+from tests.test_build import shard_input
+spark = build_session("retries", master="local[2,3]", **{{"spark.ui.enabled": "false", "spark.checkpoint.dir": {str(tmp_path / 'c')!r}}})
+flag = {str(tmp_path / 'flag')!r}
+class Fails(sinks.ShardFiles):
+    def _fill(self, sink, name, batches, encoder):
+        rows = super()._fill(sink, name, batches, encoder)
+        if name == "f02.parquet" and not os.path.exists(flag):
+            open(flag, "w").close()
+            raise ValueError("dies after writing")
+        return rows
+class FailsOnce(sinks.ShardSource):
+    def writer(self, schema, overwrite):
+        o = self.options
+        return Fails(o["path"], o["log"], int(o["rows_per_group"]), None)
+rows = shard_input(spark, 60, 6).repartitionById(2, (F.col("pos") / 30).cast("int")).sortWithinPartitions("file", "pos")
+sinks.save(rows, FailsOnce, {str(tmp_path / 'data')!r}, {str(tmp_path / 'log')!r}, rows_per_group="4")
+assert os.path.exists(flag)
+found = {{r["name"]: r["rows"] for r in sinks.written(spark, {str(tmp_path / 'log')!r}).collect()}}
+assert found == {{f"f{{i:02d}}.parquet": 10 for i in range(6)}}, found
+assert sinks.strangers({str(tmp_path / 'data')!r}, set(found)) == []
+assert spark.read.parquet({str(tmp_path / 'data')!r}).count() == 60
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, cwd=os.getcwd())
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_rows_out_of_order_are_refused_and_leave_no_list(spark, tmp_path):
+    rows = shard_input(spark, 20, 2).coalesce(1).orderBy("file", F.desc("pos"))
+    with pytest.raises(Exception, match="not in order"):
+        sinks.save(rows, sinks.ShardSource, str(tmp_path / "data"), str(tmp_path / "log"), rows_per_group="4")
+    assert sinks.strangers(str(tmp_path / "data"), set()) == [] and not os.path.exists(tmp_path / "log/committed.json")
+
+
+def test_commits_switch_in_one_step(tmp_path):
+    folder = str(tmp_path)
+    assert commits.current(folder) is None and commits.commits(folder) == []
+    assert [commits.commit(folder, n, {"n": n}) for n in ("b", "a", "b", "c")] == [0, 1, 2, 3]
+    assert commits.current(folder) == "c" and commits.content(folder, 1, "a") == {"n": "a"}
+    assert commits.forget(folder, 2) == ["a"] and commits.commits(folder) == [(2, "b"), (3, "c")]
+    # A file that is being written has no number yet.
+    (tmp_path / "commits" / "x.tmp").write_text("")
+    assert commits.current(folder) == "c"
+
+
+def test_new_files_stay_and_others_are_replaced(tmp_path):
+    path = str(tmp_path / "d/f")
+    assert files.put_new(path, lambda sink: sink.write(b"one")) == 3
+    assert files.put_new(path, lambda sink: sink.write(b"other")) == 3
+    assert open(path, "rb").read() == b"one"
+    assert files.put_file(path, lambda sink: sink.write(b"other")) == 5 and open(path, "rb").read() == b"other"
+
+    def fails(sink):
+        sink.write(b"half")
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        files.put_file(path, fails)
+    assert open(path, "rb").read() == b"other" and os.listdir(tmp_path / "d") == ["f"]
 
 
 def test_changed_exclusions_do_not_reuse_shards(spark):
