@@ -444,7 +444,7 @@ def record_query(spark, sf):
 
 @query(
     "order_due_title",
-    f"WITH {TASK} SELECT path, row_number() OVER (ORDER BY coalesce(due, '9999-99-99'), title, path) AS rank FROM task",
+    f"WITH {TASK} SELECT path, row_number() OVER (ORDER BY due NULLS LAST, title, path) AS rank FROM task",
 )
 def order_due_title(spark, sf):
     return rc.order_due_title(tasks(spark, sf).select("path", "due", "title")).select("path", "rank")
@@ -464,15 +464,15 @@ def status_counts(spark, sf):
     "grouped_report",
     f"""WITH {TASK}, s(section_rank, status, heading) AS (VALUES {', '.join(f"({i + 1}, '{a}', '{b}')" for i, (a, b) in enumerate(RULES.sections))}),
     body AS (SELECT section_rank, row_number() OVER (PARTITION BY section_rank ORDER BY
-        CASE WHEN task.status = 'scheduled' THEN '' ELSE area END, coalesce(due, '9999-99-99'), title, path) AS line_rank,
-      '- [ ] ' || title || ' — ' || brief || CASE WHEN due IS NOT NULL THEN ' · due ' || due ELSE '' END
-      || CASE WHEN task.status = 'known-failure' AND test IS NOT NULL THEN ' · test `' || test || '`' ELSE '' END
-      || CASE WHEN owner = 'owner' AND task.status <> 'waiting' THEN ' · owner owner' ELSE '' END
-      || ' · _' || area || '_ · [details](' || path || ')' AS line FROM task JOIN s ON task.status = s.status)
+        CASE WHEN task.status = 'scheduled' THEN '' ELSE area END, due NULLS LAST, title, path) AS line_rank,
+      concat_ws(' | ', '* ' || path || ': ' || title, brief, 'by ' || due, 'in ' || area,
+        CASE WHEN task.status = 'known-failure' THEN 'see test ' || test END,
+        CASE WHEN owner = 'owner' AND task.status <> 'waiting' THEN 'for the owner' END) AS line
+      FROM task JOIN s ON task.status = s.status)
     SELECT CAST(section_rank AS BIGINT) AS section_rank, line_rank, line FROM body
-    UNION ALL SELECT section_rank, 0, '## ' || heading FROM s
-    UNION ALL SELECT section_rank, 1, '_None._' FROM s WHERE section_rank NOT IN (SELECT section_rank FROM body)
-    UNION ALL SELECT 0, 0, '> ' || count(*) FILTER (status <> 'done') || ' open records · ' || count(*) FILTER (status = 'done') || ' done' FROM task""",
+    UNION ALL SELECT section_rank, 0, heading || ':' FROM s
+    UNION ALL SELECT section_rank, 1, '* nothing' FROM s WHERE section_rank NOT IN (SELECT section_rank FROM body)
+    UNION ALL SELECT 0, 0, count(*) FILTER (status <> 'done') || ' to do, ' || count(*) FILTER (status = 'done') || ' finished' FROM task""",
 )
 def grouped_report(spark, sf):
     return _longs(rc.grouped_report(_parsed_once(spark, sf).drop("body"), RULES))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sievework.functions.frontmatter import front_matter_write
 from sievework.functions.names import build_artifact_name, slugify
 from sievework.functions.text import lines_of
-from sievework.operators.records import RecordRules
+from sievework.operators.records import RecordRules, ReportLayout
 from sievework.plans.registry import table
 from sievework.schema import MODELS
 
@@ -201,6 +201,13 @@ RULES = RecordRules(
     areas=("data", "docs", "cli", "ci", "models", "service", "gallery", "process"),
     owners=("owner", "agent"),
     root="records",
+    layout=ReportLayout(
+        parts=(
+            "concat('* ', path, ': ', title)", "brief", "concat('by ', due)", "concat('in ', area)",
+            "if(status = 'known-failure', concat('see test ', test), NULL)", "if(owner = 'owner' AND status <> 'waiting', 'for the owner', NULL)",
+        ),
+        separator=" | ", heading="%s:", empty="* nothing", counts="%d to do, %d finished",
+    ),
 )
 
 TASK = """
