@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sievework import schema as S
 from sievework.functions import names, recipe
+from sievework.operators.ordering import carried_forward
 from sievework.session import freeze
 
 
@@ -107,9 +108,18 @@ def build_report(classified: DataFrame, prompts: DataFrame, manifest: DataFrame,
     )
 
 
-def flatten_recipe(rows: DataFrame, meta: str = "meta") -> DataFrame:
-    """(id, meta, prompt_id, scores) -> the published row. Scores are narrowed here, last."""
-    m, freeu, caption = f"{meta}.", f"{meta}.freeu.", f"{meta}.extra.meme."
+def caption_field(extra: Column, name: str) -> Column:
+    """A text of the caption in an open map; null where there is none, or where it is no text."""
+    return F.try_variant_get(extra, f"$.meme.{name}", "string")
+
+
+def flatten_recipe(rows: DataFrame, meta: str = "meta", keep_extra: bool = False) -> DataFrame:
+    """(id, meta, prompt_id, scores) -> the published row. Scores are narrowed here, last.
+
+    With `keep_extra` the row ends in the whole open map, as a variant.
+    """
+    m, freeu = f"{meta}.", f"{meta}.freeu."
+    extra = F.col(f"{meta}.extra")
     source = {
         "id": "id",
         "prompt_id": "prompt_id",
@@ -120,17 +130,50 @@ def flatten_recipe(rows: DataFrame, meta: str = "meta") -> DataFrame:
         "freeu_s2": freeu + "s2",
         "refiner_aesthetic_score": m + "aesthetic_score",
         "refiner_negative_aesthetic_score": m + "negative_aesthetic_score",
-        "caption_top": caption + "top_text",
-        "caption_bottom": caption + "bottom_text",
-        "caption_format": caption + "format",
+        "caption_top": caption_field(extra, "top_text"),
+        "caption_bottom": caption_field(extra, "bottom_text"),
+        "caption_format": caption_field(extra, "format"),
         "laion_aesthetic": "laion_aesthetic",
         "nsfw_prob": "nsfw_prob",
     }
     columns = []
     for name, kind in S.RECIPE_COLUMNS:
-        value = names.created_at(F.col("id")) if name == "created_at" else F.col(source.get(name, m + name))
-        columns.append(value.cast(kind).alias(name))
-    return rows.select(*columns)
+        value = names.created_at(F.col("id")) if name == "created_at" else source.get(name, m + name)
+        columns.append((F.col(value) if isinstance(value, str) else value).cast(kind).alias(name))
+    return rows.select(*columns, *([extra.alias("extra")] if keep_extra else []))
+
+
+def era_asof(rows: DataFrame, at: str, eras: DataFrame, start: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds `era`, the row of `eras` (a struct of its other columns) that holds at each row's `at`.
+
+    That is the era of the latest `start` that is not after it, among those of the same values of
+    `by` (nulls match nulls), or null before the first. A null `at` has no era, and an era with a
+    null start never begins; of several eras with one start the greatest row holds. Both tables may
+    have any size, and an era or a time that most rows share is spread over many tasks: rows and
+    eras are range-sorted together, and what holds at the end of a partition is carried over to the
+    next, one row per partition.
+    """
+    values = [c for c in eras.columns if c not in (start, *by)]
+    begun = eras.filter(F.col(start).isNotNull()).groupBy(*by, start).agg(F.max(F.struct(*values)).alias("__era"))
+    left = rows.select(
+        F.struct(*rows.columns).alias("__row"), *[F.col(c).alias(f"__k_{c}") for c in by], F.col(at).alias("__at"),
+        F.lit(1).alias("__kind"), F.xxhash64(*[c for c, kind in rows.dtypes if kind != "variant" and "map<" not in kind]).alias("__tie"),
+    )
+    right = begun.select(
+        *[F.col(c).alias(f"__k_{c}") for c in by], F.col(start).alias("__at"), F.lit(0).alias("__kind"), F.lit(0).cast("bigint").alias("__tie"), "__era",
+    )
+    keys = [f"__k_{c}" for c in by]
+    both = left.unionByName(right, allowMissingColumns=True)
+    # The key travels with the era: one carried over from another key does not hold.
+    both = both.withColumn("__held", F.when(F.col("__kind") == 0, F.struct(*keys, F.col("__at").alias("__from"), "__era")))
+    carried = carried_forward(both, [*keys, "__at", "__kind", "__tie"], "__held")
+    holds = F.col("__held").isNotNull() & F.col("__at").isNotNull()
+    for k in keys:
+        holds = holds & F.col(f"__held.{k}").eqNullSafe(F.col(k))
+    out = carried.filter(F.col("__kind") == 1).select("__row.*", F.when(holds, F.col("__held.__era")).alias("era"))
+    return out
+
+
 
 
 def _fills(ts: str, eras, repos) -> dict[str, Column]:

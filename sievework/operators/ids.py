@@ -86,6 +86,51 @@ def shard_reuse(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     return wanted.join(old, "shard", "full_outer").select("shard", action.alias("action"))
 
 
+# Parts of the order key that a step of the threshold search tells apart, and rows of the part with
+# the cap that end the search.
+PARTS, ENOUGH = 32, 20_000
+
+
+def cap_bound(rows: DataFrame, order: str, size: str | None, max_rows: int | None, max_bytes: int | None) -> Column:
+    """A condition on the order key that holds for all rows up to a cap, and for few rows beyond it.
+
+    A weighted threshold search: the part of the keys that holds the cap is cut at `PARTS` of its
+    own keys, sums and counts of the pieces tell which of them the cap lies in, and so on until that
+    piece is small. Each step reads the keys and sizes of the part and shuffles its sums only.
+    """
+    low, high, before = None, None, [0, 0]
+    while True:
+        inside = F.lit(True)
+        if low is not None:
+            inside = inside & (F.col(order) >= F.lit(low))
+        if high is not None:
+            inside = inside & (F.coalesce(F.col(order) < F.lit(high), F.lit(low is None)))
+        part = rows.filter(inside).select(F.col(order).alias("key"), (F.col(size) if size else F.lit(0)).cast("bigint").alias("size"))
+        # Keys by their hash: a sample of the part, the same each time.
+        drawn = part.filter("key IS NOT NULL").orderBy(F.xxhash64("key"), "key").limit(16 * PARTS).collect()
+        keys = sorted({r.key for r in drawn})
+        cuts = sorted({keys[i * len(keys) // PARTS] for i in range(1, PARTS)} - {low}) if keys else []
+        piece = sum((F.coalesce(F.col("key") >= F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+        sums = {r.piece: (r.n, r.size or 0) for r in part.groupBy(piece.alias("piece")).agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+        bounds, found = [low, *cuts, high], None
+        for i in range(len(cuts) + 1):
+            n, total = sums.get(i, (0, 0))
+            over_rows = max_rows is not None and before[0] + n > max_rows
+            over_bytes = max_bytes is not None and before[1] + total > max_bytes
+            if over_rows or over_bytes:
+                found = i, n
+                break
+            before = [before[0] + n, before[1] + total]
+        if found is None:
+            # The caps lie beyond this part.
+            return F.lit(True) if high is None else F.coalesce(F.col(order) < F.lit(high), F.lit(True))
+        i, n = found
+        shrunk = (bounds[i], bounds[i + 1]) != (low, high)
+        low, high = bounds[i], bounds[i + 1]
+        if n <= max(ENOUGH, before[0] // 8) or not shrunk:
+            return F.lit(True) if high is None else F.coalesce(F.col(order) < F.lit(high), F.lit(True))
+
+
 def run_cap(
     rows: DataFrame,
     order: str,
@@ -99,7 +144,8 @@ def run_cap(
 
     The run stops at the first row that would pass a cap. Spark applies a ranked filter of few rows
     in every task before the shuffle; beyond `RANKED_FILTER` it does not, and the rank comes from
-    range-sorted positions, so a large subject is spread over many tasks in both cases.
+    range-sorted positions, so a large subject is spread over many tasks in both cases. Only rows up
+    to about the cap are sorted and written (`cap_bound`). Sizes are not negative.
     """
     if subject is not None and per_subject is not None:
         if per_subject <= RANKED_FILTER:
@@ -110,8 +156,9 @@ def run_cap(
             rows = placed.filter(F.col("__rank") < per_subject).drop("__rank")
     if max_rows is None and max_bytes is None:
         return rows
+    rows = rows.filter(cap_bound(rows, order, size if max_bytes is not None else None, max_rows, max_bytes))
     summed = running_sums(
-        rows, [order], {"running_rows": F.lit(1).cast("bigint"), "running_bytes": F.col(size).cast("bigint")}
+        rows, [order], {"running_rows": F.lit(1).cast("bigint"), "running_bytes": F.coalesce(F.col(size).cast("bigint"), F.lit(0))}
     )
     if max_rows is not None:
         summed = summed.filter(F.col("running_rows") <= max_rows)

@@ -97,3 +97,20 @@ def running_sums(
         .drop(_MID, _PART, *[_BASE + a for a in amounts])
     )
 
+
+
+def carried_forward(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Fills nulls of the column `name` with its last value before them in `order`.
+
+    The rows are range-sorted; within a partition the value is carried by a window over the
+    partition's rows, and what a partition ends with is carried over to those after it as one row
+    per partition. Ties in `order` may come in any order.
+    """
+    rows = _ordered(df, order)
+    inside = Window.partitionBy(_PART).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col(name).isNotNull(), F.struct(F.col(_MID).alias("at"), F.col(name).alias("value")))
+    ends = rows.groupBy(_PART).agg(F.max_by(known, F.when(F.col(name).isNotNull(), F.col(_MID))).alias("end"))
+    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    base = ends.select(_PART, F.last("end", ignorenulls=True).over(earlier).alias(_BASE))
+    filled = rows.withColumn(name, F.last(name, ignorenulls=True).over(inside)).join(F.broadcast(base), _PART)
+    return filled.withColumn(name, F.coalesce(name, f"{_BASE}.value")).drop(_MID, _PART, _BASE)

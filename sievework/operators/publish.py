@@ -63,7 +63,7 @@ def plan_build(
     parsed = parse_sidecars(kept.join(sidecars, "id"), policy="fail").drop("raw")
     parsed = freeze(parsed.withColumn("prompt_subject", F.col("meta.prompt_subject")))
     prompt_ids = dense_prompt_id(parsed)
-    rows = flatten_recipe(prompt_id_join(parsed, prompt_ids))
+    rows = flatten_recipe(prompt_id_join(parsed, prompt_ids), keep_extra=True)
     return Build(classified, prompt_ids, rows, shard_assign(kept.select("id"), rows_per_shard=rows_per_shard))
 
 
@@ -126,8 +126,9 @@ def publish(
     own, data = build_folder(folder, name), f"{folder}/data"
     build = plan_build(payloads, sidecars, scores, manual, threshold)
     write_metadata(build.rows, f"{own}/metadata")
-    # The shards read what was just written, so ids are joined and recipes flattened once.
-    build = replace(build, rows=spark.read.parquet(f"{own}/metadata"))
+    # The shards read what was just written, so ids are joined and recipes flattened once. The open
+    # map stays with the metadata: shard files have a fixed schema.
+    build = replace(build, rows=spark.read.parquet(f"{own}/metadata").drop("extra"))
     suffix = images.suffix if isinstance(images, PayloadFiles) else ""
     written_by = f"{settings}\n{suffix}\n{S.ROWS_PER_GROUP}\nzstd"
     wanted = freeze(wanted_shards(build, identified(payloads, images), written_by))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sievework.operators import index as ix
+from sievework.operators import index as ix, pages, search
 from sievework.plans.registry import query
 from sievework.plans.views import IDX, IMG, img, index, sidecar_raw
+from sievework.session import work_path
 
 # 2024-01-15 12:00:00 UTC, a time inside the given events.
 MIDDLE = 1705320000.0
@@ -68,6 +69,44 @@ def keyset_page(spark, sf):
     )
 
 
+def _kept_index(spark, sf) -> str:
+    """The index in files of 500 records, the last tenth of the names added later."""
+    folder, rows = work_path(spark, "index"), index(spark, sf)
+    later = F.col("mtime_us") % 10 == 3
+    for part in (rows.filter(~later), rows.filter(later)):
+        pages.add_to_index(part, folder, rows_per_file=500)
+    return folder
+
+
+@query(
+    "clustered_pages",
+    f"""WITH {IDX}
+    (SELECT 'time' AS cursor, name, mtime_us FROM idx WHERE mtime < {MIDDLE} ORDER BY mtime DESC, name LIMIT 1000)
+    UNION ALL
+    (SELECT 'first' AS cursor, name, mtime_us FROM idx ORDER BY mtime DESC, name LIMIT 200)
+    UNION ALL
+    (SELECT 'time and name' AS cursor, name, mtime_us FROM idx WHERE mtime < {MIDDLE} OR (mtime = {MIDDLE} AND name > 'm')
+     ORDER BY mtime DESC, name LIMIT 200)
+    UNION ALL SELECT 'since', name, mtime_us FROM idx WHERE mtime > {MIDDLE}
+    UNION ALL SELECT 'size', NULL, count(*) FROM idx""",
+)
+def clustered_pages(spark, sf):
+    """Pages, the feed and the count of an index that is kept clustered by time, after late additions."""
+    folder = _kept_index(spark, sf)
+
+    def shown(label: str, df: DataFrame) -> DataFrame:
+        return df.select(F.lit(label).alias("cursor"), "name", "mtime_us")
+
+    size = pages.index_size(spark, folder).select(F.lit("size").alias("cursor"), F.lit(None).cast("string").alias("name"), F.col("total").alias("mtime_us"))
+    return (
+        shown("time", pages.open_page(spark, folder, before=str(MIDDLE), limit=5000))
+        .unionByName(shown("first", pages.open_page(spark, folder)))
+        .unionByName(shown("time and name", pages.open_page(spark, folder, before=MIDDLE, limit="x", before_name="m")))
+        .unionByName(shown("since", pages.open_since(spark, folder, MIDDLE)))
+        .unionByName(size)
+    )
+
+
 @query("since_filter", f"WITH {IDX} SELECT name, mtime_us FROM idx WHERE mtime > {MIDDLE}")
 def since_filter(spark, sf):
     return ix.since_filter(index(spark, sf), MIDDLE).select("name", "mtime_us")
@@ -81,6 +120,28 @@ def search_filter(spark, sf):
     return ix.search_filter(index(spark, sf), "click", "  SUBJECT #1 ").select("name", "subj")
 
 
+_NEEDLES = [("click", "  SUBJECT #1 "), ("", "t #14"), ("", "#9"), ("view", "7"), ("", "no such"), ("", "subject")]
+
+
+@query(
+    "search_index",
+    f"WITH {IDX}, n(cat, needle) AS (VALUES {', '.join(f"('{c}', '{t.strip().lower()}')" for c, t in _NEEDLES)})"
+    " SELECT needle, name, subj FROM idx JOIN n ON (n.cat = '' OR idx.cat = n.cat) AND contains(lower(subj), needle)",
+)
+def search_index(spark, sf):
+    """Needles of all lengths, rare, common and absent, through the trigram postings."""
+    folder = work_path(spark, "search")
+    search.add_to_search(index(spark, sf), folder, rows_per_file=500)
+    found = [
+        search.search_index(spark, folder, cat, text).select(F.lit(text.strip().lower()).alias("needle"), "name", "subj")
+        for cat, text in _NEEDLES
+    ]
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query(
     "visible_counts",
     f"""WITH {IDX} SELECT count(*) FILTER (mtime > {MIDDLE} AND cat = 'view' AND contains(lower(subj), '2')) AS visible,

@@ -43,6 +43,45 @@ def scan_sidecars(spark, sf):
     )
 
 
+@query(
+    "open_extra",
+    """WITH p AS (SELECT page_id, page_id::VARCHAR AS stem, page_id % 17 = 3 AS broken, url, CAST(length(html) AS BIGINT) AS size FROM pages),
+    v AS (SELECT *, CASE WHEN NOT broken THEN page_id END AS seed, CASE WHEN NOT broken THEN size END AS note_size,
+      CASE WHEN NOT broken AND page_id % 5 = 0 THEN '["' || url || '",' || page_id || ',null]' END AS tags FROM p)
+    SELECT 'default' AS policy, stem, seed, note_size, tags FROM v
+    UNION ALL SELECT 'skip', stem, seed, note_size, tags FROM v WHERE NOT broken
+    UNION ALL SELECT 'fail', stem, seed, note_size, tags FROM v WHERE NOT broken""",
+)
+def open_extra(spark, sf):
+    """Sidecar files whose open map holds keys that no schema knows, some of them broken.
+
+    Read with each policy; what `skip` keeps goes through metadata and new sidecar files, which
+    `fail` reads.
+    """
+    first, metadata, second = (work_path(spark, n) for n in ("extra-in", "extra-metadata", "extra-out"))
+    pages = table(spark, sf, "pages").withColumn("stem", F.col("page_id").cast("string"))
+    note = F.struct(F.length("html").alias("size"))
+    tags = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit('["'), "url", F.lit('",'), "page_id", F.lit(",null]")))
+    rest = F.coalesce(F.concat(F.lit(',"tags":'), tags), F.lit(""))
+    raw = F.concat(F.lit('{"seed":'), "page_id", F.lit(',"prompt_subject":"p","extra":{"note":'), F.to_json(note), rest, F.lit("}"), F.when(F.col("page_id") % 17 != 3, "}").otherwise(""))
+    files.write_files(pages.select(F.concat("stem", F.lit(".json")).alias("name"), raw.alias("raw")), first, "name", "raw").write.format("noop").mode("overwrite").save()
+    kept = readers.scan_sidecars(spark, first, "skip").filter("NOT broken")
+    flat = curate.flatten_recipe(
+        kept.withColumnRenamed("stem", "id").withColumns({"prompt_id": F.lit(0), "laion_aesthetic": F.lit(None), "nsfw_prob": F.lit(None)}), keep_extra=True
+    )
+    writers.write_metadata(flat, metadata)
+    writers.write_sidecars(spark.read.parquet(metadata), second, "id", ["seed", "prompt_subject", "extra"])
+    scans = {"default": readers.scan_sidecars(spark, first), "skip": kept, "fail": readers.scan_sidecars(spark, second, "fail")}
+    shown = [
+        df.select(
+            F.lit(policy).alias("policy"), "stem", "meta.seed", F.try_variant_get("meta.extra", "$.note.size", "bigint").alias("note_size"),
+            F.to_json(F.try_variant_get("meta.extra", "$.tags", "variant")).alias("tags"),
+        )
+        for policy, df in scans.items()
+    ]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 def _page_files(spark, sf, folder: str) -> None:
     """Writes every page to a file of its own."""
     pages = table(spark, sf, "pages").select(
@@ -214,6 +253,19 @@ def era_asof(spark, sf):
     )
 
 
+@query(
+    "era_asof_table",
+    f"""WITH {IMG}, eras AS (SELECT category, ts_name AS valid_from, max(event_id) AS era_id FROM img WHERE k = 7 GROUP BY category, ts_name)
+    SELECT event_id, era_id FROM img ASOF LEFT JOIN eras ON img.category = eras.category AND img.ts_name >= eras.valid_from""",
+)
+def era_asof_table(spark, sf):
+    """The eras are a table that grows with the data: every hundredth artifact begins one for its category."""
+    rows = img(spark, sf)
+    eras = rows.filter("k = 7").select("category", F.col("ts_name").alias("valid_from"), F.col("event_id").alias("era_id"))
+    found = curate.era_asof(rows.select("event_id", "category", "ts_name"), "ts_name", eras, "valid_from", by=["category"])
+    return found.select("event_id", "era.era_id")
+
+
 _FILLED = f"""WITH {IMG}, f AS (SELECT *, ts_name >= '20240115-120000' AS late, pipeline_version = 1 AS absent, k < 10 AS hidden FROM img)
     SELECT event_id,
       CASE WHEN absent THEN CASE WHEN late THEN '{S.VAE}' ELSE 'default' END WHEN NOT hidden THEN 'vae-x' END AS vae,

@@ -5,13 +5,14 @@ import os
 import struct
 import subprocess
 import sys
+from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sievework import schema as S
-from sievework.operators import ids, publish, scoring
+from sievework.operators import ids, jobs, publish, scoring
 from sievework.session import build_session, shared_folder
 from sievework.sources import commits, files, readers, sinks, writers
 from sievework.streaming import feeds
@@ -101,7 +102,7 @@ def test_publish(spark, tmp_path):
     assert seen == kept
     rows, report = readers.scan_metadata(spark, folder)
     assert sorted(r["id"] for r in rows.select("id").collect()) == kept
-    assert rows.columns == [c[0] for c in S.RECIPE_COLUMNS] and rows.schema["laion_aesthetic"].dataType.simpleString() == "float"
+    assert rows.columns == [c[0] for c in S.RECIPE_COLUMNS] + ["extra"] and rows.schema["laion_aesthetic"].dataType.simpleString() == "float"
     got = report.first()
     assert (got["rows"], got["prompts"], got["shards"]) == (len(kept), 9, 3)
     assert got["shard_bytes"] == sum(os.path.getsize(f"{folder}/data/{n}") for n in file_of.values())
@@ -363,6 +364,110 @@ def test_scores_are_not_made_twice(spark, tmp_path):
     assert sorted((r["id"], r["n"]) for r in spark.read.parquet(sink).collect()) == [("a", 1), ("b", 1), ("c", 1)]
 
 
+def test_scoring_a_batch_costs_what_the_batch_holds(spark, tmp_path):
+    """Every batch reads its own rows only, and the state says which ids it has added; one id comes very often."""
+    source, sink, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    schema = spark.createDataFrame([("a", b"x")], "id string, content binary").schema
+    read, added, calls = [], [], spark.sparkContext.accumulator(0)
+
+    def scored(df):
+        def run(batches):
+            for batch in batches:
+                calls.add(batch.num_rows)
+                yield batch.select(["id"])
+
+        return df.mapInArrow(run, "id string")
+
+    for n in range(4):
+        fresh = [(f"{n}-{i}", b"1") for i in range(50)]
+        rows = spark.createDataFrame(fresh + [("hot", b"2")] * 500 + [("0-1", b"3")], schema)
+        rows.write.mode("append").parquet(source)
+        query = feeds.score_new(feeds.record_stream(spark, source, schema), scored, sink, log, poll_seconds=None)
+        finish(query)
+        done = [p for p in query.recentProgress if p["numInputRows"]]
+        read.append(sum(p["numInputRows"] for p in done))
+        added.append(sum(o["numRowsUpdated"] for p in done for o in p["stateOperators"]))
+        assert all(d["description"].startswith("FileStreamSource") for p in done for d in p["sources"])
+    assert read == [551] * 4 and added == [51, 50, 50, 50]
+    ids_scored = [r["id"] for r in spark.read.parquet(sink).collect()]
+    assert len(ids_scored) == len(set(ids_scored)) == calls.value == 201
+    # Before the shuffle a task leaves out what it has just seen.
+    assert feeds.first_of_task(spark.createDataFrame([("hot", b"")] * 900, schema).coalesce(2), "id").count() <= 2
+
+
+def test_every_feed_has_a_mark_of_its_own(spark, tmp_path):
+    schema = "name string, feed string, mtime double"
+    slices = [
+        [("a1", "a", 5.0), ("b1", "b", 50.0), ("n1", None, 1.0), ("x", "a", None)],
+        # Late in its feed, though above the other's mark, and the other way round.
+        [("a2", "a", 4.0), ("a3", "a", 6.0), ("b2", "b", 40.0), ("b3", "b", 51.0), ("a4", "a", 5.0), ("n2", None, 1.0), ("n3", None, 2.0), ("c1", "c", 0.5)],
+        [("a5", "a", 5.5), ("a6", "a", 6.5), ("b4", "b", 50.5), ("y", "b", None), ("c2", "c", 0.25)],
+    ]
+    late = {"a2", "b2", "a4", "n2", "a5", "b4", "y", "c2"}
+    for strict in (True, False):
+        source, sink, log = (str(tmp_path / f"{n}-{strict}") for n in ("in", "out", "log"))
+        for rows in slices:
+            df = spark.createDataFrame(rows, schema)
+            df.write.mode("append").parquet(source)
+            # Each slice is read by a new query: the marks come from the checkpoint.
+            finish(feeds.stream_high_water(feeds.record_stream(spark, source, df.schema), sink, log, poll_seconds=None, feed="feed", strict=strict))
+        got = spark.read.parquet(sink)
+        if strict:
+            assert sorted(r["name"] for r in got.collect()) == sorted(r[0] for s in slices for r in s if r[0] not in late)
+        else:
+            assert {r["name"]: r["late"] for r in got.collect()} == {r[0]: r[0] in late for s in slices for r in s}
+
+
+def test_one_mark_with_late_rows(spark, tmp_path):
+    source, sink, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    schema = spark.createDataFrame([("a", 1.0)], "name string, mtime double").schema
+    for rows in ([("a", 1.0), ("b", 3.0)], [("c", 2.0), ("d", 4.0), ("n", None)], [("e", 5.0), ("f", 3.5)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        finish(feeds.stream_high_water(feeds.record_stream(spark, source, schema), sink, log, poll_seconds=None, strict=False))
+    assert {r["name"]: r["late"] for r in spark.read.parquet(sink).collect()} == {"a": False, "b": False, "c": True, "d": False, "n": True, "e": False, "f": True}
+
+
+def test_endless_source_goes_on_where_it_stopped(spark, tmp_path):
+    sink, log = str(tmp_path / "out"), str(tmp_path / "log")
+
+    def start(end):
+        indexes = jobs.index_source(spark, start=7, end=end, per_trigger=9, partitions=2)
+        return feeds.stream_append(indexes, lambda df: df, sink, log, poll_seconds=0)
+
+    for _ in range(2):
+        query = start(None)
+        while sum(p["numInputRows"] for p in query.recentProgress) < 18:
+            assert query.exception() is None
+            query.awaitTermination(0.1)
+        query.stop()
+    reached = max(r["index"] for r in spark.read.parquet(sink).collect())
+    end = reached + 31
+    query = start(end)
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r["index"] for r in spark.read.parquet(sink).collect()) == list(range(7, end))
+
+
+def test_totals_are_whole_at_any_time(spark, tmp_path):
+    source, sink, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    schema = spark.createDataFrame([("a",)], "cat string").schema
+    want, held = Counter(), []
+    for n in range(2 * feeds.DELTAS + 4):
+        rows = ["a", None, f"c{n % 5}"]
+        want.update(rows)
+        spark.createDataFrame([(r,) for r in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        finish(feeds.stream_totals(feeds.record_stream(spark, source, schema), ["cat"], sink, log, poll_seconds=None))
+        assert {r["cat"]: r["n"] for r in feeds.totals_of(spark, sink).collect()} == dict(want)
+        # A table that a reader has opened stays as it was while the next ones are made.
+        held.append((feeds.totals_of(spark, sink), dict(want)))
+        for table, then in held[-3:]:
+            assert {r["cat"]: r["n"] for r in table.collect()} == then
+    # Half a batch without its commit does not show.
+    spark.createDataFrame([("a", 999, 10**6)], "cat string, n bigint, batch bigint").write.parquet(f"{sink}/table-999-x")
+    assert {r["cat"]: r["n"] for r in feeds.totals_of(spark, sink).collect()} == dict(want)
+    assert len(commits.commits(sink)) <= 3 * feeds.DELTAS and len(os.listdir(sink)) <= 3 * feeds.DELTAS + 3
+
+
 def test_shared_folder_is_the_named_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert build_session() is not None

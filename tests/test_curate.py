@@ -1,13 +1,15 @@
 """Names, recipe, exclusion, rename plan and index: small literal inputs for the known traps."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievework import schema as S
 from sievework.functions import draws, names, recipe, text, vectors
-from sievework.operators import curate, ids, index, jobs, verify
+from sievework.operators import curate, ids, index, jobs, ordering, verify
+from sievework.sources import readers
 
 
 def one(spark, column, **values):
@@ -272,3 +274,52 @@ def test_verify_and_drift(spark):
     assert verify.verify_copy(a, a, "id", ["v"]).count() == 0
     drift = {tuple(r) for r in verify.drift_check(a, b.dropDuplicates(), ["id"]).collect()}
     assert drift == {(2, "changed"), (3, "extra"), (4, "missing")}
+
+
+def test_era_table_by_key_with_ties_nulls_and_a_hot_time(spark):
+    rng = random.Random(4)
+    eras = [(k, s, v) for v, (k, s) in enumerate((rng.choice("abc"), rng.choice([None, *range(0, 60, 3)])) for _ in range(40))]
+    eras.append((None, 10, 99))
+    rows = [(i, rng.choice(["a", "b", "c", None, "d"]), rng.choice([None, 31, *range(-5, 70)])) for i in range(400)]
+    # A time that most rows share, in one key.
+    rows += [(1000 + i, "a", 31) for i in range(600)]
+
+    def want(key, at):
+        held = [(s, v) for k, s, v in eras if k == key and s is not None and at is not None and s <= at]
+        return max(held)[1] if held else None
+
+    df = spark.createDataFrame(rows, "i long, key string, at int").repartition(5)
+    table = spark.createDataFrame(eras, "key string, start int, v int")
+    got = curate.era_asof(df, "at", table, "start", by=["key"])
+    assert got.columns == ["i", "key", "at", "era"]
+    assert {r["i"]: r["era"]["v"] if r["era"] else None for r in got.collect()} == {i: want(k, at) for i, k, at in rows}
+    # One key for all, no eras, no rows.
+    single = curate.era_asof(df.select("i", "at"), "at", table.drop("key").filter("start = 30").limit(1), "start")
+    assert {r["i"]: r["era"] is not None for r in single.collect()} == {i: at is not None and at >= 30 for i, _, at in rows}
+    assert curate.era_asof(df, "at", table.limit(0), "start", by=["key"]).filter("era IS NOT NULL").count() == 0
+    assert curate.era_asof(df.limit(0), "at", table, "start", by=["key"]).count() == 0
+
+
+def test_a_hot_era_is_spread_over_tasks(spark):
+    rows = spark.range(4000).select("id", F.lit(5).alias("at"))
+    eras = spark.createDataFrame([(1, "x")], "start int, v string")
+    found = curate.era_asof(rows, "at", eras, "start").groupBy(F.col("era.v")).count().collect()
+    assert [tuple(r) for r in found] == [("x", 4000)]
+    # A few thousand rows would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = ordering._ordered(rows.withColumn("tie", F.xxhash64("id")), ["at", "tie"]).groupBy("__range_part").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 2
+
+
+def test_open_map_survives_flattening(spark):
+    raw = ['{"prompt_subject":"p","extra":{"meme":{"top_text":"t","format":7},"new":{"deep":[1,{"x":null}]}}}', '{"prompt_subject":"p","extra":{"meme":"plain"}}', '{"prompt_subject":"p"}', '{"prompt_subject":"p","extra":null}', '{"prompt_subject":"p","extra":[1,2]}']
+    rows = spark.createDataFrame([(str(i), r, 0, None, None) for i, r in enumerate(raw)], "id string, raw string, prompt_id int, laion_aesthetic double, nsfw_prob double")
+    flat = curate.flatten_recipe(readers.parse_sidecars(rows, policy="fail"), keep_extra=True)
+    got = [tuple(r) for r in flat.orderBy("id").select("caption_top", "caption_format", F.to_json("extra")).collect()]
+    assert got[0] == ("t", "7", '{"meme":{"format":7,"top_text":"t"},"new":{"deep":[1,{"x":null}]}}')
+    assert [g[:2] for g in got[1:]] == [(None, None)] * 4 and [g[2] for g in got[1:]] == ['{"meme":"plain"}', None, "null", "[1,2]"]
+    # Without the map the row is the published one.
+    assert curate.flatten_recipe(readers.parse_sidecars(rows)).columns == [c for c, _ in S.RECIPE_COLUMNS]
