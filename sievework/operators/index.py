@@ -122,10 +122,21 @@ def feed_cursors(page: DataFrame) -> DataFrame:
 
 
 def feed_payload(page: DataFrame, index: DataFrame) -> DataFrame:
-    """One JSON object for a page (bounded by the page limit): its records and the full count."""
+    """One JSON object for a page: its records and the full count.
+
+    A page has at most `MAX_PAGE_SIZE` records; more fail the job before they are gathered. What a
+    feed has to tell without bound goes out as `feed_lines`.
+    """
+    bounded = page.limit(MAX_PAGE_SIZE + 1)
     key = F.struct((-F.col("mtime")).alias("k"), F.col("name").alias("n"), F.struct(*page.columns).alias("r"))
     ordered = F.transform(F.array_sort(F.collect_list(key)), lambda x: x["r"])
+    images = F.when(F.count("*") <= MAX_PAGE_SIZE, ordered).otherwise(F.raise_error(F.lit(f"a page has at most {MAX_PAGE_SIZE} records")))
     total = index.agg(F.count("*").alias("n")).scalar()
-    return page.agg(ordered.alias("images")).select(
+    return bounded.agg(images.alias("images")).select(
         F.to_json(F.struct("images", total.alias("total")), {"ignoreNullFields": "false"}).alias("payload")
     )
+
+
+def feed_lines(rows: DataFrame) -> DataFrame:
+    """(mtime, name, line): each record as a JSON object of its own, for feeds of any length."""
+    return rows.select("mtime", "name", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))

@@ -269,3 +269,37 @@ def cut_ranges(
         F.format_string("[archive: lines %d..%d]", "abs_first", "abs_last"),
     )
     return parts.withColumn("pointer", pointer).drop("start_line"), errors
+
+
+def route_map(sections: DataFrame, routes: DataFrame, keys: Sequence[str], archived: DataFrame | None = None) -> DataFrame:
+    """(keys, section_id, first_line, last_line, heading, target, n_targets, note): where every section has gone.
+
+    One row per route, and one more for each section that was split, without a target but with the
+    number of different targets of its parts. `note` lists what there is to say: `merged` into
+    another section's file, `retired` to the archive, `split`, and `cut` where lines of `archived`
+    (keys, section_id, first_line, last_line) lie in the row's.
+    """
+    on = [*keys, "section_id"]
+    headed = sections.select(*on, "heading", F.col("start_line").cast("bigint").alias("__start"), F.col("line_count").cast("bigint").alias("__count"))
+    own = attach(routes.select(*on, "first_line", "last_line", "target", "kind"), headed, on)
+    rows = own.select(*on, "first_line", "last_line", "heading", "target", F.lit(1).cast("bigint").alias("n_targets"), "kind")
+    parts = routes.filter("kind = 'split'").groupBy(*on).agg(F.count_distinct("target").alias("n_targets"))
+    whole = attach(headed, parts, on).select(
+        *on, F.col("__start").alias("first_line"), (F.col("__start") + F.col("__count") - 1).alias("last_line"), "heading",
+        F.lit(None).cast("string").alias("target"), "n_targets", F.lit("whole").alias("kind"),
+    )
+    rows = rows.unionByName(whole)
+    if archived is None:
+        marked = rows.withColumn("__cut", F.lit(False))
+    else:
+        cuts = archived.select(*[F.col(c).alias(f"__a_{c}") for c in on], F.col("first_line").alias("__from"), F.col("last_line").alias("__to"))
+        meets = F.lit(True)
+        for c in on:
+            meets = meets & rows[c].eqNullSafe(cuts[f"__a_{c}"])
+        meets = meets & (F.col("__from") <= rows["last_line"]) & (F.col("__to") >= rows["first_line"]) & (rows["kind"] != "whole")
+        touched = rows.join(cuts, meets, "left_semi").withColumn("__cut", F.lit(True))
+        marked = touched.unionByName(rows.join(cuts, meets, "left_anti").withColumn("__cut", F.lit(False)))
+    note = F.concat_ws(
+        ", ", F.when(F.col("kind") == "merge", "merged"), F.when(F.col("kind") == "archive", "retired"), F.when(F.col("kind") == "whole", "split"), F.when(F.col("__cut"), "cut")
+    )
+    return marked.select(*on, "first_line", "last_line", "heading", "target", "n_targets", note.alias("note"))

@@ -239,6 +239,37 @@ def route_sections(spark, sf):
     return _longs(ln.route_sections(_sections(spark, sf), _metas(spark, sf), ["doc_id"])[0])
 
 
+_ROUTED = f"""WITH {_METAS},
+r AS (
+    SELECT doc_id, section_id, heading, start_line, line_count, start_line AS first_line, start_line + line_count - 1 AS last_line,
+      CASE disposition WHEN 'file' THEN m_path WHEN 'merge' THEN t_path ELSE 'archive' END AS target, disposition AS kind
+    FROM e WHERE error IS NULL AND disposition <> 'split'
+    UNION ALL
+    SELECT doc_id, section_id, heading, start_line, line_count, start_line + first - 1, start_line + greatest(least(last, line_count), first - 1) - 1,
+      CASE WHEN status = 'done' THEN 'done/' ELSE '' END || area || '/' || slug || suffix || '.md', 'split'
+    FROM e, parts WHERE error IS NULL AND disposition = 'split'
+), n AS (
+    SELECT *, 1 AS n_targets, line_count >= 6 AND first_line <= start_line + line_count - 1 AND last_line >= start_line + 4 AS cut FROM r
+    UNION ALL
+    SELECT doc_id, section_id, any_value(heading), start_line, line_count, start_line, start_line + line_count - 1, NULL, 'whole', count(DISTINCT target), FALSE
+    FROM r WHERE kind = 'split' GROUP BY doc_id, section_id, start_line, line_count
+)
+SELECT doc_id, section_id, first_line, last_line, heading, target, CAST(n_targets AS BIGINT) AS n_targets,
+    concat_ws(', ', CASE kind WHEN 'merge' THEN 'merged' WHEN 'archive' THEN 'retired' WHEN 'whole' THEN 'split' END, CASE WHEN cut THEN 'cut' END) AS note
+FROM n"""
+
+
+@query("route_map", _ROUTED)
+def route_map(spark, sf):
+    """Where each section has gone; from the fifth line on, long sections had history that was cut."""
+    sections = _sections(spark, sf)
+    routes, _ = ln.route_sections(sections, _metas(spark, sf), ["doc_id"])
+    archived = sections.filter("line_count >= 6").select(
+        "doc_id", "section_id", (F.col("start_line") + 4).alias("first_line"), (F.col("start_line") + F.col("line_count") - 1).alias("last_line")
+    )
+    return _longs(ln.route_map(sections, routes, ["doc_id"], archived))
+
+
 @query(
     "route_errors",
     f"""WITH {_METAS} SELECT doc_id, section_id, heading, error FROM e WHERE error IS NOT NULL
@@ -488,28 +519,36 @@ def record_manifest(spark, sf):
     return rows.withColumn("refs_text", F.array_join("refs", ";")).drop("refs")
 
 
-@query(
-    "drift_check",
-    f"""WITH {TASK} SELECT path, CASE WHEN status = 'done' AND area = 'cli' THEN 'missing' WHEN status = 'waiting' THEN 'changed' END AS state
+_DRIFT = f"""WITH {TASK} SELECT path, CASE WHEN status = 'done' AND area = 'cli' THEN 'missing' WHEN status = 'waiting' THEN 'changed' END AS state
     FROM task WHERE (status = 'done' AND area = 'cli') OR status = 'waiting'
-    UNION ALL SELECT 'old/' || path, 'extra' FROM task WHERE status = 'pending'""",
-)
-def drift_check(spark, sf):
+    UNION ALL SELECT 'old/' || path, 'extra' FROM task WHERE status = 'pending'"""
+
+
+def _drifted(spark, sf) -> tuple:
     fresh = rc.record_manifest(tasks(spark, sf))
     kept = fresh.filter(~((F.col("status") == "done") & (F.col("area") == "cli")))
     edited = kept.withColumn(
         "title", F.when(F.col("status") == "waiting", F.concat("title", F.lit("!"))).otherwise(F.col("title"))
     )
     gone = fresh.filter("status = 'pending'").withColumn("path", F.concat(F.lit("old/"), "path"))
-    return verify.drift_check(edited.unionByName(gone), fresh, ["path"])
+    return edited.unionByName(gone), fresh
+
+
+@query("drift_check", _DRIFT)
+def drift_check(spark, sf):
+    return verify.drift_check(*_drifted(spark, sf), ["path"])
+
+
+@query("drift_ranges", _DRIFT)
+def drift_ranges(spark, sf):
+    """The same rows through digests of key ranges."""
+    return verify.drift_ranges(*_drifted(spark, sf), ["path"])
 
 
 # --- Verification ----------------------------------------------------------------------------------
 
 
-@query(
-    "verify_copy",
-    f"""WITH {DOC}, d AS (SELECT doc_id, source, lang, n_chars, doc_id IN (SELECT id FROM doc WHERE is_manual) AS ex,
+_FINDINGS = f"""WITH {DOC}, d AS (SELECT doc_id, source, lang, n_chars, doc_id IN (SELECT id FROM doc WHERE is_manual) AS ex,
       source = 'src3' AND lang = 'en' AS gone FROM documents)
     SELECT doc_id::VARCHAR AS id, 'missing' AS finding, NULL AS column_name, NULL AS source_value, NULL AS copy_value FROM d WHERE gone
     UNION ALL SELECT 'page-' || page_id, 'unexpected', NULL, NULL, NULL FROM pages
@@ -518,9 +557,11 @@ def drift_check(spark, sf):
     UNION ALL SELECT doc_id::VARCHAR, 'source_duplicate', NULL, NULL, NULL FROM d WHERE source = 'src6' AND lang = 'de'
     UNION ALL SELECT doc_id::VARCHAR, 'mismatch', 'n_chars', n_chars::VARCHAR, (n_chars + 5)::VARCHAR FROM d WHERE source = 'src7' AND lang = 'de'
     UNION ALL SELECT doc_id::VARCHAR, 'mismatch', 'n_chars', n_chars::VARCHAR, (n_chars + 1)::VARCHAR FROM d WHERE lang = 'es'
-    UNION ALL SELECT doc_id::VARCHAR, 'mismatch', 'lang', lang, NULL FROM d WHERE source = 'src9' AND lang = 'fr'""",
-)
-def verify_copy(spark, sf):
+    UNION ALL SELECT doc_id::VARCHAR, 'mismatch', 'lang', lang, NULL FROM d WHERE source = 'src9' AND lang = 'fr'"""
+
+
+def _compared(spark, sf) -> tuple:
+    """A source, its copy with findings of all kinds, and the excluded ids."""
     source = docs(spark, sf).select(F.col("id").cast("string").alias("id"), "source", "lang", "n_chars")
     copy = source.filter(~((F.col("source") == "src3") & (F.col("lang") == "en"))).withColumns(
         {
@@ -537,6 +578,17 @@ def verify_copy(spark, sf):
         F.lit("xx").alias("lang"), F.length("html").cast("bigint").alias("n_chars"),
     )
     excluded = doc_manual(spark, sf).select(F.col("id").cast("string").alias("id"))
-    return verify.verify_copy(
-        source.unionByName(twice), copy.unionByName(again).unionByName(other).unionByName(pages), "id", ["source", "lang", "n_chars"], excluded
-    )
+    return source.unionByName(twice), copy.unionByName(again).unionByName(other).unionByName(pages), excluded
+
+
+@query("verify_copy", _FINDINGS)
+def verify_copy(spark, sf):
+    source, copy, excluded = _compared(spark, sf)
+    return verify.verify_copy(source, copy, "id", ["source", "lang", "n_chars"], excluded)
+
+
+@query("verify_ranges", _FINDINGS)
+def verify_ranges(spark, sf):
+    """The same findings through digests of key ranges."""
+    source, copy, excluded = _compared(spark, sf)
+    return verify.verify_ranges(source, copy, "id", ["source", "lang", "n_chars"], excluded)

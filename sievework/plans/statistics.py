@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sievework.operators import ids, index, ordering, sample, stats
+from sievework.operators import card, curate, ids, index, ordering, sample, stats
 from sievework.operators.quantiles import exact_quantiles
 from sievework.plans.registry import query
 from sievework.plans.views import IMG, img
@@ -336,3 +336,51 @@ def dataset_card(spark, sf):
         piped(F.concat_ws(" × ", F.col("width").cast("string"), F.col("height").cast("string")), whole("n")).alias("line"),
     )
     return head.unionByName(categories).unionByName(sizes)
+
+
+_CONSTANTS = ["width", "model", "seed"]
+
+
+@query(
+    "dataset_card_facts",
+    f"""WITH {IMG}, c AS (SELECT *, CASE WHEN k = 13 THEN 'manual' WHEN nsfw_prob >= 0.7 THEN 'nsfw' ELSE 'kept' END AS class FROM img),
+    r AS (SELECT * FROM c WHERE class = 'kept'),
+    per AS (SELECT user_id, count(*) AS n, quantile_cont(score, 0.1) AS p10, quantile_cont(score, 0.9) AS p90 FROM r GROUP BY user_id),
+    cat AS (SELECT category, count(*) AS n, count(DISTINCT user_id) AS m, quantile_cont(score, 0.5) AS med FROM r GROUP BY category),
+    sz AS (SELECT width, height, count(*) AS n FROM r GROUP BY width, height),
+    v AS (SELECT * FROM r WHERE pipeline_version = 2),
+    f AS (SELECT arg_min(width::VARCHAR, id) AS width, arg_min(model, id) AS model, arg_min(event_id::VARCHAR, id) AS seed,
+      count(DISTINCT width) = 1 AS one_width, count(DISTINCT model) = 1 AS one_model, count(DISTINCT event_id) = 1 AS one_seed FROM v),
+    x(block, rank, label, n, m, value) AS (
+      SELECT 'head', 1, 'rows', count(*), NULL::BIGINT, NULL::DOUBLE FROM r
+      UNION ALL SELECT 'head', 2, 'prompts', count(DISTINCT user_id), NULL, NULL FROM r
+      UNION ALL SELECT 'head', 3, 'main recipe', count(*), NULL, NULL FROM v
+      UNION ALL SELECT 'head', 4, 'captions', count(caption), NULL, NULL FROM r
+      UNION ALL SELECT 'days', 1, min(created_at)[:10], NULL, NULL, NULL FROM r
+      UNION ALL SELECT 'days', 2, max(created_at)[:10], NULL, NULL, NULL FROM r
+      UNION ALL SELECT 'seeds', 1, 'least', min(n), NULL, NULL FROM per
+      UNION ALL SELECT 'seeds', 2, 'median', CAST(trunc(quantile_cont(n, 0.5)) AS BIGINT), NULL, NULL FROM per
+      UNION ALL SELECT 'seeds', 3, 'most', max(n), NULL, NULL FROM per
+      UNION ALL SELECT 'spread', 1, 'prompts', count(*), NULL, quantile_cont(p90 - p10, 0.5) FROM per WHERE n >= 20
+      UNION ALL SELECT 'category', row_number() OVER (ORDER BY n DESC, category), category, n, m, med FROM cat
+      UNION ALL SELECT 'size', row_number() OVER (ORDER BY n DESC, width, height), width || 'x' || height, n, NULL, NULL FROM sz
+      UNION ALL SELECT 'recipe', 1, 'width=' || width, one_width::BIGINT, NULL, NULL FROM f
+      UNION ALL SELECT 'recipe', 2, 'model=' || model, one_model::BIGINT, NULL, NULL FROM f
+      UNION ALL SELECT 'recipe', 3, 'seed=' || seed, one_seed::BIGINT, NULL, NULL FROM f
+      UNION ALL SELECT 'files', 1, 'shards', CAST(ceil(count(*) / 500.0) AS BIGINT), NULL, sum(bytes) / pow(2, 30) FROM r
+      UNION ALL SELECT 'removed', 1, 'no_sidecar', 0, NULL, NULL
+      UNION ALL SELECT 'removed', 2, 'not_scored', 0, NULL, NULL
+      UNION ALL SELECT 'removed', 3, 'nsfw', count(*) FILTER (class = 'nsfw'), NULL, 0.7 FROM c
+      UNION ALL SELECT 'removed', 4, 'manual', count(*) FILTER (class = 'manual'), NULL, NULL FROM c)
+    SELECT block, CAST(rank AS BIGINT) AS rank, label, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(value, 6) AS value FROM x""",
+)
+def dataset_card_facts(spark, sf):
+    """All blocks of the card of a build that leaves out a manual list and what scores above a threshold."""
+    rows = img(spark, sf).withColumn("prompt_id", F.col("user_id")).withColumn("seed", F.col("event_id"))
+    scores = rows.select("id", F.col("score").alias("laion_aesthetic"), "nsfw_prob")
+    classified = curate.exclusion_class(rows.select("id"), rows.select("id"), scores, rows.filter("k = 13").select("id"), 0.7)
+    kept = rows.join(classified.filter("class = 'kept'").select("id"), "id")
+    manifest = ids.shard_assign(kept.select("id")).join(kept.select("id", "bytes"), "id").groupBy("shard").agg(F.sum("bytes").alias("bytes"))
+    report = curate.build_report(classified, kept.select("prompt_id").distinct(), manifest, 0.7)
+    facts = card.dataset_card(kept, report, F.col("pipeline_version") == 2, _CONSTANTS)
+    return facts.withColumn("value", F.round("value", 6))
