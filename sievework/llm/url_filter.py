@@ -120,14 +120,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> Iterator[tuple[int, int, str]]:
-    """(length, host length, rule) of every rule that could fit, for the path lengths that rules have."""
-    labels = host.split(".")
-    for i in range(len(labels)):
-        suffix = ".".join(labels[i:])
+def candidates(host: str, path: str, lengths: list[int], longest: int) -> Iterator[tuple[int, int, str]]:
+    """(length, host length, rule) of every rule that could fit, for the path lengths that rules have.
+
+    Hosts are cut from the end, up to the length of the longest host of a rule, however long they are.
+    """
+    at = len(host)
+    while at >= 0:
+        at = host.rfind(".", max(0, len(host) - longest - 1), at)
+        size = len(host) - at - 1
+        if size > longest:
+            return
+        suffix = host[at + 1 :]
         for n in lengths:
             if n <= len(path):
-                yield len(suffix) + n, len(suffix), suffix + path[:n]
+                yield size + n, size, suffix + path[:n]
 
 
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -142,6 +149,7 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     spark = pages.sparkSession
     known = rules.filter("host IS NOT NULL AND path IS NOT NULL AND verdict IN ('allow', 'block')")
     lengths = sorted(r["n"] for r in known.select(F.length("path").alias("n")).distinct().collect())
+    longest = known.agg(F.coalesce(F.max(F.length("host")), F.lit(0)).alias("n")).first()["n"]
     keys = freeze(known.select(F.concat(F.substring("verdict", 1, 1), F.translate("host", UPPER, LOWER), "path").alias("key")).distinct())
     parts = -(-bits_for(keys.count()) // (8 * most_bytes))
     rows = pages.select(pages[key].alias("k"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
@@ -157,7 +165,7 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
             def run(tuples: Iterator[tuple]) -> Iterator[tuple]:
                 seen: set[str] = set()
                 for host, path in tuples:
-                    for _, _, rule in candidates(host, path, lengths):
+                    for _, _, rule in candidates(host, path, lengths, longest):
                         for asked in ("a" + rule, "b" + rule):
                             if asked not in seen and asked in sent.value:
                                 if len(seen) >= _SEEN:
@@ -171,7 +179,7 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
 
         def run(tuples: Iterator[tuple], levels=levels) -> Iterator[tuple]:
             for k, host, path, rule, size, wide, mark in tuples:
-                for n, w, found in sorted(candidates(host, path, lengths), reverse=True):
+                for n, w, found in sorted(candidates(host, path, lengths, longest), reverse=True):
                     if (n, w) < (size, wide):
                         break
                     hit = next((m for m in "ba" if listed(levels.value, m + found)), None)

@@ -176,6 +176,7 @@ def odd_pages(spark):
         None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y", "https://www.example.com/en/", "https://a.b.example.com/en/1#t", "https://example.com/de",
         "ftp://x.net/es/1", "http://x.net/fr", "http://x.net/fr/", "http://net/es/", "http://xnet/es/", "http://com", "http://com?x/", "http://a.com/://b.net/es/",
         "x\n://q.net/fr/\nz", "http://é.COM/É", "http://.com/", "http://com./", "http://user:pw@b.com:80/p",
+        "http://" + "a." * 500_000 + "example.com/en/x", "http://" + "x" * 1_000_000 + ".net/es/1", "http://" + "y" * 1_000_000,
     ]
     rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)] + [(5, urls[5], "<p>5</p>"), (None, urls[4], None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
