@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -394,6 +395,36 @@ def test_curriculum_odd_rows(spark):
     assert {r.taken for r in curriculum.mix(blank, "doc_id", "text", "source").collect()} == {0}
 
 
+@pytest.mark.parametrize("keys", ["distinct", "half null", "few", "all null"])
+def test_every_row_has_a_plan_of_its_own(spark, keys):
+    rng = random.Random(6)
+    key_of = {"distinct": lambda i: i, "half null": lambda i: None if i % 2 else i, "few": lambda i: i % 3, "all null": lambda i: None}[keys]
+    # Equal rows among them.
+    rows = [(key_of(i), "w " * rng.choice([0, 1, 5, 9, 9, 20]), f"s{i % 3}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("n", "k", "t", "s", "key_", "row_")})
+    placed = curriculum.in_order(df.repartition(4), "doc_id", "text", "source")
+    assert placed.columns == df.columns
+    taken, words = Counter(), Counter()
+    for r in placed.collect():
+        taken[r.source] += len(r.text.split())
+        words[(r.doc_id, r.text, r.source)] += 1
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    asked = 1.5 * sum(sizes.values())
+    targets, open_ = {}, dict(zip(sorted(sizes), (3, 1, 2)))
+    while open_:
+        shares = {s: asked * w / sum(open_.values()) for s, w in open_.items()}
+        over = [s for s in open_ if shares[s] > 2 * sizes[s]]
+        for s in over or list(open_):
+            targets[s] = 2 * sizes[s] if over else shares[s]
+            open_.pop(s)
+        asked -= sum(targets[s] for s in over)
+    assert all(abs(taken[s] - targets[s]) <= 20 for s in sizes), (taken, targets)
+    copies = Counter(rows)
+    assert all(n <= 2 * copies[row] for row, n in words.items())
+
+
 def test_schedules_must_have_an_area():
     for bad in (((0, 1), (0.5, 1)), ((0, 0), (1, 0)), ((0, 1), (1, -1))):
         with pytest.raises(ValueError):
