@@ -5,8 +5,11 @@ terms together, so an insult next to the mention of a group can count for more t
 Terms are words and the beginnings of words, which inflected and compound forms have in common.
 
 Training reads a bounded sample of labelled rows (`SAMPLE`), drawn by a hash of the key, and keeps
-the `TERMS` hash values that tell the labels apart best, of those that do so by more than `GAIN`;
-all are parameters, so model and training have a bounded size whatever the input. Every whole text is then scored in place, without a shuffle.
+the `TERMS` hash values that tell the label 1 best, of those that do so by more than `GAIN`. Terms
+that tell nothing alone enter by pairs: of the `FREQUENT` most frequent terms, those in a pair whose
+four cases (both, one, the other, none) tell the labels apart by `PAIR_GAIN` more than its two terms
+do. All are parameters, so model and training have a bounded size whatever the input. Every whole
+text is then scored in place, without a shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ FACTORS = 8
 THRESHOLD = 0.3
 # Least log-likelihood ratio of a term; chance alone seldom gives more.
 GAIN = 3.5
+# Terms whose pairs are looked at, and the least that a pair adds to its terms; among all their pairs
+# chance hardly ever gives more.
+FREQUENT = 512
+PAIR_GAIN = 16.0
 _STEPS = 2500
 _BATCH = 128
 _RATE = 0.02
@@ -119,6 +126,38 @@ def fit(rows: list[tuple[list[int], int]], places: dict[int, int], factors: int
     return Model(places, float(theta[0][0]), theta[1], theta[2], bits)
 
 
+def _told(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """What a case tells: sum of x ln(x / expected) over both labels, for rows in it per label."""
+    both = ones + zeros
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(x > 0, x * np.log(x * (n0 + n1) / (both * max(n, 1))), 0.0) for x, n in ((ones, n1), (zeros, n0))]
+    return parts[0] + parts[1]
+
+
+def telling_pairs(rows: list[tuple[list[int], int]], terms: list[int], gain: float = PAIR_GAIN) -> list[int]:
+    """Of `terms`, those in a pair that tells the labels apart by `gain` more than its two terms do."""
+    if len(terms) < 2 or not rows:
+        return []
+    place = {h: i for i, h in enumerate(terms)}
+    n = {y: sum(1 for _, label in rows if label == y) for y in (0, 1)}
+    alone, joint = {}, {}
+    for y in (0, 1):
+        own = [found for found, label in rows if label == y]
+        together = np.zeros((len(terms), len(terms)))
+        for start in range(0, len(own), 2048):
+            x = np.zeros((len(own[start : start + 2048]), len(terms)), np.float32)
+            for r, found in enumerate(own[start : start + 2048]):
+                x[r, [place[h] for h in found if h in place]] = 1
+            together += x.T @ x
+        joint[y], alone[y] = together, together.diagonal()
+    cells = {y: [joint[y], alone[y][:, None] - joint[y], alone[y][None, :] - joint[y], n[y] - alone[y][:, None] - alone[y][None, :] + joint[y]] for y in (0, 1)}
+    pair = sum(_told(a, b, n[1], n[0]) for a, b in zip(cells[1], cells[0]))
+    single = _told(alone[1], alone[0], n[1], n[0]) + _told(n[1] - alone[1], n[0] - alone[0], n[1], n[0])
+    more = pair - single[:, None] - single[None, :]
+    np.fill_diagonal(more, 0)
+    return [terms[i] for i in np.flatnonzero((more >= gain).any(axis=1))]
+
+
 def held_out(key: Column) -> Column:
     """Rows whose labels are never learned."""
     return F.crc32(key.cast("string")) % 4 == 2
@@ -126,13 +165,14 @@ def held_out(key: Column) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
-    sample: int = SAMPLE, terms: int = TERMS, bits: int = BITS,
+    sample: int = SAMPLE, terms: int = TERMS, bits: int = BITS, frequent: int = FREQUENT,
 ) -> Model:
     """A model from the labelled rows that are not held out, at most about `sample` of them.
 
     A key with several labels has the largest; null labels and keys are no labels. Both tables are
     thinned by the same hash before they meet, so only sampled texts are shuffled. Terms
-    that come more often with the label 1 are ranked by the likelihood ratio of their counts.
+    that come more often with the label 1 are ranked by the likelihood ratio of their counts; of the
+    `frequent` most frequent terms those join them that tell in a pair.
     """
     known = labels.filter(labels[key].isNotNull() & labels[label].isNotNull() & ~held_out(labels[key]))
     count = known.agg(F.count("*")).first()[0]
@@ -162,11 +202,16 @@ def train(
         return F.when(x > 0, x * F.log(x * (n0 + n1) / ((F.col("a") + F.col("b")) * max(of, 1)))).otherwise(0.0)
 
     best = per.filter(F.col("a") * max(n0, 1) > F.col("b") * max(n1, 1)).withColumn("gain", ratio(F.col("a"), n1) + ratio(F.col("b"), n0)).filter(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "h").limit(terms)
-    places = {r["h"]: i for i, r in enumerate(best.select("h").collect())}
-    kept = F.array_intersect("terms", F.array(*[F.lit(h) for h in places])) if places else F.array().cast("array<int>")
-    rows = [([places[h] for h in r["terms"]], r["y"]) for r in hashed.select(F.array_sort(kept).alias("terms"), "y").orderBy("terms", "y").toLocalIterator()]
+    telling = [r["h"] for r in best.select("h").collect()]
+    often = [r["h"] for r in per.orderBy(F.desc(F.col("a") + F.col("b")), "h").limit(frequent).collect()]
+    known = sorted({*telling, *often})
+    kept = F.array_intersect("terms", F.array(*[F.lit(h) for h in known])) if known else F.array().cast("array<int>")
+    rows = [(list(r["terms"]), r["y"]) for r in hashed.select(F.array_sort(kept).alias("terms"), "y").orderBy("terms", "y").toLocalIterator()]
     hashed.unpersist()
-    return fit(rows, places, bits=bits)
+    chosen = set(telling)
+    places = {h: i for i, h in enumerate([*telling, *(h for h in telling_pairs(rows, often) if h not in chosen)])}
+    found = sorted(([h for h in terms if h in places], y) for terms, y in rows)
+    return fit([([places[h] for h in terms], y) for terms, y in found], places, bits=bits)
 
 
 def score(docs: DataFrame, key: str, text: str, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -218,6 +218,45 @@ def test_pairs_of_terms_are_learned():
     assert [model.score(s) > 0.5 for s in ([], [0], [1], [0, 1])] == [False, True, True, False]
 
 
+@pytest.mark.parametrize("told", ["one of two", "both"])
+def test_labels_that_only_a_pair_tells_are_learned(spark, told):
+    """Each of the two words alone says nothing (or little); the rest is noise."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"noise{rng.randrange(300)}" for _ in range(12)] + ["river"] * a + ["candle"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(a != b if told == "one of two" else a and b)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known, "doc_id", "text", "toxic")
+    scored = [r for r in toxicity.score(docs, "doc_id", "text", model, 0.5).collect() if r.held_out]
+    right = sum(r.predicted == labels[r.doc_id][1] for r in scored) / len(scored)
+    assert len(scored) > 500 and right > 0.9, right
+
+
+def test_pairs_that_tell_nothing_stay_out():
+    rng = random.Random(3)
+    rows = [(sorted(rng.sample(range(60), 12)), rng.randrange(2)) for _ in range(4000)]
+    assert toxicity.telling_pairs(rows, list(range(60))) == []
+    # Terms that come together and tell the same are no pair that tells more.
+    rows = [([0, 1] if y else [2], y) for _, y in rows]
+    assert toxicity.telling_pairs(rows, [0, 1, 2]) == [] == toxicity.telling_pairs(rows, [0]) == toxicity.telling_pairs([], [0, 1])
+
+
+def test_toxicity_scores_are_those_of_all_pairs(spark, sf_dir):
+    """The score of whole texts by a plain sum over terms and pairs of terms."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for row in toxicity.score(docs, "doc_id", "text", model).collect():
+        found = sorted({model.places[h] for w in set(re.findall(r"[^\W_]+", (texts[row.doc_id] or "").lower())) for h in toxicity.terms_of(w) if h in model.places})
+        z = model.bias + sum(model.weights[i] for i in found)
+        z += sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(found) for j in found[n + 1 :])
+        assert row.score == pytest.approx(1 / (1 + math.exp(-max(-35.0, min(35.0, z)))), abs=1e-9)
+
+
 def test_toxicity_odd_rows(spark):
     df = odd.documents(spark)
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (6, 0), (4, 0), (7, 0)], "doc_id long, toxic int")
