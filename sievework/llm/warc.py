@@ -33,6 +33,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
+# Archive bytes that a reading task is given.
+TASK_BYTES = 16 << 20
 INDEX = "file string, offset bigint, length bigint, url string, digest string, page_id bigint, record_type string"
 READ = "page_id bigint, url string, record_type string, refers_id bigint, payload_bytes bigint, digest string"
 
@@ -142,8 +144,8 @@ def merged(rows: list[tuple[int, int]], gap: int = GAP, most: int = RANGE) -> It
 def read(index: DataFrame, folder: str) -> DataFrame:
     """The records of the index rows as they are in the archives: see `READ`.
 
-    Index rows are sorted by place over the cluster, so each task reads its files front to back.
-    Payloads of responses are checked against their digest; revisits carry no payload here.
+    Index rows are sorted by place over the cluster, so each task reads its files front to back; there
+    are as many tasks as the records' bytes ask for, at `TASK_BYTES` each. Payloads of responses are checked against their digest; revisits carry no payload here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["page_id", "url", "record_type", "refers_id", "payload_bytes", "digest"])
                 at = end
 
-    placed = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = -(-total // TASK_BYTES) or 1
+    placed = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(run, READ)
 
 
