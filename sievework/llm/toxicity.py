@@ -134,28 +134,22 @@ def _told(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return parts[0] + parts[1]
 
 
-def telling_pairs(rows: list[tuple[list[int], int]], terms: list[int], gain: float = PAIR_GAIN) -> list[int]:
-    """Of `terms`, those in a pair that tells the labels apart by `gain` more than its two terms do."""
-    if len(terms) < 2 or not rows:
-        return []
-    place = {h: i for i, h in enumerate(terms)}
-    n = {y: sum(1 for _, label in rows if label == y) for y in (0, 1)}
-    alone, joint = {}, {}
+def telling_pairs(held: np.ndarray, labels: np.ndarray, gain: float = PAIR_GAIN) -> np.ndarray:
+    """Terms (columns of `held`) in a pair that tells the labels (0 or 1, by row) apart by `gain` more than its two terms do."""
+    n = {y: int((labels == y).sum()) for y in (0, 1)}
+    joint = {}
     for y in (0, 1):
-        own = [found for found, label in rows if label == y]
-        together = np.zeros((len(terms), len(terms)))
+        own, joint[y] = held[labels == y], np.zeros((held.shape[1], held.shape[1]))
         for start in range(0, len(own), 2048):
-            x = np.zeros((len(own[start : start + 2048]), len(terms)), np.float32)
-            for r, found in enumerate(own[start : start + 2048]):
-                x[r, [place[h] for h in found if h in place]] = 1
-            together += x.T @ x
-        joint[y], alone[y] = together, together.diagonal()
+            x = own[start : start + 2048].astype(np.float32)
+            joint[y] += x.T @ x
+    alone = {y: joint[y].diagonal() for y in (0, 1)}
     cells = {y: [joint[y], alone[y][:, None] - joint[y], alone[y][None, :] - joint[y], n[y] - alone[y][:, None] - alone[y][None, :] + joint[y]] for y in (0, 1)}
     pair = sum(_told(a, b, n[1], n[0]) for a, b in zip(cells[1], cells[0]))
     single = _told(alone[1], alone[0], n[1], n[0]) + _told(n[1] - alone[1], n[0] - alone[0], n[1], n[0])
     more = pair - single[:, None] - single[None, :]
     np.fill_diagonal(more, 0)
-    return [terms[i] for i in np.flatnonzero((more >= gain).any(axis=1))]
+    return np.flatnonzero((more >= gain).any(axis=1))
 
 
 def held_out(key: Column) -> Column:
@@ -204,13 +198,23 @@ def train(
     best = per.filter(F.col("a") * max(n0, 1) > F.col("b") * max(n1, 1)).withColumn("gain", ratio(F.col("a"), n1) + ratio(F.col("b"), n0)).filter(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "h").limit(terms)
     telling = [r["h"] for r in best.select("h").collect()]
     often = [r["h"] for r in per.orderBy(F.desc(F.col("a") + F.col("b")), "h").limit(frequent).collect()]
-    known = sorted({*telling, *often})
-    kept = F.array_intersect("terms", F.array(*[F.lit(h) for h in known])) if known else F.array().cast("array<int>")
-    rows = [(list(r["terms"]), r["y"]) for r in hashed.select(F.array_sort(kept).alias("terms"), "y").orderBy("terms", "y").toLocalIterator()]
+    told, slot = set(telling), {h: i for i, h in enumerate(often)}
+
+    def marked(tuples: Iterator[tuple]) -> Iterator[tuple]:
+        for found, y in tuples:
+            flags = np.zeros(len(often), bool)
+            flags[[slot[h] for h in found if h in slot]] = True
+            yield [h for h in found if h in told], y, np.packbits(flags).tobytes()
+
+    # A row is its telling terms and a bit for each frequent one.
+    drawn = map_rows(hashed, ["terms", "y"], "terms array<int>, y int, bits binary", marked, 512).orderBy("terms", "y", "bits")
+    rows = [(list(r["terms"]), r["y"], bytes(r["bits"])) for r in drawn.toLocalIterator()]
     hashed.unpersist()
-    chosen = set(telling)
-    places = {h: i for i, h in enumerate([*telling, *(h for h in telling_pairs(rows, often) if h not in chosen)])}
-    found = sorted(([h for h in terms if h in places], y) for terms, y in rows)
+    packed = np.frombuffer(b"".join(bits for _, _, bits in rows), np.uint8).reshape(len(rows), -(-len(often) // 8))
+    held = np.unpackbits(packed, axis=1, count=len(often)).astype(bool)
+    added = [i for i in telling_pairs(held, np.array([y for _, y, _ in rows], int)).tolist() if often[i] not in told]
+    places = {h: i for i, h in enumerate([*telling, *(often[i] for i in added)])}
+    found = sorted((sorted([*terms, *(often[i] for i in added if own[i])]), y) for (terms, y, _), own in zip(rows, held))
     return fit([([places[h] for h in terms], y) for terms, y in found], places, bits=bits)
 
 

@@ -237,12 +237,15 @@ def test_labels_that_only_a_pair_tells_are_learned(spark, told):
 
 
 def test_pairs_that_tell_nothing_stay_out():
-    rng = random.Random(3)
-    rows = [(sorted(rng.sample(range(60), 12)), rng.randrange(2)) for _ in range(4000)]
-    assert toxicity.telling_pairs(rows, list(range(60))) == []
-    # Terms that come together and tell the same are no pair that tells more.
-    rows = [([0, 1] if y else [2], y) for _, y in rows]
-    assert toxicity.telling_pairs(rows, [0, 1, 2]) == [] == toxicity.telling_pairs(rows, [0]) == toxicity.telling_pairs([], [0, 1])
+    rng = np.random.default_rng(3)
+    held, labels = rng.random((4000, 60)) < 0.2, rng.integers(0, 2, 4000)
+    assert toxicity.telling_pairs(held, labels).tolist() == []
+    # Terms that come together and tell the same are no pair that tells more; two that tell together are.
+    same = np.stack([labels == 1, labels == 1, labels == 0], axis=1)
+    assert toxicity.telling_pairs(same, labels).tolist() == []
+    assert toxicity.telling_pairs(held, (held[:, 4] ^ held[:, 9]).astype(int)).tolist() == [4, 9]
+    for rows, terms in ((0, 3), (5, 1), (5, 0)):
+        assert toxicity.telling_pairs(np.zeros((rows, terms), bool), np.zeros(rows, int)).tolist() == []
 
 
 def test_toxicity_scores_are_those_of_all_pairs(spark, sf_dir):
@@ -267,6 +270,9 @@ def test_toxicity_odd_rows(spark):
         kept = toxicity.accept(df, "text", model)
         assert kept.schema == df.schema and kept.count() == sum(1 - r.predicted for r in got)
     assert toxicity.score(odd.empty(df), "doc_id", "text", model).count() == 0
+    # Labels without documents, and documents without a term.
+    assert toxicity.train(odd.empty(df), labels, "doc_id", "text", "toxic").places == {}
+    assert toxicity.train(df.filter("text IS NULL OR doc_id = 4"), labels, "doc_id", "text", "toxic").places == {}
 
 
 # SimHash
