@@ -70,12 +70,14 @@ def plan_build(
 def identified(payloads: DataFrame, images: DataFrame | PayloadFiles) -> DataFrame:
     """(id, payload): what tells whether a payload is the same as in an earlier build.
 
-    The digest of its bytes where they come as a table; for files their length and time of change,
-    as far as `payloads` has them.
+    For files their length and time of change, as far as `payloads` has them; for tables the digest
+    of `content`, the payload before it is encoded, or of the image itself where there is none.
     """
     if isinstance(images, PayloadFiles):
         known = [F.col(c).cast("string") for c in ("length", "mtime") if c in payloads.columns]
         return payloads.select("id", F.concat_ws(" ", *known).alias("payload"))
+    if "content" in payloads.columns:
+        return payloads.select("id", F.md5("content").alias("payload"))
     return images.select("id", F.concat_ws(" ", F.md5("image.bytes"), "image.path").alias("payload"))
 
 
@@ -118,8 +120,10 @@ def publish(
     The manifest has (shard, rows, bytes, fingerprint, file, action): the shard's published name, its
     file in `data/`, and whether it was written (`rebuild`) or found (`reuse`). `images` is a table
     (id, image), whose bytes are shuffled to their shards, or a `PayloadFiles`, whose files are read
-    by the task that writes the shard; only rows of shards to be written are moved. `settings`
-    names what else the files depend on (the encoder and its options): another name rebuilds all.
+    by the task that writes the shard; only rows of shards to be written are moved. `payloads` may
+    have what identifies them (see `identified`); with `content` the images are made from it, and
+    only those of shards to be written are. `settings` names what else the files depend on (the
+    encoder and its options): another name rebuilds all.
     The `keep` newest builds stay readable; files that only older ones want are removed.
     """
     spark, name = payloads.sparkSession, uuid.uuid4().hex

@@ -133,8 +133,8 @@ def test_only_changed_shards_are_written(spark, tmp_path):
     names, payloads, sidecars, scores, manual = build_inputs(spark)
     folder = str(tmp_path / "set")
 
-    def run(side=sidecars, images=None, **more):
-        manifest = publish.publish(payloads, side, scores, manual, image_table(payloads) if images is None else images, folder, **more)
+    def run(side=sidecars, own=payloads, **more):
+        manifest = publish.publish(own, side, scores, manual, image_table(own), folder, **more)
         return {r["shard"][6:11]: (r["action"], r["file"]) for r in manifest.collect()}
 
     def times():
@@ -148,16 +148,19 @@ def test_only_changed_shards_are_written(spark, tmp_path):
     assert {a for a, _ in again.values()} == {"reuse"} and times() == before
     # Two rows of the second shard have another sidecar, and one payload of the third another content.
     side = sidecars.withColumn("raw", F.when(F.col("id").isin(names[600], names[700]), F.regexp_replace("raw", '"seed": \\d+', '"seed": 7')).otherwise(F.col("raw")))
-    images = image_table(payloads.withColumn("content", F.when(F.col("id") == names[1100], F.lit(b"other")).otherwise(F.col("content"))))
+    own = payloads.withColumn("content", F.when(F.col("id") == names[1100], F.lit(b"other")).otherwise(F.col("content")))
     assert {k: a for k, (a, _) in run(side).items()} == {"00000": "reuse", "00001": "rebuild", "00002": "reuse"}
-    changed = run(side, images)
+    changed = run(side, own)
     assert {k: a for k, (a, _) in changed.items()} == {"00000": "reuse", "00001": "reuse", "00002": "rebuild"}
     now = times()
     assert all(now[n] == before[n] for n in now if n in before) and now[first["00000"][1]] == before[first["00000"][1]]
     seeds = {r["id"]: (r["seed"], bytes(r["image"]["bytes"])) for r in readers.open_build(spark, folder)[0].select("id", "seed", "image").collect()}
     assert seeds[names[600]] == (7, names[600].encode()) and seeds[names[1100]] == (1100, b"other")
+    # Without their raw content, payloads are told by the images.
+    bare = publish.identified(payloads.select("id"), image_table(payloads))
+    assert bare.select("payload").distinct().count() == len(names) and publish.identified(payloads, image_table(payloads)).count() == len(names)
     # Another encoder changes every file.
-    assert {a for a, _ in run(side, images, settings="v2").values()} == {"rebuild"}
+    assert {a for a, _ in run(side, own, settings="v2").values()} == {"rebuild"}
 
 
 def test_a_build_that_breaks_off_never_shows_and_is_taken_up(spark, tmp_path):
