@@ -269,7 +269,8 @@ def payload_transform(spark, sf):
 
 
 def _stream(spark, sf, name: str) -> DataFrame:
-    return feeds.record_stream(spark, sf, table(spark, sf, name).schema, pattern=f"{name}.parquet")
+    # A glob of one alternative: a stream's path may be a file only as a glob, and a folder of parts fits it as well.
+    return feeds.record_stream(spark, f"{sf}/{{{name}}}.parquet", table(spark, sf, name).schema, pattern="*")
 
 
 def _feed_columns(events: DataFrame) -> DataFrame:
