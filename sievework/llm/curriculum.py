@@ -100,7 +100,8 @@ def mix(
     at the end of the last pass may be taken in part. Null sources form one source, null keys are
     keys, ties of key and size share what falls on them. No rows give no rows.
     """
-    sized = docs.select(docs[key].alias("k"), docs[source].alias("source"), word_count(docs[text]).alias("size"))
+    # Written before it is range-sorted: the sort reads its input twice, and words are counted once.
+    sized = freeze(docs.select(docs[key].alias("k"), docs[source].alias("source"), word_count(docs[text]).alias("size")))
     order = [F.col("source").asc_nulls_last(), F.xxhash64("k"), F.col("k"), F.col("size")]
     rows = freeze(running_sums(sized, order, {"run": F.col("size")}))
     spans = freeze(rows.groupBy("source").agg(F.min(F.col("run") - F.col("size")).alias("start"), F.sum("size").alias("source_size")))
@@ -121,6 +122,24 @@ def mix(
     return joined.select(F.col("k").alias(key), "size", "source_size", "target", taken.alias("taken"), *passes, *times)
 
 
+def placed(mixed: DataFrame, key: str, cap: int = CAP) -> DataFrame:
+    """Adds place_1, place_2, ... to the rows of `mix`: where in training each pass of a document comes, from 0.
+
+    The passes of all sources are range-sorted by their times, which merges the sources as their
+    schedules ask for them; equal times follow a hash of the key. Null where a pass takes nothing.
+    """
+    row, turn, place = unused(mixed, "row_", "turn_", "at_")
+    passes = F.array(*[F.struct(F.col(f"time_{n}").alias("time"), F.lit(n).alias("n")) for n in range(1, cap + 1)])
+    turns = mixed.withColumn(row, F.monotonically_increasing_id()).withColumn(turn, F.explode_outer(F.filter(passes, lambda p: p["time"].isNotNull())))
+    # Rows without a turn come last, so they move no place.
+    order = [F.col(f"{turn}.time").asc_nulls_last(), F.xxhash64(key), *[F.col(c) for c in (key, "size", "source_size", "target", f"{turn}.n", row)]]
+    sorted_ = ordered_positions(turns, order, place)
+    return sorted_.groupBy(row).agg(
+        *[F.any_value(c).alias(c) for c in mixed.columns],
+        *[F.max(F.when(F.col(f"{turn}.n") == n, F.col(place))).alias(f"place_{n}") for n in range(1, cap + 1)],
+    ).drop(row)
+
+
 def in_order(
     docs: DataFrame, key: str, text: str, source: str,
     schedules: Sequence[Schedule] = SCHEDULES, share: float = SHARE, cap: int = CAP,

@@ -45,7 +45,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_curriculum")
 def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return curriculum.placed(curriculum.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source"), "doc_id")
 
 
 @query("op4_toxicity")

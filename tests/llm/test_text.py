@@ -474,3 +474,21 @@ def test_schedules_must_have_an_area():
     for bad in (((0, 1), (0.5, 1)), ((0, 0), (1, 0)), ((0, 1), (1, -1))):
         with pytest.raises(ValueError):
             curriculum.check([bad])
+
+
+def test_curriculum_query_sorts_by_training_position(spark, sf_dir, docs):
+    rows = QUERIES["op8_curriculum"](spark, sf_dir).collect()
+    turns = sorted((p, t) for r in rows for p, t in ((r.place_1, r.time_1), (r.place_2, r.time_2)) if t is not None)
+    assert turns and [p for p, _ in turns] == list(range(len(turns)))
+    assert [t for _, t in turns] == sorted(t for _, t in turns)
+    assert all((r.place_1 is None) == (r.time_1 is None) and (r.place_2 is None) == (r.time_2 is None) for r in rows)
+
+
+def test_curriculum_places_of_odd_rows(spark):
+    df = odd.documents(spark)
+    placed = curriculum.placed(curriculum.mix(df, "doc_id", "text", "source"), "doc_id")
+    rows = placed.collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in df.collect())
+    places = sorted(p for r in rows for p in (r.place_1, r.place_2) if p is not None)
+    assert places == list(range(sum(1 for r in rows for t in (r.time_1, r.time_2) if t is not None)))
+    assert curriculum.placed(curriculum.mix(odd.empty(df), "doc_id", "text", "source"), "doc_id").count() == 0
