@@ -28,6 +28,10 @@ from sievework.sources.sinks import ShardSource, packed, save
 from sievework.sources.writers import remove_files, shard_name, write_metadata, write_report
 
 
+# Shards that a task writes one after the other, once there are several for each core.
+SHARDS_PER_TASK, TASKS_PER_CORE = 16, 4
+
+
 @dataclass
 class PayloadFiles:
     """Payloads as `<id>.png` in a shared folder, with the encoder to apply."""
@@ -81,6 +85,15 @@ def identified(payloads: DataFrame, images: DataFrame | PayloadFiles) -> DataFra
     return images.select("id", F.concat_ws(" ", F.md5("image.bytes"), "image.path").alias("payload"))
 
 
+def writing_tasks(shards: int, cores: int) -> int:
+    """Into how many tasks the shards to be written are dealt.
+
+    A task for each would have Spark start more tasks than it has files to write at once, and fetch
+    blocks that grow with the square of the build: every task from every one before it.
+    """
+    return min(shards, max(TASKS_PER_CORE * cores, -(-shards // SHARDS_PER_TASK)))
+
+
 def wanted_shards(build: Build, payloads: DataFrame, settings: str) -> DataFrame:
     """(shard, rows, fingerprint, file) of every shard of the build, by number."""
     columns = [name for name, _ in S.RECIPE_COLUMNS if name != "id"]
@@ -140,12 +153,14 @@ def publish(
     old = spark.createDataFrame([], MANIFEST) if before is None else spark.read.parquet(f"{build_folder(folder, before)}/manifest")
     shard_actions(wanted, stored_files(wanted, data), old).write.parquet(f"{own}/actions")
     actions = spark.read.parquet(f"{own}/actions")
-    todo = ordered_positions(actions.filter("action = 'rebuild'").select("shard", "file"), ["shard"], "task")
-    tasks = todo.count()
-    if tasks:
+    todo = ordered_positions(actions.filter("action = 'rebuild'").select("shard", "file"), ["shard"], "place")
+    shards = todo.count()
+    if shards:
+        tasks = writing_tasks(shards, spark.sparkContext.defaultParallelism)
+        todo = todo.withColumn("task", F.col("place") % tasks).drop("place")
         rows = build.rows.join(build.placed.select("id", "pos", "shard"), "id").join(todo, "shard")
         rows = rows if isinstance(images, PayloadFiles) else rows.join(images.select("id", "image"), "id")
-        # Each shard is a task of its own, numbered without gaps.
+        # The tasks are numbered without gaps and differ by a shard at most.
         dealt = rows.repartitionById(tasks, F.col("task").cast("int")).sortWithinPartitions("file", "pos").drop("task", "shard")
         options = {"payloads": packed((images.folder, images.make_encoder, images.suffix))} if isinstance(images, PayloadFiles) else {}
         save(dealt, ShardSource, data, f"{own}/written", rows_per_group=str(S.ROWS_PER_GROUP), **options)
