@@ -16,6 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sievework.sources import commits
 
 
+# Files that a task writes one after the other, once there are several for each core.
+FILES_PER_TASK, TASKS_PER_CORE = 64, 4
+
+
+def writing_tasks(files: int, cores: int) -> int:
+    """Into how many ranges the rows of so many files are sorted.
+
+    A range for each file would draw a sample for each on the driver, start a task for a few rows,
+    and shuffle blocks that grow with the square of the table.
+    """
+    return min(files, max(TASKS_PER_CORE * cores, -(-files // FILES_PER_TASK)))
+
+
 def _runs(folder: str) -> list[str]:
     found = commits.commits(folder)
     return commits.content(folder, *found[-1])["runs"] if found else []
@@ -27,8 +40,12 @@ def _write_run(rows: DataFrame, folder: str, key: str, order: Sequence[Column |
     if not total:
         return None
     files = -(-total // rows_per_file)
-    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(f"{folder}/{name}/rows")
-    written = spark.read.parquet(f"{folder}/{name}/rows").select(F.col("_metadata.file_name").alias("file"), F.col(key).alias("key"))
+    tasks = writing_tasks(files, spark.sparkContext.defaultParallelism)
+    writer = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).write
+    # A task's rows come in order, so its files are cut at every `rows_per_file` of them.
+    writer = writer.option("maxRecordsPerFile", rows_per_file) if tasks < files else writer
+    writer.parquet(f"{folder}/{name}/rows")
+    written = spark.read.schema(rows.schema).parquet(f"{folder}/{name}/rows").select(F.col("_metadata.file_name").alias("file"), F.col(key).alias("key"))
     spans = written.groupBy("file").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("rows"), F.count_if(F.col("key").isNull()).alias("nulls"))
     spans.select(F.concat(F.lit(f"{name}/rows/"), "file").alias("file"), "low", "high", "rows", "nulls").coalesce(1).write.parquet(f"{folder}/{name}/catalogue")
     return name
