@@ -53,8 +53,9 @@ def dataset_card(
     n = 1 if all rows agree), `files` (shards, GiB) and `removed` (rows of each exclusion class).
 
     All counts come from one pass: rows are counted per (category, size, prompt), and the small
-    table of these counts is rolled up. Scores are read once more for their quantiles. Rows with a
-    null category or prompt count in `head` and `size` only.
+    table of these counts is rolled up. Scores are read again for their quantiles, and the rows of
+    the main recipe for its values, so give it rows that are written, not ones that are costly to
+    make. Rows with a null category or prompt count in `head` and `size` only.
     """
     counted = rows.groupBy("category", "width", "height", prompt).agg(
         F.count("*").alias("n"), F.count_if(main).alias("main"), F.count(caption).alias("captions"), F.min(created).alias("first"), F.max(created).alias("last")

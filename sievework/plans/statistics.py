@@ -8,6 +8,7 @@ from sievework.operators import card, curate, ids, index, ordering, sample, stat
 from sievework.operators.quantiles import exact_quantiles
 from sievework.plans.registry import query
 from sievework.plans.views import IMG, img
+from sievework.session import freeze
 
 # Rows a prompt needs to be a sweep candidate: the least that the given tables reach for most users.
 SWEEP_MIN = 60
@@ -378,8 +379,10 @@ def dataset_card_facts(spark, sf):
     """All blocks of the card of a build that leaves out a manual list and what scores above a threshold."""
     rows = img(spark, sf).withColumn("prompt_id", F.col("user_id")).withColumn("seed", F.col("event_id"))
     scores = rows.select("id", F.col("score").alias("laion_aesthetic"), "nsfw_prob")
-    classified = curate.exclusion_class(rows.select("id"), rows.select("id"), scores, rows.filter("k = 13").select("id"), 0.7)
-    kept = rows.join(classified.filter("class = 'kept'").select("id"), "id")
+    # Report, manifest and card read both several times, so they are written once.
+    classified = freeze(curate.exclusion_class(rows.select("id"), rows.select("id"), scores, rows.filter("k = 13").select("id"), 0.7))
+    columns = ["id", "bytes", "category", "width", "height", "prompt_id", "score", "caption", "created_at", "pipeline_version", "model", "seed"]
+    kept = freeze(rows.select(*columns).join(classified.filter("class = 'kept'").select("id"), "id"))
     manifest = ids.shard_assign(kept.select("id")).join(kept.select("id", "bytes"), "id").groupBy("shard").agg(F.sum("bytes").alias("bytes"))
     report = curate.build_report(classified, kept.select("prompt_id").distinct(), manifest, 0.7)
     facts = card.dataset_card(kept, report, F.col("pipeline_version") == 2, _CONSTANTS)
