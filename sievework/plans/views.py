@@ -239,8 +239,12 @@ task AS (
 )"""
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Record fields with their path, slug and body."""
+def tasks(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Record fields with their path, slug and body.
+
+    With `spread` the rows are dealt out by key, for work that costs far more a row than moving
+    these few columns: the table's files may have fewer row groups than the cluster has cores.
+    """
     price, priority, state = F.col("o_totalprice"), F.col("o_orderpriority"), F.col("o_orderstatus")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     area = (
@@ -256,7 +260,8 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(shifted, F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey"))
     slug = F.concat(F.lit("order-"), key)
     folder = F.when((status == "done") & (priority != "2-HIGH"), "records/done/").otherwise("records/")
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders")
+    return (orders.repartition("o_orderkey") if spread else orders).select(
         F.concat(folder, area, F.lit("/"), slug, F.lit(".md")).alias("path"),
         slug.alias("slug"),
         F.concat(F.lit('Order "'), F.col("o_custkey"), F.lit('": '), priority).alias("title"),
@@ -276,7 +281,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def task_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records as text cells: front matter and body."""
-    rows = tasks(spark, sf_dir)
+    rows = tasks(spark, sf_dir, spread=True)
     fields = {
         k: F.col(k)
         for k in ("title", "status", "area", "due", "updated", "owner", "brief", "refs", "test")

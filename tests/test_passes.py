@@ -8,3 +8,9 @@ from .test_plans import plan
 def test_card_reads_written_rows(spark, sf_dir):
     # Classes and kept rows are written once; no block of the card goes back to the table.
     assert "FileScan" not in plan(QUERIES["dataset_card_facts"](spark, sf_dir))
+
+
+def test_records_are_dealt_out_before_they_are_parsed(spark, sf_dir):
+    for name in ("misfiled_records", "validate_records"):
+        text = plan(QUERIES[name](spark, sf_dir))
+        assert "hashpartitioning(o_orderkey" in text.split("MapInArrow")[-1], name
