@@ -65,13 +65,15 @@ def open_extra(spark, sf):
     rest = F.coalesce(F.concat(F.lit(',"tags":'), tags), F.lit(""))
     raw = F.concat(F.lit('{"seed":'), "page_id", F.lit(',"prompt_subject":"p","extra":{"note":'), F.to_json(note), rest, F.lit("}"), F.when(F.col("page_id") % 17 != 3, "}").otherwise(""))
     files.write_files(pages.select(F.concat("stem", F.lit(".json")).alias("name"), raw.alias("raw")), first, "name", "raw").write.format("noop").mode("overwrite").save()
-    kept = readers.scan_sidecars(spark, first, "skip").filter("NOT broken")
+    # The files are opened once for all policies; opening them is what a scan of small files costs.
+    texts = freeze(readers.scan_sidecar_text(spark, first))
+    kept = readers.parse_sidecars(texts, policy="skip").filter("NOT broken")
     flat = curate.flatten_recipe(
         kept.withColumnRenamed("stem", "id").withColumns({"prompt_id": F.lit(0), "laion_aesthetic": F.lit(None), "nsfw_prob": F.lit(None)}), keep_extra=True
     )
     writers.write_metadata(flat, metadata)
     writers.write_sidecars(spark.read.parquet(metadata), second, "id", ["seed", "prompt_subject", "extra"])
-    scans = {"default": readers.scan_sidecars(spark, first), "skip": kept, "fail": readers.scan_sidecars(spark, second, "fail")}
+    scans = {"default": readers.parse_sidecars(texts), "skip": kept, "fail": readers.scan_sidecars(spark, second, "fail")}
     shown = [
         df.select(
             F.lit(policy).alias("policy"), "stem", "meta.seed", F.try_variant_get("meta.extra", "$.note.size", "bigint").alias("note_size"),

@@ -14,3 +14,8 @@ def test_records_are_dealt_out_before_they_are_parsed(spark, sf_dir):
     for name in ("misfiled_records", "validate_records"):
         text = plan(QUERIES[name](spark, sf_dir))
         assert "hashpartitioning(o_orderkey" in text.split("MapInArrow")[-1], name
+
+
+def test_sidecar_files_are_opened_once(spark, sf_dir):
+    # What is left to scan are the files of the second folder.
+    assert plan(QUERIES["open_extra"](spark, sf_dir)).count("FileScan text") == 1
