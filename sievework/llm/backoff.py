@@ -3,66 +3,53 @@
 The score of a word is the relative frequency of its longest n-gram that the corpus has outside the
 document itself, times ALPHA for each step it had to be shortened.
 
-n-grams are hashes, partitioned into buckets, each of which stands for `BUCKET_BYTES` of text whatever
-the input. The exploded n-grams of a document travel packed by bucket, with how often the document
-has them. A bucket's task sums them into its part of the count table, looks every request up in it,
-and sends only counts back, where they are summed into the document's score. Within a bucket 48 bits
-of the hash are kept: as buckets do not grow, two n-grams are mistaken for one another once in
-hundreds of millions of look-ups at any input size.
-
-n-grams with about a `HOT`-th of all occurrences never travel: those that are heavy in a sample of
-the texts, at most 2 `HOT` per order, are counted exactly over all texts and sent to all tasks. Which
-n-grams these are changes no result; what is left comes less often, so no bucket has one n-gram for
-most of its rows.
+Documents are dealt into buckets of about `BUCKET_BYTES` of text, whatever the input. A bucket counts
+its own n-grams, 64-bit hashes of their words, and asks once for each: one row per bucket and range
+of hashes, of which there are `RANGES`. Rows of a range meet, their counts are summed, and each bucket
+gets the sums back in the order in which it asked, so hashes travel one way only. The bucket takes
+each document's own occurrences off and scores it.
+
+However often the corpus has an n-gram, a bucket asks for it once, so no range has one n-gram for
+most of its rows, and the rows of every step grow with the text. The n-gram of no words, which comes
+once per word, tells how many words there are.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
-from itertools import batched
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
-
-from sievework.llm.common import map_rows, put_bounded, slices
-from sievework.session import freeze
+import pyarrow.compute as pc
+from pandas.util import hash_array
+from pyspark.sql import DataFrame, functions as F, types as T
 
 ALPHA = 0.4
 ORDER = 2
+BUCKET_BYTES = 5_000_000
+# Ranges of hashes. Their number is fixed, or rows would grow with the square of the input; at 30 GB
+# of documents a range has about two million counts, by estimate.
+_RANGE_BITS = 12
+RANGES = 1 << _RANGE_BITS
+UNIT = 1_000_000
+# So many words or places at once are Python objects or in one table.
+_PLACES = 1 << 16
+# Without effect: n-grams are no longer sought by samples, as frequent ones need no way of their own.
 HOT = 50_000
-BUCKET_BYTES = 48_000_000
-# One text in so many is looked at for heavy n-grams; all are counted.
 HEAVY_SAMPLE = 16
-UNIT = 1_000_000
-_HELD = 1_500_000
-_CACHE = 400_000
 
 
-class Grams:
-    """The n-gram hashes of texts; word hashes are kept in a bounded cache."""
+class Grams(NamedTuple):
+    """The n-grams of one order in a bucket of texts, numbered."""
 
-    def __init__(self, order: int) -> None:
-        self.order, self.known = order, {}
-
-    def __call__(self, text: str | None) -> list[np.ndarray]:
-        """For each order from 1: the hash of the n-gram that starts at each word."""
-        known, out = self.known, []
-        words = (text or "").encode().lower().split()
-        for word in words:
-            h = known.get(word)
-            if h is None:
-                h = xxhash.xxh64_intdigest(word)
-                put_bounded(known, word, h, _CACHE)
-            out.append(h)
-        first = np.array(out, np.uint64)
-        grams = [first]
-        for k in range(1, self.order):
-            grams.append(_mix(grams[-1][:-1] + np.uint64(k), first[k:]) if len(first) > k else first[:0])
-        return grams
+    # Which places begin one, and its number there.
+    valid: np.ndarray
+    number: np.ndarray
+    # By number.
+    hashes: np.ndarray
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,180 +59,119 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _cut(h: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int]]:
-    """Order of the hashes by bucket, and where each bucket begins."""
-    own = (h % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(own, kind="stable")
-    return order, np.searchsorted(own[order], np.arange(buckets + 1)).tolist()
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for part in slices(batches):
-        yield from zip(*(part.column(i).to_pylist() for i in range(part.num_columns)))
-
-
-def _packed(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-
-def _heavy(docs: DataFrame, text: str, order: int, hot: int) -> DataFrame:
-    """Rows (h) of all n-grams with a `hot`-th of the occurrences of their order.
-
-    An n-gram may miss less than half of that in the parts in which it is rare, so those that keep
-    half of it hold every heavy one, and there are at most 2 `hot` per order.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, held, n = Grams(order), [[] for _ in range(order)], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for o, parts in enumerate(held):
-                h, c = np.unique(np.concatenate(parts), return_counts=True)
-                heavy = c * 2 * hot >= c.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(heavy.sum(), o + 1), -o - 1)), pa.array(np.append(h[heavy], np.uint64(0)).view(np.int64)), pa.array(np.append(c[heavy], c.sum()))], ["o", "h", "c"])
-                parts.clear()
-
-        for (t,) in _rows(batches):
-            for parts, own in zip(held, grams(t)):
-                parts.append(own)
-                n += len(own)
-            if n >= _HELD:
-                yield from flush()
-                n = 0
-        if n:
-            yield from flush()
-
-    found = freeze(docs.select(text).mapInArrow(run, "o bigint, h bigint, c bigint").groupBy("o", "h").agg(F.sum("c").alias("c")))
-    # One row per order.
-    totals = {-r["o"]: r["c"] for r in found.filter("o < 0").collect()}
-    least = F.lit(0)
-    for o, total in totals.items():
-        least = F.when(F.col("o") == o, F.lit(total)).otherwise(least)
-    return found.filter(F.col("o") > 0).filter(F.col("c") * 2 * hot >= least).select("h")
-
-
-def _exact(docs: DataFrame, text: str, order: int, listed: np.ndarray) -> tuple[int, np.ndarray]:
-    """The number of words, and how often each of the listed n-grams comes, in all texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(listed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last place counts the words.
-        grams, sums, held, n = Grams(order), np.zeros(len(sent.value) + 1, np.int64), [], 0
-
-        def add() -> None:
-            found, place = _find(sent.value, np.concatenate(held))
-            sums[:-1] += np.bincount(place[found], minlength=len(sums))[: len(sums) - 1]
-            held.clear()
-
-        for (t,) in _rows(batches):
-            own = grams(t)
-            sums[-1] += len(own[0])
-            held += own
-            n += len(own[0])
-            if n > 100_000:
-                add()
-                n = 0
-        if held:
-            add()
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums)), pa.array(sums[sums > 0])], ["i", "c"])
-
-    out = np.zeros(len(listed) + 1, np.int64)
-    for r in docs.select(text).mapInArrow(run, "i bigint, c bigint").groupBy("i").agg(F.sum("c").alias("c")).collect():
-        out[r["i"]] = r["c"]
-    return int(out[-1]), out[:-1]
+def _numbers(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """For each value the number of its first occurrence among the distinct ones, and these."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def split(texts: pa.Array, order: int) -> tuple[np.ndarray, list[Grams]]:
+    """The text each word is from, and the n-grams of each order from 1."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, doc = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    # White space at either end leaves empty words.
+    full = pc.not_equal(words, "")
+    doc = doc[full.to_numpy(zero_copy_only=False)]
+    ids, known = _numbers(words.filter(full))
+    first = np.empty(len(known), np.uint64)
+    for start in range(0, len(known), _PLACES):
+        first[start : start + _PLACES] = hash_array(known.slice(start, _PLACES).to_numpy(zero_copy_only=False), categorize=False)
+    out, size = [Grams(np.ones(len(ids), bool), ids, first)], max(len(known), 1)
+    for k in range(1, order):
+        before, places = out[-1], max(len(ids) - k, 0)
+        valid = doc[:places] == doc[k:]
+        number = np.zeros(places, np.int64)
+        number[valid], keys = _numbers(pa.array((before.number[:places] * size + ids[k:])[valid]))
+        keys = keys.to_numpy()
+        out.append(Grams(valid, number, _mix(before.hashes[keys // size] + np.uint64(k), first[keys % size])))
+    return doc, out
+
+
+def _sorted(grams: list[Grams]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-gram of no words and of all others; their order; where its ranges begin, and its end."""
+    hashes = np.concatenate([np.zeros(1, np.uint64), *(g.hashes for g in grams)])
+    order = np.argsort(hashes)
+    own = hashes[order] >> np.uint64(64 - _RANGE_BITS)
+    return hashes, order, np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
 
 
 def _short(c: np.ndarray) -> bytes:
     """Counts in as few bytes each as the largest needs; nothing if all are one."""
-    top = int(c.max(initial=1))
-    return b"" if top == 1 else c.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 256 ** int(t[2]))).tobytes()
+    if (c == 1).all():
+        return b""
+    top = int(c.max())
+    return c.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 256 ** int(t[2]))).tobytes()
 
 
 def _long(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if data else np.ones(n, np.int64)
 
 
-_KEY = 6
-
-
-def _keys(h: np.ndarray, buckets: int) -> bytes:
-    """What is left of the hashes inside their bucket."""
-    return np.ascontiguousarray((h // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :_KEY]).tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // _KEY, 8), np.uint8)
-    out[:, :_KEY] = np.frombuffer(data, np.uint8).reshape(-1, _KEY)
-    return out.reshape(-1).view(np.uint64)
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums each bucket's n-grams and looks all its requests up; the rows of a bucket come together."""
-    bucket, held = None, []
+def _texts(bucket: pa.Table) -> pa.Array:
+    texts = [pa.decompress(z, size, "zstd", asbytes=True) for z, size in zip(bucket["z"].to_pylist(), bucket["size"].to_pylist())]
+    return pa.array(texts, pa.large_binary()).view(pa.large_string())
 
-    def close() -> Iterator[pa.RecordBatch]:
-        ends = np.cumsum([len(h) // _KEY for _, h, _ in held])
-        own = np.ones(ends[-1], np.uint32)
-        for i, (_, h, c) in enumerate(held):
-            if c:
-                own[ends[i] - len(h) // _KEY : ends[i]] = _long(c, len(h) // _KEY)
-        keys = _wide(b"".join([h for _, h, _ in held]))
-        order = np.argsort(keys)
-        keys = keys[order]
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        del keys
-        sums = np.add.reduceat(own[order], starts, dtype=np.int64)
-        counts = np.empty(len(own), np.int64)
-        counts[order] = np.repeat(sums, np.diff(np.append(starts, len(own))))
-        for start in range(0, len(held), 4096):
-            rows = [(d, bucket, _short(counts[(ends[i - 1] if i else 0) : ends[i]])) for i, (d, _, _) in enumerate(held[start : start + 4096], start)]
-            yield _packed(["d", "bucket", "c"], [pa.binary(), pa.int64(), pa.binary()], rows)
 
-    for b, *row in _rows(batches):
-        if b != bucket:
-            if held:
-                yield from close()
-            bucket, held = b, []
-        held.append(row)
-    if held:
-        yield from close()
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed. Equal rows of a batch become one, with their number, so they cannot fill a bucket."""
+    for batch in batches:
+        _, first, n = np.unique(batch["same"].to_numpy(), return_index=True, return_counts=True)
+        batch = batch.take(pa.array(first))
+        z = pa.array([pa.compress(t.as_buffer(), "zstd", asbytes=True) for t in batch["t"]], pa.binary())
+        size = pc.binary_length(batch["t"]).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["bucket"], batch["k"], z, size, pa.array(n, pa.int64())], ["bucket", "k", "z", "size", "n"])
 
 
-def _find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each hash is in the sorted table, and where."""
-    place = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
-    return (table[place] == h) if len(table) else np.zeros(len(h), bool), place
+def _answer(asked: pa.Table) -> pa.Table:
+    """Sums the counts of a range's n-grams; each bucket gets the sums of those it asked for, in its order."""
+    asked = asked.combine_chunks()
+    hashes = pa.concat_arrays([c.flatten() for c in asked["h"].chunks]).to_numpy().view(np.uint64)
+    sizes = pc.list_value_length(asked["h"]).to_numpy()
+    own = np.concatenate([_long(c, n) for c, n in zip(asked["c"].to_pylist(), sizes)])
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    sums = np.empty(len(own), np.int64)
+    sums[order] = np.repeat(np.add.reduceat(own[order], starts), np.diff(np.append(starts, len(own))))
+    c = [_short(part) for part in np.split(sums, np.cumsum(sizes)[:-1])]
+    return pa.table({"bucket": asked["bucket"], "range": asked["range"], "c": pa.array(c, pa.binary())})
 
 
-def _asked(own: list[np.ndarray], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a text that are looked up, sorted, and how often the text has each."""
-    h, c = np.unique(np.concatenate(own), return_counts=True)
-    cold = ~_find(hot, h)[0]
-    return h[cold], c[cold]
+def _own(doc: np.ndarray, number: np.ndarray, numbers: int) -> np.ndarray:
+    """How often the document of each place has the n-gram there; some documents at a time, for small tables."""
+    out, cuts = np.empty(len(doc), np.int64), np.unique(np.searchsorted(doc, doc[::_PLACES]))
+    for start, end in pairwise([*cuts.tolist(), len(doc)]):
+        same, distinct = _numbers(pa.array(doc[start:end].astype(np.int64) * numbers + number[start:end]))
+        out[start:end] = np.bincount(same, minlength=len(distinct))[same]
+    return out
 
 
-def text_score(own: list[np.ndarray], count, total: int, alpha: float = ALPHA) -> tuple[int, int, int]:
-    """(words, words that were shortened, sum of the words' log scores in millionths).
+def bucket_scores(doc: np.ndarray, n_docs: int, grams: list[Grams], counts: list[np.ndarray], total: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: words, words that were shortened, sum of the words' log scores in millionths.
 
-    `count` gives the corpus counts of hashes; the document's own occurrences are taken off. A word
-    the rest of the corpus does not have counts as if it came once.
+    `counts` has the corpus counts of the numbered n-grams; the document's own occurrences are taken
+    off. A word the rest of the corpus does not have counts as if it came once.
     """
-    n = len(own[0])
-    if not n:
-        return 0, 0, 0
+    n = np.bincount(doc, minlength=n_docs)
     rest = []
-    for h in own:
-        distinct, place, mine = np.unique(h, return_inverse=True, return_counts=True)
-        rest.append((count(distinct) - mine)[place])
-    left = max(total - n, 1)
-    value, order = np.log(np.maximum(rest[0], 1) / left), np.ones(n, np.int64)
-    for k in range(2, len(own) + 1):
-        seen = rest[k - 1]
-        ends = np.flatnonzero(seen > 0) + k - 1
-        value[ends] = np.log(seen[seen > 0] / rest[k - 2][: len(seen)][seen > 0])
-        order[ends] = k
-    steps = np.minimum(np.arange(n) + 1, len(own)) - order
-    return n, int((steps > 0).sum()), int(np.floor((value + steps * math.log(alpha)) * UNIT + 0.5).astype(np.int64).sum())
+    for g, c in zip(grams, counts):
+        number = g.number[g.valid]
+        left = np.zeros(len(g.valid), np.int64)
+        left[g.valid] = c[number] - _own(doc[: len(g.valid)][g.valid], number, len(c))
+        rest.append(left)
+    value, used = np.log(np.maximum(rest[0], 1) / np.maximum(total - n, 1)[doc]), np.ones(len(doc), np.int64)
+    for k in range(2, len(grams) + 1):
+        starts = np.flatnonzero(rest[k - 1] > 0)
+        value[starts + k - 1] = np.log(rest[k - 1][starts] / rest[k - 2][starts])
+        used[starts + k - 1] = k
+    begin = np.cumsum(n) - n
+    steps = np.minimum(np.arange(len(doc)) - begin[doc] + 1, len(grams)) - used
+    micro = np.floor((value + steps * math.log(alpha)) * UNIT + 0.5).astype(np.int64)
+    shortened, score_micro = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64)
+    if len(doc):
+        shortened[n > 0] = np.add.reduceat((steps > 0).astype(np.int64), begin[n > 0])
+        score_micro[n > 0] = np.add.reduceat(micro, begin[n > 0])
+    return n, shortened, score_micro
 
 
 def score(docs: DataFrame, key: str, text: str, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
@@ -256,67 +182,43 @@ def score(docs: DataFrame, key: str, text: str, order: int = ORDER, alpha: float
     depend on any order. Null and empty texts have zeros. Copies of a text count as other documents
     and get equal scores; null keys and repeated rows stay. No rows give no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(docs[key].alias("k"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    rows = rows.withColumn("d", F.substring(F.unhex(F.sha2(F.col("t"), 256)), 1, 12))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    heavy = _heavy(rows.filter(F.pmod(F.xxhash64("t"), F.lit(HEAVY_SAMPLE)) == 0), "t", order, HOT)
-    # At most 2 HOT n-grams of each order.
-    listed = np.unique(np.array([r["h"] for r in heavy.collect()], np.int64).view(np.uint64))
-    total, counted = _exact(rows, "t", order, listed)
-    sent = spark.sparkContext.broadcast((listed, counted))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, out, hot = Grams(order), [], sent.value[0]
-
-        def packed() -> pa.RecordBatch:
-            return _packed(["bucket", "d", "h", "c"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()], out)
-
-        for d, t in _rows(batches):
-            h, c = _asked(grams(t), hot)
-            place, cuts = _cut(h, buckets)
-            h, c = h[place], c[place]
-            out += [(b, d, _keys(h[s:e], buckets), _short(c[s:e])) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-            if len(out) > 20_000:
-                yield packed()
-                out = []
-        if out:
-            yield packed()
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, (hot, hot_c) = Grams(order), sent.value
-
-        def scored() -> Iterator[tuple]:
-            for d, z, answers in _rows(batches):
-                own = grams(zlib.decompress(z).decode())
-                h, _ = _asked(own, hot)
-                place, cuts = _cut(h, buckets)
-                got = {a["bucket"]: a["c"] for a in answers or []}
-                parts = [_long(got[b], e - s) for b, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-                counts = np.zeros(len(h), np.int64)
-                counts[place] = np.concatenate(parts) if parts else counts
-
-                def count(x: np.ndarray, h=h, counts=counts) -> np.ndarray:
-                    is_hot, at = _find(hot, x)
-                    cold, where = _find(h, x)
-                    out = np.zeros(len(x), np.int64)
-                    out[cold] = counts[where[cold]]
-                    out[is_hot] = hot_c[at[is_hot]]
-                    return out
-
-                yield d, *text_score(own, count, total, alpha)
-
-        for part in batched(scored(), 2048):
-            yield _packed(["d", "n_tokens", "n_shortened", "score_micro"], [pa.binary(), pa.int64(), pa.int64(), pa.int64()], list(part))
-
-    asked = rows.filter("t <> ''").select("d", "t").mapInArrow(ask, "bucket bigint, d binary, h binary, c binary")
-    met = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    # Copies of a text get equal answers, which a set holds once, at most one per bucket.
-    answers = met.mapInArrow(_answers, "d binary, bucket bigint, c binary")
-    per_text = answers.groupBy("d").agg(F.collect_set(F.struct("bucket", "c")).alias("answers"))
-    packed = map_rows(rows, ["d", "t"], "d binary, z binary", lambda tuples: ((d, zlib.compress(t.encode(), 1)) for d, t in tuples), 256)
-    once = packed.groupBy("d").agg(F.first("z").alias("z"))
-    scored = once.join(per_text, "d", "left").mapInArrow(finish, "d binary, n_tokens bigint, n_shortened bigint, score_micro bigint")
-    out = rows.select("k", "d").join(freeze(scored), "d")
+    kind = rows.schema["k"].dataType
+
+    def ask(bucket: pa.Table) -> pa.Table:
+        doc, grams = split(_texts(bucket), order)
+        copies = bucket["n"].to_numpy()[doc]
+        counts = [copies.sum(keepdims=True), *(np.bincount(g.number[g.valid], copies[: len(g.valid)][g.valid], len(g.hashes)).astype(np.int64) for g in grams)]
+        hashes, place, cuts = _sorted(grams)
+        hashes, counts = hashes[place], np.concatenate(counts)[place]
+        columns = {
+            "bucket": pa.array(np.full(len(cuts) - 1, bucket["bucket"][0].as_py())),
+            "range": pa.array((hashes[cuts[:-1]] >> np.uint64(64 - _RANGE_BITS)).astype(np.int64)),
+            "h": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64))),
+            "c": pa.array([_short(c) for c in np.split(counts, cuts[1:-1])], pa.binary()),
+        }
+        return pa.table(columns)
+
+    def finish(bucket: pa.Table, answers: pa.Table) -> pa.Table:
+        doc, grams = split(_texts(bucket), order)
+        hashes, place, cuts = _sorted(grams)
+        answers = answers.sort_by("range")
+        counts = np.empty(len(hashes), np.int64)
+        counts[place] = np.concatenate([_long(c, n) for c, n in zip(answers["c"].to_pylist(), np.diff(cuts), strict=True)])
+        parts = np.split(counts[1:], np.cumsum([len(g.hashes) for g in grams])[:-1])
+        scores = bucket_scores(doc, bucket.num_rows, grams, parts, int(counts[0]), alpha)
+        out = pa.table({"k": bucket["k"], **dict(zip(("n_tokens", "n_shortened", "score_micro"), map(pa.array, scores)))})
+        return out.take(pa.array(np.repeat(np.arange(out.num_rows), bucket["n"].to_numpy())))
+
+    # What a row holds decides on its bucket, so a part that is read again falls into the same ones.
+    same = F.xxhash64("k", "t")
+    dealt = rows.select(F.pmod(same, F.lit(buckets)).alias("bucket"), "k", "t", same.alias("same"))
+    packed = T.StructType().add("bucket", "long").add("k", kind).add("z", "binary").add("size", "long").add("n", "long")
+    texts = dealt.mapInArrow(_pack, packed)
+    asked = texts.groupBy("bucket").applyInArrow(ask, "bucket long, range long, h array<long>, c binary")
+    answers = asked.groupBy("range").applyInArrow(_answer, "bucket long, range long, c binary")
+    scored = T.StructType().add("k", kind).add("n_tokens", "long").add("n_shortened", "long").add("score_micro", "long")
+    out = texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(finish, scored)
     return out.select(F.col("k").alias(key), "n_tokens", "n_shortened", "score_micro")

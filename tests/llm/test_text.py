@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -183,6 +186,46 @@ def test_backoff_odd_rows(spark, order, monkeypatch):
     assert backoff.score(odd.empty(df), "doc_id", "text", order).count() == 0
 
 
+MEMORY = """
+import pyarrow as pa
+from pyspark.sql import functions as F
+from sievework.llm import backoff
+from sievework.session import build_session
+
+spark = build_session("memory", "local[2]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4"})
+word = lambda i: F.hex(F.pmod(F.xxhash64("id", i), F.lit(1 << 20)))
+docs = spark.range(0, 15000, 1, 2).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500)), word), " ").alias("text"))
+assert backoff.score(docs, "doc_id", "text").agg(F.sum("n_tokens")).first()[0] == 7_500_000
+
+def peak(batches):
+    kb = int(open("/proc/self/status").read().split("VmHWM:")[1].split()[0])
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"id": [kb] * batch.num_rows})
+
+print("peak", max(r.id for r in spark.range(0, 8, 1, 2).mapInArrow(peak, "id long").collect()) // 1000)
+"""
+
+
+def test_backoff_holds_little_in_a_worker(tmp_path):
+    """7.5 million words, nearly all n-grams distinct; a worker that is used again tells its peak."""
+    run = subprocess.run([sys.executable, "-c", MEMORY], env={**os.environ, "PYTHONPATH": os.pathsep.join(sys.path), "TMPDIR": str(tmp_path)}, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert int(run.stdout.split("peak")[1]) < 600
+
+
+@pytest.mark.parametrize("times", [1, 5])
+def test_backoff_equal_rows_and_buckets_without_words(spark, times, monkeypatch):
+    """Equal rows travel as one, in whatever batch they come; a bucket may hold no word at all."""
+    monkeypatch.setattr(backoff, "BUCKET_BYTES", 10)
+    texts = ["a b a b", "b a c", "", " ", None, "\x1f\u00a0 A"]
+    df = spark.createDataFrame([(None if i == 1 else i, t) for i, t in enumerate(texts)] * times, "doc_id long, text string").repartition(3)
+    rows = df.collect()
+    want = odd.by([(r.doc_id, *s) for r, s in zip(rows, brute_score([r.text for r in rows], 3))])
+    got = odd.by(backoff.score(df, "doc_id", "text", 3).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) <= g[1] for g, w in zip(got, want))
+
+
 # Toxicity
 
 
